@@ -18,11 +18,14 @@ _OWN = "millrace.scratch.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share."""
-    found = spark.conf.get(_KEY, None) or spark.conf.get(_OWN, None)
+    found = spark.conf.get(_OWN, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        found = spark.conf.get(_KEY, None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        found = store.makeQualified(path).toString().rstrip("/")
         spark.conf.set(_OWN, found)
-    return found.rstrip("/")
+    return found
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -106,7 +106,7 @@ class ShardWriter:
 
     def __init__(self, uri: str, width: int):
         fs, path = resolve(uri)
-        self.out, self.width = fs.open_output_stream(path), width
+        self.out, self.width = fs.open_output_stream(path, compression=None), width
         self.counts: list[int] = []
         self.names: list[int] = []
         self.unnamed = 0

@@ -84,7 +84,7 @@ def _matches(docs: DataFrame, pieces: DataFrame, id_col: str, text_col: str) ->
         spread = rows.select("rid", "doc_id", "text_hash", "w", F.posexplode(hashes).alias("at", "hh"))
         known = pieces.where(F.col("k") == k).select("sid", "h", "piece")
         if shift:
-            known = known.unionByName(docs.sparkSession.createDataFrame([(-1, 0, None)], known.schema))
+            known = known.unionByName(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("sid"), mark.alias("h"), F.lit(None).cast("array<string>").alias("piece")))
         if pieces.count() <= BROADCAST_SHINGLES:
             known = F.broadcast(known)
         pos = F.col("at") - shift

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.ngram_join import ngram_join
 from millrace.llm.packing import pack
 from millrace.llm.token_count import token_counts
 from millrace.llm.token_store import token_ids
@@ -25,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
@@ -44,6 +49,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_packing": op8_packing,

@@ -44,9 +44,8 @@ def exact_groups(
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(given).alias("text_hash"), (normalise(given) if normalise else given).alias("body"))
     ranges = shuffle_partitions(docs.sparkSession)
     rows = rows.withColumn("h", F.xxhash64("body"))
-    counts = rows.groupBy("h").count()
-    mean = counts.agg((F.sum("count") / (2 * ranges)).alias("share"))
-    hot = counts.join(F.broadcast(mean), F.col("count") > F.greatest(F.col("share"), F.lit(FEW))).select(F.col("h").alias("hot_h"))
+    crowd = max(FEW, docs.count() // (2 * ranges))
+    hot = rows.groupBy("h").count().where(F.col("count") > crowd).select(F.col("h").alias("hot_h"))
     hot = materialize(hot, "dedup-hot")  # at most 2 * ranges rows
     salt = F.when(F.col("hot_h").isNotNull(), F.pmod("rid", F.lit(ranges))).otherwise(F.lit(-1)).alias("salt")
     dealt = rows.join(F.broadcast(hot), rows["h"] == hot["hot_h"], "left").select("rid", "doc_id", "text_hash", "body", "h", salt, F.substring("body", 1, PREFIX).alias("head"))

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.tokens import encoder
 from millrace.plans.prefix import running_sum
-from millrace.plans.scratch import fresh_path, small_arrow_batches
+from millrace.plans.scratch import fresh_path, materialize, small_arrow_batches
 
 PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -79,12 +79,15 @@ def schedule(lengths: DataFrame, window: int, weights: dict[str, float] | None =
     """rid, at: each document's first token in the deficit round-robin stream."""
     totals = lengths.groupBy("source").agg(F.sum("n").alias("tokens"))
     if weights:
+        if min(weights.values()) <= 0:
+            raise ValueError("weights must be above 0")
         share = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("source")], F.lit(min(weights.values())))
         totals = totals.withColumn("weight", share.cast("double"))
     else:
         totals = totals.withColumn("weight", F.col("tokens").cast("double"))
-    whole = totals.agg(F.sum("weight").alias("all_weights"))
-    quanta = totals.join(F.broadcast(whole)).select(F.col("source").alias("of"), (F.col("weight") / F.col("all_weights") * window).alias("quantum"))
+    totals = materialize(totals, "pack-sources")
+    whole = totals.agg(F.sum("weight")).first()[0] or 1.0
+    quanta = totals.select(F.col("source").alias("of"), (F.col("weight") / whole * window).alias("quantum"))
     queued = running_sum(lengths, "n", ["doc_id", "rid"], group_by=["source"], into="queued")
     rounds = queued.join(quanta, queued["source"].eqNullSafe(quanta["of"]), "left").select(
         "rid", "doc_id", "source", "n", F.ceil((F.col("queued") + F.col("n")) / F.col("quantum")).alias("round")

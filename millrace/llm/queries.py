@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.lang_id import language_id
 from millrace.llm.ngram_join import ngram_join
 from millrace.llm.packing import pack
 from millrace.llm.token_count import token_counts
@@ -38,6 +39,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
 }

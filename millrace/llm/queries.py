@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.chat import chat_lines
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.html_extract import main_text
 from millrace.llm.lang_id import language_id
 from millrace.llm.ngram_join import ngram_join
 from millrace.llm.packing import pack
@@ -39,6 +41,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -51,15 +57,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive(_table(spark, sf_dir, "pages"))
 
 
+def op10_chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_lines(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_main_text": op6_main_text,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_chat_lines": op10_chat_lines,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +94,9 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+    "op10_chat_lines": """
+        SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+               0 AS n_calls, 0 AS n_open, CAST(NULL AS BIGINT) AS call_turn, 'message' AS status, '' AS errors,
+               CAST(to_json(struct_pack(content := text, role := role)) AS VARCHAR) AS line
+        FROM conversations""",
 }

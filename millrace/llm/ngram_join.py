@@ -25,9 +25,9 @@ similar; those that share one are candidates and are compared in full.
   thus found at the first level at which either of both is complete.
 * **Verification.**  Equal sets are joined beforehand by fingerprint, and only one
   of each class goes on.  Sets that share a content are compared with the smallest
-  of them, the hub, so a group costs its size, not its square.  What still shares a
-  content without being linked is compared pair by pair, after a second, finer
-  partition has broken large groups up.
+  of them, the hub, so a group costs its size, not its square.  Sets that share a
+  content and are in different components after that are compared with each other
+  in clusters, in blocks of bounded size, and only until links join them.
 
 Contents that very many sets share are salted: hubs are found per salt, and hubs of
 hubs after.
@@ -59,9 +59,9 @@ INCOMPLETE = 0.02
 #: Planning only: how likely an unrelated set holds a given shingle, and how many
 #: written contents one comparison is worth.
 CHANCE, COMPARISON = 1e-5, 4.0
-#: Sets of one content that are compared pair by pair without a finer partition.
-SMALL_GROUP = 8
-#: Needed documents whose keys are broadcast; above it, texts are shuffled.
+#: Bytes of sets and contents in one block of a cluster.
+BLOCK_BYTES = 32 << 20
+#: Rows of two or three numbers that are broadcast at most; above it, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -214,8 +214,7 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_col:
     """rid, n, elems of the documents in ``needed`` (rid, doc_id, text_hash)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
-    if needed.count() <= BROADCAST_KEYS:
-        needed = F.broadcast(needed)
+    needed = _bounded(needed)
     on = (F.col("th") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))
     found = rows.join(needed, on).select("rid", "text")
 
@@ -229,11 +228,17 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_col:
     return materialize(found.mapInArrow(run, "rid long, elems array<long>"), "jaccard-sets")
 
 
+def _bounded(keys: DataFrame) -> DataFrame:
+    """A broadcast where the number of rows, counted here, allows it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by full intersection."""
+    few = _bounded(pairs)
     left = sets.select(F.col("rid").alias("ra"), F.col("elems").alias("ea"))
-    right = sets.select(F.col("rid").alias("rb"), F.col("elems").alias("eb"))
-    both = pairs.join(left, F.col("a") == F.col("ra")).select("a", "b", "ea").join(right, F.col("b") == F.col("rb"))
+    right = sets.select(F.col("rid").alias("rb"), F.col("elems").alias("eb")).join(_bounded(pairs.select(F.col("b").alias("rb")).distinct()), "rb", "left_semi")
+    both = left.join(few, F.col("a") == F.col("ra")).select("a", "b", "ea").join(right, F.col("b") == F.col("rb"))
     small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
     both = both.where(small.cast("long") * den >= large.cast("long") * num)
     common = F.size(F.array_intersect("ea", "eb")).cast("long")
@@ -241,12 +246,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _hubs(shared: DataFrame, hot: DataFrame, ranges: int) -> DataFrame:
-    """From (sig, rid): the rows of contents that several sets share, with the smallest of these in reach (by salt, if hot)."""
-    salt = F.when(F.col("hot_sig").isNotNull(), F.pmod("rid", F.lit(ranges))).otherwise(-1).alias("salt")
-    shared = shared.join(F.broadcast(hot), shared["sig"] == hot["hot_sig"], "left").select("sig", "rid", salt)
-    group = Window.partitionBy("sig", "salt")
-    rows = shared.select("sig", "rid", "salt", F.min("rid").over(group).alias("hub"), F.count(F.lit(1)).over(group).alias("held"))
-    return materialize(rows.where((F.col("held") > 1) | (F.col("salt") >= 0)), "jaccard-shared")
+    """From (sig, rid): the rows of contents that several sets share, with the smallest of these in reach.
+
+    A hot content is one group per salt; ``sig`` then is a hash of both, and ``top`` the content's own.
+    """
+    top = F.col("hot_sig").alias("top")
+    key = F.when(top.isNotNull(), F.xxhash64("sig", F.pmod("rid", F.lit(ranges)))).otherwise(F.col("sig")).alias("key")
+    shared = shared.join(F.broadcast(hot), shared["sig"] == hot["hot_sig"], "left").select(key, "rid", top)
+    group = Window.partitionBy("key")
+    rows = shared.select("key", "rid", "top", F.min("rid").over(group).alias("hub"), F.count(F.lit(1)).over(group).alias("held"))
+    rows = rows.where((F.col("held") > 1) | F.col("top").isNotNull())
+    return materialize(rows.select(F.coalesce("top", "key").alias("sig"), "rid", "hub", F.col("top").isNotNull().alias("salted")), "jaccard-shared")
 
 
 def _relabel(rows: DataFrame, roots: DataFrame, column: str, into: str) -> DataFrame:
@@ -275,13 +285,13 @@ def similar_components(
     copies = some.join(classes, ["n", "f1", "f2"]).select("rid", F.col("rep.rid").alias("rep")).where("rid <> rep")
     copies = materialize(copies, "jaccard-copies")
 
-    nodes = index.where("n > 0").select("rid", "sigs").join(copies.select("rid"), "rid", "left_anti")
+    nodes = index.where("n > 0").select("rid", "sigs").join(_bounded(copies.select("rid")), "rid", "left_anti")
     looked = nodes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)
     often = looked.select(F.explode("sigs").alias("hot_sig")).groupBy("hot_sig").count().where(F.col("count") * 64 > max(1024, rows // (2 * ranges)))
     hot = materialize(often.select("hot_sig"), "jaccard-hot")  # at most (contents a set) * 2 * ranges rows
     shared = _hubs(nodes.select(F.explode("sigs").alias("sig"), "rid"), hot, ranges)
 
-    tops = shared.where("salt >= 0").select("sig", "hub").distinct()
+    tops = shared.where("salted").select("sig", "hub").distinct()
     least = tops.groupBy("sig").agg(F.min("hub").alias("top"))
     over = tops.join(least, "sig").where("hub <> top").select(F.col("hub").alias("a"), F.col("top").alias("b"))
     pairs = shared.where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).unionByName(over).distinct()
@@ -291,18 +301,14 @@ def similar_components(
     needed = materialize(index.select("rid", "doc_id", "text_hash").join(involved, "rid", "left_semi"), "jaccard-needed")
     sets = _sets(docs, needed, size, id_col, text_col)
 
-    # each set with its smallest hub first; most other pairs then lie inside one component
+    # each set with its smallest hub first; most other candidates then lie inside one component
     one = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    one = materialize(one, "jaccard-first")
     links = materialize(_similar(one, sets, num, den), "jaccard-links")
     roots = connected_components(links)
-    rest = pairs.join(one, ["a", "b"], "left_anti")
-    rest = _relabel(_relabel(rest, roots, "a", "ca"), roots, "b", "cb").where("ca <> cb").select("a", "b")
-    more = materialize(_similar(rest, sets, num, den), "jaccard-links")
-    links = links.unionByName(more)
-    roots = connected_components(links)
-
-    links = _residual(shared, roots, sets, links, num, den, sets_about)
-    roots = connected_components(links)
+    late = _within_clusters(shared, roots, sets, num, den)
+    if not late.isEmpty():
+        roots = connected_components(links.unionByName(late))
 
     node = index.select("rid", "doc_id", "text_hash", "n").join(copies, "rid", "left").withColumn("node", F.coalesce("rep", "rid"))
     named = materialize(_relabel(node, roots, "node", "root").select("rid", "doc_id", "text_hash", "n", "root"), "jaccard-named")
@@ -318,39 +324,71 @@ def similar_components(
     )
 
 
-def _residual(shared: DataFrame, roots: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int, sets_about: int) -> DataFrame:
-    """Compares what shares a content, lies in different components and was not compared with its hub."""
-    rows = _relabel(shared.select("sig", "rid"), roots, "rid", "comp")
-    for finer in range(1, 4):
-        spread = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        compared = 2 if finer == 1 else 1  # two sets of a first content are a set and its hub
-        spread = spread.where((F.col("held") > compared) & (F.col("c0") != F.col("c1"))).select(F.col("sig").alias("s"), "held")
-        open_rows = materialize(rows.join(spread, F.col("sig") == F.col("s")).select("sig", "rid", "comp", "held"), "jaccard-open")
-        few = open_rows.where(F.col("held") <= SMALL_GROUP) if finer < 3 else open_rows
-        other = few.select(F.col("sig").alias("s"), F.col("rid").alias("b"), F.col("comp").alias("cb"))
-        pairs = few.join(other, (F.col("sig") == F.col("s")) & (F.col("comp") != F.col("cb")) & (F.col("rid") > F.col("b"))).select(F.col("rid").alias("a"), "b").distinct()
-        found = materialize(_similar(pairs, sets, num, den), "jaccard-links")
-        links = links.unionByName(found)
-        big = open_rows.where(F.col("held") > SMALL_GROUP).select("sig", "rid", "comp")
-        if finer == 3 or big.isEmpty():
-            break
-        rows = _refine(big, sets, num, den, sets_about, finer)
-    return links
-
-
-def _refine(rows: DataFrame, sets: DataFrame, num: int, den: int, sets_about: int, finer: int) -> DataFrame:
-    """Splits groups by the contents of an independent partition: similar sets share one there too."""
-    own = sets.join(rows.select("rid").distinct(), "rid", "left_semi")
+def _within_clusters(shared: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among sets that share a content but lie in different components so far.
 
-    def run(batches):
-        sch = scheme(num, den, sets_about)
-        for b in batches:
-            found = [sch.contents(np.array(x, dtype=np.int64).view(np.uint64), seed=finer).view(np.int64).tolist() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["r", "fine"])
-
-    fine = materialize(own.select("rid", "elems").mapInArrow(run, "r long, fine array<long>"), "jaccard-finer")
-    split = rows.join(fine, F.col("rid") == F.col("r")).select("sig", "rid", "comp", F.explode("fine").alias("f"))
-    return materialize(split.select(F.xxhash64("sig", "f").alias("sig"), "rid", "comp").distinct(), "jaccard-finer-rows")
+    Sets that shared contents chain together are a cluster.  A cluster whose sets
+    are larger than ``BLOCK_BYTES`` is cut into blocks by hash, and a task gets two
+    blocks; it compares each two sets that share a content, unless links it has
+    found already join them.
+    """
+    rows = _relabel(shared.select("sig", "rid"), roots, "rid", "comp")
+    parted = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rid").alias("least")).where("c0 <> c1")
+    open_rows = materialize(rows.join(parted.select(F.col("sig").alias("s"), "least"), F.col("sig") == F.col("s")).select("sig", "rid", "comp", "least"), "jaccard-open")
+    chained = connected_components(open_rows.select(F.col("rid").alias("a"), F.col("least").alias("b")).distinct())
+    own = open_rows.groupBy("rid").agg(F.first("comp").alias("comp"), F.collect_set("sig").alias("sigs"))  # bounded by a set's contents
+    own = _relabel(own, chained, "rid", "cluster").join(sets, "rid")
+    own = materialize(own.select("rid", "comp", "cluster", "sigs", "elems"), "jaccard-clusters")
+    weight = own.groupBy("cluster").agg(F.ceil(F.sum(F.size("elems").cast("long") + F.size("sigs") + 32) * 8 / BLOCK_BYTES).cast("int").alias("k")).select(F.col("cluster").alias("of"), "k")
+    dealt = own.join(weight, F.col("cluster") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    dealt = dealt.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "sigs", "elems")
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        table = table.sort_by("rid")
+        rid, comp, block = (table.column(c).to_pylist() for c in ("rid", "comp", "block"))
+        sigs = _lists(table.column("sigs"))
+        elems = _lists(table.column("elems"))
+        parent = {c: c for c in comp}
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        members: dict[int, list[int]] = {}
+        a, b = [], []
+        for x in range(len(rid)):
+            held = sigs[x].tolist()
+            near = set()
+            for sig in held:
+                near.update(members.get(sig, ()))
+            for y in sorted(near):
+                if (i != j and block[x] == block[y]) or top(comp[x]) == top(comp[y]):
+                    continue
+                m, n = len(elems[x]), len(elems[y])
+                if min(m, n) * den < max(m, n) * num:
+                    continue
+                common = len(np.intersect1d(elems[x], elems[y], assume_unique=True))
+                if common * den >= (m + n - common) * num:
+                    parent[top(comp[x])] = top(comp[y])
+                    a.append(rid[x])
+                    b.append(rid[y])
+            for sig in held:
+                members.setdefault(sig, []).append(x)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "jaccard-links")
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for chunk in column.chunks:
+        flat, at = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [flat[p:q] for p, q in zip(at[:-1], at[1:])]
+    return out
 
 
 def ngram_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -188,7 +188,7 @@ def scheme(num: int, den: int, sets: int) -> Scheme:
 
 def _index(docs: DataFrame, size: int, num: int, den: int, sets: int, id_col: str, text_col: str) -> DataFrame:
     """rid, doc_id, text_hash, n, f1, f2 (fingerprint of the set), sigs."""
-    small_arrow_batches(docs.sparkSession, 512)
+    small_arrow_batches(docs.sparkSession, 128)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -18,6 +18,8 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words hashed at a time, a bound on memory for very long texts.
 WORDS_AT_ONCE = 1 << 18
+#: Characters whose words are held at a time.
+TEXT_AT_ONCE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,7 +57,17 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text, some texts at a time."""
+    first, held = 0, 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held >= TEXT_AT_ONCE:
+            yield from _some_sets(texts[first : k + 1], size)
+            first, held = k + 1, 0
+    yield from _some_sets(texts[first:], size)
+
+
+def _some_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     hashes = word_hashes([w for words in split for w in words])
     base = powers(size + 1)

@@ -13,8 +13,9 @@ bounds the model too.  A fifth of the sample is kept from the counts and
 calibrates the rejection.  It looks at the cross-entropy of a text whose words may
 each be of the language that suits it best, so that a text of several known
 languages passes; a document is rejected if that lies more than ``REJECT``
-deviations above the mean of its language, where the variance has a part per
-document and a part that shrinks with the number of characters.
+deviations, and more than ``MARGIN``, above the mean of its language, where the
+variance has a part per document and a part that shrinks with the number of
+characters.
 
 Defined cases: null text and text without a letter are ``und`` with score 0 and
 rejected; with no labelled document every row is ``und``; rows with null ``lang``
@@ -38,6 +39,8 @@ from millrace.plans.scratch import materialize, small_arrow_batches
 ORDER = 4
 SAMPLE = 2000
 REJECT = 8.0
+#: Nats per letter above the mean that never lead to rejection: names, codes, junk inside known language.
+MARGIN = 1.5
 DISCOUNT = 0.75
 UNKNOWN = "und"
 #: Characters whose evidence the score counts; longer texts would all give 1.
@@ -297,7 +300,7 @@ def identify(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", t
                 weight = np.exp((every[at, best][:, None] - every) * np.minimum(n, EVIDENCE)[:, None])
                 score = np.where(some, 1 / weight.sum(axis=1), 0.0)
                 ce = np.where(some, every[at, best], np.nan)
-                limit = m.mean[best] + REJECT * np.sqrt(m.per_text[best] + m.per_letter[best] / np.maximum(n, 1))
+                limit = m.mean[best] + np.maximum(MARGIN, REJECT * np.sqrt(m.per_text[best] + m.per_letter[best] / np.maximum(n, 1)))
                 rejected = ~some | (mixed > limit)
                 lang = [m.languages[k] if s else UNKNOWN for k, s in zip(best, some)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(rejected, pa.bool_()), b.column(2)], names=names)

@@ -1,7 +1,728 @@
-"""Registered queries of the library proper and their SQL."""
+"""Registered queries of the library proper and, for each that SQL can express, its SQL.
+
+Benchmark rows, scores and logs that the tables lack are derived from them by
+expressions that both engines compute alike.
+"""
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import numeric, prompts
+from millrace.functions.holdout import content_bucket, is_validation, take_split
+from millrace.functions.text import clean, cleaned, drop_reason, language_tag, nfc, source_label, strip_controls, unicode_strip, word_count, words
+from millrace.operators import blocks, budget, evalsets, leaderboard, metrics, mixture, ordering, tokenizer
+from millrace.operators.corpus import CorpusSpec, select_corpus
+from millrace.plans.scratch import fresh_path, materialize
+from millrace.sources.sinks import keep_newest
+
 QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "corpus_by_language"
+
+#: White space and control classes as RE2 writes them, for the SQL side.
+RE2_WHITE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+RE2_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+SEED, MOD, BLOCK = 17, 10, 256
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def sql_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[{RE2_WHITE}]+|[{RE2_WHITE}]+$', '', 'g')"
+
+
+def sql_clean(x: str) -> str:
+    return sql_strip(rf"regexp_replace({x}, '{RE2_CONTROLS}', '', 'g')")
+
+
+def sql_bucket(x: str) -> str:
+    return f"CAST(('0x' || substr(sha256({x}), 1, 16))::UBIGINT % {MOD} AS BIGINT)"
+
+
+SQL_CLEAN = f"SELECT doc_id, lang, source, c AS text FROM (SELECT *, {sql_clean('text')} AS c FROM documents WHERE text IS NOT NULL) WHERE length(c) >= 16"
+
+
+def cleaned_docs(spark: SparkSession, d: str) -> DataFrame:
+    return clean(documents(spark, d).select("doc_id", "lang", "source", "text"))
+
+
+# -- scans, cleaning, measuring ---------------------------------------------------
+
+
+@query("SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL AND text <> ''")
+def scan_documents(spark, d):
+    return documents(spark, d).where("text is not null and text <> ''").select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(chr(1) || substr(text, 1, 50) || chr(7) || chr(9) || 'x' || chr(127) || chr(31), '{RE2_CONTROLS}', '', 'g')) AS digest FROM documents")
+def strip_control_characters(spark, d):
+    dirty = F.concat(F.char(F.lit(1)), F.substring("text", 1, 50), F.char(F.lit(7)), F.char(F.lit(9)), F.lit("x"), F.char(F.lit(127)), F.char(F.lit(31)))
+    return documents(spark, d).select("doc_id", F.sha2(strip_controls(dirty), 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256({sql_strip('chr(8195) || chr(10) || substr(text, 1, 40) || chr(160) || chr(12288)')}) AS digest FROM documents")
+def strip_unicode_space(spark, d):
+    padded = F.concat(F.lit(" \n"), F.substring("text", 1, 40), F.lit(" 　"))
+    return documents(spark, d).select("doc_id", F.sha2(unicode_strip(padded), 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, sha256(text) AS digest FROM ({SQL_CLEAN})")
+def clean_documents(spark, d):
+    return cleaned_docs(spark, d).select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+@query(
+    f"SELECT reason, count(*) AS docs FROM (SELECT CASE WHEN text IS NULL OR text = '' THEN 'missing' WHEN c = '' THEN 'blank' WHEN length(c) < 16 THEN 'short' ELSE 'kept' END AS reason FROM (SELECT text, {sql_clean('text')} AS c FROM documents)) GROUP BY reason"
+)
+def clean_drop_reasons(spark, d):
+    return documents(spark, d).groupBy(drop_reason(F.col("text")).alias("reason")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize('e' || chr(769) || substr(text, 1, 60))) AS digest FROM documents")
+def nfc_normalise(spark, d):
+    return documents(spark, d).select("doc_id", F.sha2(nfc(F.concat(F.lit("é"), F.substring("text", 1, 60))), 256).alias("digest"))
+
+
+@query(rf"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[{RE2_WHITE}]+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents")
+def count_words(spark, d):
+    return documents(spark, d).select("doc_id", word_count(F.col("text")).alias("n_words"))
+
+
+@query("SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(min(length(text)) AS BIGINT) AS least, CAST(max(length(text)) AS BIGINT) AS most FROM documents GROUP BY lang")
+def text_lengths(spark, d):
+    n = F.length("text").cast("long")
+    return documents(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(n).alias("chars"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
+@query("SELECT tag, count(*) AS docs FROM (SELECT CASE WHEN contains(lower(source || ' ' || substr(text, 1, 200)), 'ko') THEN 'ko' ELSE 'en' END AS tag FROM documents) GROUP BY tag")
+def tag_language(spark, d):
+    return documents(spark, d).groupBy(language_tag(F.col("source"), F.substring("text", 1, 200)).alias("tag")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query("SELECT doc_id, text AS json_text FROM documents")
+def json_round_trip(spark, d):
+    line = F.to_json(F.struct(F.col("text")))
+    return documents(spark, d).select("doc_id", F.from_json(line, "text string")["text"].alias("json_text"))
+
+
+# -- holdout ----------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id FROM ({SQL_CLEAN}) WHERE {sql_bucket('text')} = 0")
+def holdout_val(spark, d):
+    return take_split(cleaned_docs(spark, d), "val", MOD).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM ({SQL_CLEAN}) WHERE {sql_bucket('text')} <> 0")
+def holdout_train(spark, d):
+    return take_split(cleaned_docs(spark, d), "train", MOD).select("doc_id")
+
+
+@query(f"SELECT lang, count(*) AS docs, count(*) FILTER ({sql_bucket('text')} = 0) AS held_out, round(avg(CASE WHEN {sql_bucket('text')} = 0 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM ({SQL_CLEAN}) GROUP BY lang")
+def holdout_rates(spark, d):
+    val = is_validation(F.col("text"), MOD)
+    return cleaned_docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(val).alias("held_out"), F.round(F.avg(F.when(val, 1.0).otherwise(0.0)), 6).alias("rate"))
+
+
+@query(f"SELECT bucket, count(*) AS docs FROM (SELECT {sql_bucket('text')} AS bucket FROM ({SQL_CLEAN})) GROUP BY bucket")
+def holdout_buckets(spark, d):
+    return cleaned_docs(spark, d).groupBy(content_bucket(F.col("text"), MOD).alias("bucket")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(f"SELECT count(*) AS shared FROM (SELECT DISTINCT text FROM ({SQL_CLEAN}) WHERE {sql_bucket('text')} = 0 INTERSECT SELECT DISTINCT text FROM ({SQL_CLEAN}) WHERE {sql_bucket('text')} <> 0)")
+def train_val_disjoint(spark, d):
+    docs = cleaned_docs(spark, d)
+    val, train = take_split(docs, "val", MOD).select("text").distinct(), take_split(docs, "train", MOD).select("text").distinct()
+    return val.join(train, "text", "left_semi").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query(f"SELECT (SELECT count(DISTINCT text) FROM ({SQL_CLEAN})) AS texts, (SELECT count(DISTINCT text) FROM ({SQL_CLEAN})) AS covered")
+def train_val_cover(spark, d):
+    docs = cleaned_docs(spark, d)
+    both = take_split(docs, "val", MOD).select("text").unionByName(take_split(docs, "train", MOD).select("text")).distinct().agg(F.count(F.lit(1)).alias("covered"))
+    return docs.agg(F.count_distinct("text").alias("texts"), F.lit(1).alias("k")).join(both.withColumn("k", F.lit(1)), "k").select("texts", "covered")
+
+
+# -- orders and mixtures ------------------------------------------------------------
+
+WEIGHTS = {"en": 0.7, "fr": 0.3}
+SQL_WEIGHT = "CASE lang WHEN 'en' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END"
+
+
+def sql_stride(length: str, source: str = f"({SQL_CLEAN})") -> str:
+    return (
+        f"SELECT *, row_number() OVER (ORDER BY vt, lang, doc_id) - 1 AS pos FROM (SELECT *, CAST(coalesce(sum(len) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / ({SQL_WEIGHT}) AS vt "
+        f"FROM (SELECT *, CAST({length} AS BIGINT) AS len FROM {source} WHERE lang IN ('en', 'fr')))"
+    )
+
+
+def mixed(spark, d, unit) -> DataFrame:
+    return mixture.stride(mixture.with_length(cleaned_docs(spark, d), unit), WEIGHTS, "lang", "doc_id")
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY sha256('{SEED}|' || doc_id), doc_id) - 1 AS pos FROM documents")
+def hash_shuffle(spark, d):
+    return ordering.hash_shuffle(documents(spark, d).select("doc_id"), SEED, "doc_id")
+
+
+@query(f"SELECT doc_id, lang, pos FROM ({sql_stride('length(text)')})")
+def mixture_stride_chars(spark, d):
+    return mixed(spark, d, "chars").select("doc_id", "lang", "pos")
+
+
+@query(f"SELECT doc_id, lang, pos FROM ({sql_stride('strlen(text)')})")
+def mixture_stride_bytes(spark, d):
+    return mixed(spark, d, "bytes").select("doc_id", "lang", "pos")
+
+
+@query(f"SELECT doc_id, lang, pos FROM ({sql_stride('1')})")
+def mixture_by_document(spark, d):
+    return mixed(spark, d, "documents").select("doc_id", "lang", "pos")
+
+
+@query(f"SELECT lang, count(*) AS docs, CAST(sum(len) AS BIGINT) AS length, round(sum(len) / sum(sum(len)) OVER (), 6) AS share FROM ({sql_stride('length(text)')}) GROUP BY lang")
+def mixture_realised_shares(spark, d):
+    return mixture.realised_shares(mixed(spark, d, "chars"), "lang").withColumn("share", F.round("share", 6))
+
+
+@query(f"SELECT lang, last_pos, docs, last_pos = min(last_pos) OVER () AS ends_first FROM (SELECT lang, max(pos) AS last_pos, count(*) AS docs FROM ({sql_stride('length(text)')}) GROUP BY lang)")
+def mixture_exhaustion(spark, d):
+    return mixture.exhaustion(mixed(spark, d, "chars"), "lang")
+
+
+@query("SELECT doc_id, round(coalesce(avg(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0), 6) AS mean_before FROM documents")
+def running_mean_length(spark, d):
+    rows = mixture.with_length(documents(spark, d).select("doc_id", "source", "text"), "chars").drop("text")
+    return mixture.running_means(rows, "source", "doc_id").select("doc_id", F.round("mean_before", 6).alias("mean_before"))
+
+
+@query("SELECT source, round(count(*) / sum(count(*)) OVER (), 6) AS weight FROM documents GROUP BY source")
+def source_weights(spark, d):
+    per = documents(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return per.select("source", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("weight"))
+
+
+@query()
+def mixture_replay(spark, d):
+    sized = mixture.with_length(cleaned_docs(spark, d), "chars").drop("text")
+    return mixture.replay(sized, WEIGHTS, SEED, "token", "lang", "doc_id").select("doc_id", "lang", "pos")
+
+
+@query()
+def buffer_shuffle(spark, d):
+    return ordering.buffer_shuffle(documents(spark, d).select("doc_id", "source"), SEED, 100, "doc_id", "source")
+
+
+# -- budgets and shards --------------------------------------------------------------
+
+SQL_BEFORE = "coalesce(sum({x}) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, " + SQL_BEFORE.format(x="strlen(text)") + " AS b FROM documents) WHERE b < 500000")
+def budget_bytes(spark, d):
+    rows = documents(spark, d).select("doc_id", F.octet_length("text").alias("n"))
+    return budget.cut_to_budget(rows, ["doc_id"], {"n": 500_000}).select("doc_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, " + SQL_BEFORE.format(x="length(text)") + " AS c, " + SQL_BEFORE.format(x="strlen(text)") + " AS b FROM documents) WHERE c < 700000 AND b < 690000")
+def budget_chars_and_bytes(spark, d):
+    rows = documents(spark, d).select("doc_id", F.length("text").alias("c"), F.octet_length("text").alias("b"))
+    return budget.cut_to_budget(rows, ["doc_id"], {"c": 700_000, "b": 690_000}).select("doc_id")
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 128 AS BIGINT) AS shard, (row_number() OVER (ORDER BY doc_id) - 1) % 128 AS in_shard FROM documents")
+def shard_assignment(spark, d):
+    return budget.assign_shards(documents(spark, d).select("doc_id"), ["doc_id"], 128)
+
+
+@query("SELECT count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def corpus_totals(spark, d):
+    return budget.totals(documents(spark, d))
+
+
+SQL_FLAGSHIP = (
+    f"SELECT lang, count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT *, coalesce(sum(strlen(text)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ({sql_stride('length(text)')}) WHERE {sql_bucket('text')} <> 0) WHERE b < 400000 GROUP BY lang"
+)
+
+
+@query(SQL_FLAGSHIP)
+def corpus_by_language(spark, d):
+    """Clean, mix 70/30, take the training split, cut to a byte budget, total by language."""
+    docs = cleaned_docs(spark, d).withColumnRenamed("source", "origin").withColumnRenamed("lang", "source").withColumnRenamed("doc_id", "ord")
+    chosen = select_corpus(docs, WEIGHTS, CorpusSpec(split="train", holdout_mod=MOD, max_bytes=400_000))
+    return chosen.groupBy(F.col("source").alias("lang")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_bytes").alias("bytes"), F.sum(F.length("text").cast("long")).alias("chars"))
+
+
+# -- blocks --------------------------------------------------------------------------
+
+
+def word_blocks(spark, d) -> DataFrame:
+    docs = documents(spark, d).select(F.col("doc_id").alias("ord"), words(F.col("text")).alias("tokens"))
+    return blocks.pack_blocks(docs, BLOCK)
+
+
+SQL_WORDS = rf"SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[{RE2_WHITE}]+'), lambda x: x <> '') AS w FROM documents)"
+SQL_PLACED = f"SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM ({SQL_WORDS})"
+SQL_BLOCKS = f"SELECT CAST(p // {BLOCK} AS BIGINT) AS block_id, count(*) AS n, string_agg(token, ' ' ORDER BY p) AS t FROM ({SQL_PLACED}) GROUP BY p // {BLOCK} HAVING count(*) = {BLOCK}"
+
+
+@query(f"SELECT block_id, n AS n_tokens, sha256(t) AS digest FROM ({SQL_BLOCKS})")
+def pack_word_blocks(spark, d):
+    return word_blocks(spark, d).select("block_id", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
+
+
+@query(f"SELECT block_id FROM ({SQL_BLOCKS}) WHERE block_id % 4 = 1")
+def pack_blocks_by_shard(spark, d):
+    return blocks.shard_of(word_blocks(spark, d), 1, 4).select("block_id")
+
+
+@query(f"SELECT block_id FROM (SELECT block_id, row_number() OVER (ORDER BY block_id) AS k FROM ({SQL_BLOCKS}) WHERE block_id % 4 = 1) WHERE k > 5")
+def pack_skip_blocks(spark, d):
+    return blocks.shard_of(word_blocks(spark, d), 1, 4, skip=5).select("block_id")
+
+
+@query(
+    f"WITH t AS (SELECT p // {BLOCK} AS b, p, token FROM ({SQL_PLACED}) WHERE p // {BLOCK} IN (SELECT block_id FROM ({SQL_BLOCKS}))), x AS (SELECT b, token, lead(token) OVER (PARTITION BY b ORDER BY p) AS next FROM t) SELECT token, next, count(*) AS n FROM x WHERE next IS NOT NULL GROUP BY token, next"
+)
+def next_token_pairs(spark, d):
+    return blocks.next_tokens(word_blocks(spark, d)).groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- samples ---------------------------------------------------------------------------
+
+SQL_KEY = f"sha256('{SEED}|' || doc_id)"
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {SQL_KEY}, doc_id LIMIT 100")
+def sample_uniform(spark, d):
+    return ordering.seeded_sample(documents(spark, d).select("doc_id"), 100, SEED, "doc_id")
+
+
+SQL_STRATA = f"SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {SQL_KEY}, doc_id) AS k FROM (SELECT doc_id, quality * 2 + toxic AS label FROM labels)"
+
+
+@query(
+    f"WITH s AS ({SQL_STRATA}), a AS (SELECT doc_id, label FROM s WHERE k <= 10), b AS (SELECT doc_id, label FROM s WHERE k > 10 ORDER BY {SQL_KEY}, doc_id LIMIT greatest(0, 42 - (SELECT count(*) FROM a))) SELECT doc_id, CAST(label AS INT) AS label, 'stratum' AS picked FROM a UNION ALL SELECT doc_id, CAST(label AS INT), 'top-up' FROM b"
+)
+def sample_stratified(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
+    return ordering.stratified_sample(rows, 42, SEED, "doc_id", "label", strict=False)
+
+
+# -- benchmark records -------------------------------------------------------------------
+
+A, B_, C_, D_ = (f"substr(text, {k}, 12)" for k in (1, 13, 25, 37))
+
+
+def parts(spark, d) -> DataFrame:
+    t = table(spark, d, "benchmark")
+    cut = lambda k, n: F.substring("text", k, n)
+    return t.select("item_id", "text", cut(1, 12).alias("a"), cut(13, 12).alias("b"), cut(25, 12).alias("c"), cut(37, 12).alias("e"), (F.col("item_id") % 5).cast("int").alias("k"))
+
+
+SQL_PARTS = f"SELECT item_id, text, {A} AS a, {B_} AS b, {C_} AS c, {D_} AS e, CAST(item_id % 5 AS INT) AS k FROM benchmark"
+
+
+def flat(rows: DataFrame, record: Column) -> DataFrame:
+    return evalsets.usable(rows, record, "item_id").select("id", "context", F.array_join(F.coalesce("contexts", F.array().cast("array<string>")), "|").alias("contexts"), F.array_join("choices", "|").alias("choices"), "label")
+
+
+def sql_flat(context: str, choices: list[str], label: str, contexts: list[str] | None = None) -> str:
+    joined = " || '|' || ".join(choices)
+    several = " || '|' || ".join(contexts) if contexts else "''"
+    return f"SELECT CAST(item_id AS VARCHAR) AS id, {context} AS context, {several} AS contexts, {joined} AS choices, CAST({label} AS INT) AS label FROM ({SQL_PARTS}) WHERE ({label}) IS NOT NULL"
+
+
+S = sql_strip
+LETTERS = ["A", "B", "C", "D"]
+
+
+@query(sql_flat("'Question: ' || text || chr(10) || 'Answer:'", [f"' ' || {S(x)}" for x in "abce"], "CASE WHEN k < 4 THEN k END"))
+def format_keyed_question(spark, d):
+    key = F.when(F.col("k") < 4, F.element_at(F.array(*[F.lit(x) for x in LETTERS]), F.least("k", F.lit(3)) + 1)).otherwise("E")
+    return flat(parts(spark, d), prompts.keyed_question(F.col("text"), F.array("a", "b", "c", "e"), F.array(*[F.lit(x) for x in LETTERS]), key))
+
+
+@query(sql_flat(S("text"), [f"' ' || {S(x)}" for x in "abce"], "CASE WHEN k < 4 THEN k END"))
+def format_keyed_stem(spark, d):
+    key = F.when(F.col("k") < 4, F.concat(F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in LETTERS]), F.least("k", F.lit(3)) + 1))).otherwise("E ")
+    return flat(parts(spark, d), prompts.keyed_stem(F.col("text"), F.array("a", "b", "c", "e"), F.array(*[F.lit(x) for x in LETTERS]), key))
+
+
+@query(sql_flat("'Question: ' || text || chr(10) || 'Answer:'", [f"' ' || {S(x)}" for x in "ab"], "CASE WHEN k < 2 THEN k END"))
+def format_two_solutions(spark, d):
+    return flat(parts(spark, d), prompts.two_solutions(F.col("text"), F.col("a"), F.col("b"), F.col("k")))
+
+
+@query(sql_flat("text || chr(10) || 'Question: ' || a || '?' || chr(10) || 'Answer:'", ["' no'", "' yes'"], "CASE WHEN k < 2 THEN k END"))
+def format_yes_no(spark, d):
+    return flat(parts(spark, d), prompts.yes_no(F.col("text"), F.col("a"), F.col("k")))
+
+
+@query(sql_flat("''", [f"' ' || {S('c')}"] * 2, f"CASE WHEN {S('c')} <> '' AND k IN (1, 2) THEN k - 1 END", ["a || 'x'", "a || 'y'"]))
+def format_fill_blank(spark, d):
+    rows = parts(spark, d)
+    return flat(rows, prompts.fill_blank(F.concat(F.replace(F.col("a"), F.lit("_"), F.lit("-")), F.lit("_"), "c"), F.lit("x"), F.lit("y"), F.col("k").cast("string")))
+
+
+@query(sql_flat(S("text"), [f"' ' || {S(x)}" for x in "abce"], "k"))
+def format_four_endings(spark, d):
+    return flat(parts(spark, d), prompts.four_endings(F.col("text"), [F.col(x) for x in "abce"], F.col("k")))
+
+
+CONNECTORS = {"cause": "because", "effect": "so"}
+
+
+@query(sql_flat(f"regexp_replace(text || ' ' || CASE k WHEN 0 THEN 'because' WHEN 1 THEN 'so' ELSE '' END, '[{RE2_WHITE}]+$', '')", [f"' ' || {S('a')}", f"' ' || {S('b')}"], "k % 2"))
+def format_cause_or_effect(spark, d):
+    asked = F.when(F.col("k") == 0, "cause ").when(F.col("k") == 1, "effect").otherwise("other")
+    return flat(parts(spark, d), prompts.cause_or_effect(F.col("text"), asked, F.col("a"), F.col("b"), F.col("k") % 2, CONNECTORS))
+
+
+@query(sql_flat("'문장: ' || text || ' 긍부정:'", ["' 부정'", "' 긍정'"], "k % 2"))
+def format_sentiment(spark, d):
+    return flat(parts(spark, d), prompts.judgement("sentineg", [F.col("text")], F.col("k") % 2))
+
+
+@query(sql_flat("text || ' 질문: ' || a || ' 답변:'", ["' 아니오'", "' 예'"], "k % 2"))
+def format_korean_yes_no(spark, d):
+    return flat(parts(spark, d), prompts.judgement("boolq", [F.col("text"), F.col("a")], F.col("k") % 2))
+
+
+@query(sql_flat("'문장1: ' || text || ' 문장2: ' || a || ' 두 문장에서 ' || b || '가 같은 뜻으로 쓰였나?'", ["' 아니오'", "' 예'"], "k % 2"))
+def format_word_in_context(spark, d):
+    return flat(parts(spark, d), prompts.judgement("wic", [F.col("text"), F.col("a"), F.col("b")], F.col("k") % 2))
+
+
+def sql_tidy(x: str) -> str:
+    return rf"replace(regexp_replace(replace({S(x)}, ' [title]', '. '), '\[[^\n]*?\]', '', 'g'), '  ', ' ')"
+
+
+@query(sql_flat(sql_tidy("'Walk: ' || a || ' [title]' || ' ' || upper(substr(b, 1, 1)) || lower(substr(b, 2))"), ["' ' || " + sql_tidy(f"{x} || ' [step] on'") for x in "ce"], "k"))
+def format_sentence_completion(spark, d):
+    ends = F.array(F.concat("c", F.lit(" [step] on")), F.concat("e", F.lit(" [step] on")))
+    return flat(parts(spark, d), prompts.sentence_completion(F.lit("Walk"), F.concat("a", F.lit(" [title]")), F.col("b"), ends, F.col("k").cast("string")))
+
+
+@query(f"SELECT CAST(item_id AS VARCHAR) AS id, CAST(i AS INT) AS choice_idx, ' ' || {S('x')} AS choice FROM (SELECT item_id, unnest([a, b, c, e]) AS x, unnest([0, 1, 2, 3]) AS i, k FROM ({SQL_PARTS})) WHERE k < 4")
+def explode_choices(spark, d):
+    label = F.when(F.col("k") < 4, F.col("k"))
+    records = evalsets.usable(parts(spark, d), prompts.four_endings(F.col("text"), [F.col(x) for x in "abce"], label), "item_id")
+    return evalsets.choice_rows(records).select("id", "choice_idx", "choice")
+
+
+@query(f"SELECT count(*) AS size, count(*) FILTER (k >= 4) AS dropped, count(*) FILTER (k < 4) AS usable FROM ({SQL_PARTS})")
+def task_drop_report(spark, d):
+    r = prompts.four_endings(F.col("text"), [F.col(x) for x in "abce"], F.when(F.col("k") < 4, F.col("k")))
+    return parts(spark, d).agg(F.count(F.lit(1)).alias("size"), F.count_if(r.isNull()).alias("dropped"), F.count_if(r.isNotNull()).alias("usable"))
+
+
+# -- scores and losses ---------------------------------------------------------------------
+
+
+def scores(spark, d) -> DataFrame:
+    t = table(spark, d, "benchmark").withColumn("task", F.concat(F.lit("task"), F.col("item_id") % 3))
+    t = t.withColumn("language", F.when(F.col("task") == "task0", "ko").otherwise("en")).withColumn("n", (2 + F.col("item_id") % 4).cast("int"))
+    each = t.select("task", "language", F.col("item_id").alias("ex_id"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("choice_idx"), (F.col("item_id") % 2).cast("int").alias("label"))
+    bits = F.conv(F.substring(F.sha2(F.concat_ws("|", "ex_id", "choice_idx"), 256), 1, 6), 16, 10).cast("long") % 50
+    return each.withColumn("score", -(bits.cast("double")) / 8)
+
+
+SQL_SCORES = (
+    "SELECT *, -(CAST(('0x' || substr(sha256(ex_id || '|' || choice_idx), 1, 6))::BIGINT % 50 AS DOUBLE)) / 8 AS score FROM (SELECT 'task' || (item_id % 3) AS task, CASE WHEN item_id % 3 = 0 THEN 'ko' ELSE 'en' END AS language, item_id AS ex_id, CAST(unnest(range(0, 2 + item_id % 4)) AS INT) AS choice_idx, CAST(item_id % 2 AS INT) AS label FROM benchmark)"
+)
+SQL_BEST = f"SELECT task, language, ex_id, any_value(label) AS label, arg_max(choice_idx, score * 1000 - choice_idx) AS predicted, count(*) AS n_choices, max(score) FILTER (choice_idx = label) AS gold, max(score) FILTER (choice_idx <> label) AS other, avg(score) FILTER (choice_idx <> label) AS mean_other FROM ({SQL_SCORES}) GROUP BY task, language, ex_id"
+SQL_TASKS = f"SELECT task, language, avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS acc_norm, avg(1.0 / n_choices) AS chance, avg(gold - other) AS margin_max, avg(gold - mean_other) AS margin_mean, count(*) AS n FROM ({SQL_BEST}) GROUP BY task, language"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"SELECT task, language, ex_id, CAST(predicted AS INT) AS predicted FROM ({SQL_BEST})")
+def predicted_choice(spark, d):
+    return metrics.best_choice(scores(spark, d), ["task", "language", "ex_id"]).select("task", "language", "ex_id", "predicted")
+
+
+@query(
+    f"SELECT task, language, round(acc_norm, 6) AS acc_norm, round(chance, 6) AS chance, round(margin_max, 6) AS margin_max, round(margin_mean, 6) AS margin_mean, n, round(acc_norm - chance, 6) AS above_chance, round(sqrt(greatest(acc_norm * (1 - acc_norm), 0) / n), 6) AS se FROM ({SQL_TASKS})"
+)
+def task_metrics(spark, d):
+    return rounded(metrics.task_metrics(scores(spark, d)))
+
+
+SQL_AGGS = "round(avg(acc_norm), 6) AS avg, round(avg(chance), 6) AS chance, round(avg(acc_norm - chance), 6) AS above_chance, round(avg((acc_norm - chance) / (1 - chance)), 6) AS normalized, count(*) AS n_tasks"
+
+
+@query(f"SELECT language, {SQL_AGGS} FROM ({SQL_TASKS}) GROUP BY language UNION ALL SELECT 'all', {SQL_AGGS} FROM ({SQL_TASKS})")
+def suite_aggregates(spark, d):
+    return rounded(metrics.suite_aggregates(metrics.task_metrics(scores(spark, d))))
+
+
+@query(f"SELECT task, round(avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM ({SQL_BEST}) GROUP BY task")
+def choice_accuracy(spark, d):
+    return rounded(metrics.choice_accuracy(scores(spark, d)))
+
+
+def losses(spark, d) -> DataFrame:
+    lang = F.when(F.col("user_id") % 2 == 0, "en").otherwise("ko")
+    return table(spark, d, "events").select(lang.alias("lang"), (F.abs("value") % 5).alias("nll"), F.when(F.col("event_id") % 7 == 0, -100).otherwise(1).alias("label"), (F.col("event_id") % 97).alias("batch"), "event_id")
+
+
+SQL_LOSSES = "SELECT CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'ko' END AS lang, abs(value) % 5 AS nll, CASE WHEN event_id % 7 = 0 THEN -100 ELSE 1 END AS label, event_id % 97 AS batch, event_id FROM events"
+SQL_LOSS = "sum(CASE WHEN label <> -100 THEN nll ELSE 0 END) / greatest(count(*) FILTER (label <> -100), 1)"
+
+
+@query(f"SELECT count(*) FILTER (label <> -100) AS tokens, round({SQL_LOSS}, 6) AS loss, round(exp({SQL_LOSS}), 6) AS perplexity FROM ({SQL_LOSSES})")
+def lm_loss(spark, d):
+    return rounded(metrics.loss_rows(losses(spark, d)))
+
+
+@query(f"SELECT lang, count(*) FILTER (label <> -100) AS tokens, round({SQL_LOSS}, 6) AS loss, round(exp({SQL_LOSS}), 6) AS perplexity FROM (SELECT * FROM ({SQL_LOSSES}) UNION ALL SELECT 'all', nll, label, batch, event_id FROM ({SQL_LOSSES})) GROUP BY lang")
+def lm_loss_by_language(spark, d):
+    return rounded(metrics.loss_by_language(losses(spark, d)))
+
+
+@query(f"SELECT round(avg(l), 6) AS loss, count(*) AS languages, round(exp(avg(l)), 6) AS perplexity FROM (SELECT avg(b) AS l FROM (SELECT lang, batch, avg(nll) AS b FROM ({SQL_LOSSES}) GROUP BY lang, batch) GROUP BY lang)")
+def val_loss_language_mean(spark, d):
+    return rounded(metrics.loss_language_mean(losses(spark, d).groupBy("lang", "batch").agg(F.avg("nll").alias("loss"))))
+
+
+SQL_LOG = "SELECT event_type AS run, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'ko' END AS lang, event_id AS step, round(abs(value), 4) AS loss FROM events WHERE value IS NOT NULL"
+
+
+def run_log(spark, d) -> DataFrame:
+    lang = F.when(F.col("user_id") % 2 == 0, "en").otherwise("ko")
+    return table(spark, d, "events").where("value is not null").select(F.col("event_type").alias("run"), lang.alias("lang"), F.col("event_id").alias("step"), F.round(F.abs("value"), 4).alias("loss"))
+
+
+@query(f"SELECT run, lang, step, b AS best_before, coalesce(loss > b, false) AS regressed FROM (SELECT *, min(loss) OVER (PARTITION BY run, lang ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ({SQL_LOG}))")
+def best_so_far(spark, d):
+    return metrics.best_so_far(run_log(spark, d)).select("run", "lang", "step", "best_before", "regressed")
+
+
+@query(f"SELECT run, lang, count(*) FILTER (loss > b) AS regressions, count(*) AS steps FROM (SELECT *, min(loss) OVER (PARTITION BY run, lang ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ({SQL_LOG})) GROUP BY run, lang")
+def regressed_languages(spark, d):
+    return metrics.best_so_far(run_log(spark, d)).groupBy("run", "lang").agg(F.count_if("regressed").alias("regressions"), F.count(F.lit(1)).alias("steps"))
+
+
+@query("SELECT run, step, CASE WHEN seconds - lag(seconds) OVER w > 0 THEN round((tokens - lag(tokens) OVER w) / (seconds - lag(seconds) OVER w), 6) END AS tokens_per_second FROM (SELECT event_type AS run, event_id AS step, event_id * 1000 AS tokens, CAST(event_id * 3 + event_id % 5 AS DOUBLE) AS seconds FROM events) WINDOW w AS (PARTITION BY run ORDER BY step)")
+def log_throughput(spark, d):
+    log = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), (F.col("event_id") * 1000).alias("tokens"), (F.col("event_id") * 3 + F.col("event_id") % 5).cast("double").alias("seconds"))
+    return rounded(metrics.throughput(log).select("run", "step", "tokens_per_second"))
+
+
+@query(rf"SELECT count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(w) AS BIGINT) AS words, CAST(sum(strlen(text)) AS BIGINT) AS tokens, round(sum(length(text)) / sum(strlen(text)), 6) AS chars_per_token, round(sum(strlen(text)) / sum(w), 6) AS tokens_per_word FROM (SELECT text, len(list_filter(regexp_split_to_array(text, '[{RE2_WHITE}]+'), lambda x: x <> '')) AS w FROM documents)")
+def corpus_ratios(spark, d):
+    rows = documents(spark, d).withColumn("n", F.octet_length("text").cast("long"))
+    return rounded(metrics.corpus_ratios(rows, "text", "n", word_count(F.col("text"))))
+
+
+@query("SELECT vec_id, round(avg(x) FILTER (i - 1 >= 4 AND i - 1 < 20), 6) AS score FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id")
+def continuation_scores(spark, d):
+    flat_ = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "lp"), F.lit(5).alias("context_len"), F.lit(21).alias("total_len"))
+    return rounded(metrics.continuation_scores(flat_.withColumn("lp", F.col("lp").cast("double")), ["vec_id"]))
+
+
+# -- leaderboard -----------------------------------------------------------------------------
+
+
+def evaluations(spark, d) -> DataFrame:
+    """Evaluation rows made from suppliers: one task per digit of the key, sometimes no aggregates."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    task = lambda i: F.struct(F.lit("en").alias("language"), ((k * (i + 3)) % 101 / 100.0).alias("acc_norm"))
+    tasks = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f"t{i}").alias("key"), F.when(k % (i + 2) != 0, task(i)).alias("value")) for i in range(3)]), lambda e: e["value"].isNotNull()))
+    aggs = F.when(k % 6 != 0, F.create_map(F.lit("en_avg"), (k % 17) / 16.0, F.lit("overall_avg"), (k % 13) / 12.0)).otherwise(F.create_map().cast("map<string,double>"))
+    lm = F.create_map(F.lit("all"), F.struct((k % 9 / 3.0).alias("loss"), F.lit(1.0).alias("perplexity")))
+    return s.select(
+        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("run"), k)).alias("run_name"), F.when(k % 8 != 0, F.concat(F.lit("out/r"), k, F.lit("/step.pt"))).alias("checkpoint"),
+        F.struct((k * 1000000).cast("long").alias("total")).alias("parameters"),
+        F.struct(F.array(F.concat(F.lit("c"), k % 3)).alias("val_sources"), F.lit(400).cast("long").alias("max_batches")).alias("provenance"),
+        lm.alias("language_modeling"), F.struct(tasks.alias("tasks"), aggs.alias("aggregates")).alias("downstream"),
+        F.format_string("res/e%06d.json", k).alias("file"),
+    )
+
+
+SQL_EVAL = (
+    "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 <> 0 THEN 'run' || s_suppkey WHEN s_suppkey % 8 <> 0 THEN 'r' || s_suppkey || '/step' ELSE 'e' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS model, s_suppkey * 1000000 AS parameters, round(s_suppkey % 9 / 3.0, 6) AS loss, CASE WHEN s_suppkey % 6 <> 0 THEN round((s_suppkey % 17) / 16.0, 6) END AS en_avg, CASE WHEN s_suppkey % 6 <> 0 THEN (s_suppkey % 13) / 12.0 END AS overall_avg, 'c' || (s_suppkey % 3) AS src, "
+    "row_number() OVER (ORDER BY CASE WHEN s_suppkey % 6 <> 0 THEN (s_suppkey % 13) / 12.0 END DESC NULLS LAST, s_suppkey) AS rank, " + ", ".join(f"CASE WHEN s_suppkey % {i + 2} <> 0 THEN round((s_suppkey * {i + 3}) % 101 / 100.0, 6) END AS t{i}" for i in range(3)) + " FROM supplier"
+)
+
+
+def board(spark, d) -> DataFrame:
+    return leaderboard.ranked(leaderboard.result_rows(evaluations(spark, d)))
+
+
+@query(f"SELECT CAST(rank AS INT) AS rank, model, parameters, loss, en_avg, round(overall_avg, 6) AS overall_avg FROM ({SQL_EVAL})")
+def leaderboard_rows(spark, d):
+    return rounded(board(spark, d).select("rank", "model", "parameters", "loss", "en_avg", "overall_avg"))
+
+
+@query(f"SELECT CAST(rank AS INT) AS rank, model, t0, t1, t2 FROM ({SQL_EVAL})")
+def leaderboard_wide(spark, d):
+    rows = board(spark, d)
+    return rounded(leaderboard.wide(rows, leaderboard.task_names(rows)))
+
+
+@query(f"SELECT CAST(rank AS INT) AS rank, model, parameters AS params, loss AS val_loss, CAST(1.0 AS DOUBLE) AS val_ppl, en_avg, CAST(NULL AS DOUBLE) AS ko_avg, CAST(NULL AS DOUBLE) AS en_above_chance, CAST(NULL AS DOUBLE) AS ko_above_chance, CAST(NULL AS DOUBLE) AS overall_above_chance, round(overall_avg, 6) AS overall_avg, src AS val_sources, CAST(400 AS BIGINT) AS max_batches, t0, t1, t2 FROM ({SQL_EVAL})")
+def leaderboard_table(spark, d):
+    rows = board(spark, d)
+    return rounded(leaderboard.flat_table(rows, leaderboard.task_names(rows)))
+
+
+@query(f"SELECT src AS val_sources, count(*) AS runs, string_agg(model, ',' ORDER BY rank) AS models, CAST(min(rank) AS INT) AS first_rank FROM ({SQL_EVAL}) GROUP BY src")
+def validation_corpus_groups(spark, d):
+    g = leaderboard.corpus_groups(board(spark, d))
+    return g.select(F.array_join("val_sources", ";").alias("val_sources"), F.size("models").cast("long").alias("runs"), F.array_join("models", ",").alias("models"), "first_rank")
+
+
+@query(f"SELECT model, coalesce(printf('%.1f', t0 * 100), '–') AS t0, coalesce(printf('%.4f', loss), '–') AS loss FROM ({SQL_EVAL})")
+def leaderboard_cells(spark, d):
+    rows = board(spark, d)
+    return leaderboard.wide(rows, ["t0"]).join(rows.select("rank", "loss"), "rank").select("model", leaderboard.percent(F.col("t0")).alias("t0"), leaderboard.number(F.col("loss"), 4).alias("loss"))
+
+
+@query(f"SELECT DISTINCT unnest(['t0', 't1', 't2']) AS task")
+def task_union(spark, d):
+    return board(spark, d).select(F.explode(F.map_keys("tasks")).alias("task")).distinct()
+
+
+@query("SELECT * FROM (VALUES ('t7'), ('t9')) v(task)")
+def unknown_tasks(spark, d):
+    asked = spark.createDataFrame([("t0",), ("t7",), ("t9",), ("t7",)], "task string")
+    return evalsets.unknown_names(asked, task_union(spark, d))
+
+
+@query("SELECT name FROM (SELECT name, row_number() OVER (ORDER BY name DESC) AS k FROM (SELECT DISTINCT printf('step_%08d.pt', o_orderkey) AS name FROM orders)) WHERE k > 3")
+def rotate_checkpoints(spark, d):
+    names = table(spark, d, "orders").select(F.format_string("step_%08d.pt", "o_orderkey").alias("name")).distinct()
+    return keep_newest(names, 3)
+
+
+# -- numbers -----------------------------------------------------------------------------------
+
+
+def logits(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("tok", "x")).withColumn("x", F.round(F.col("x").cast("double"), 2))
+
+
+SQL_LOGITS = "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS tok, round(CAST(unnest(embedding) AS DOUBLE), 2) AS x FROM embeddings"
+
+
+@query(f"SELECT vec_id, tok FROM (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x DESC) AS r FROM ({SQL_LOGITS})) WHERE r <= 5")
+def top_k_filter(spark, d):
+    return numeric.keep_top_k(logits(spark, d), 5, "vec_id", "x").select("vec_id", "tok")
+
+
+@query(
+    f"SELECT vec_id, count(*) AS kept FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY x DESC, tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM ({SQL_LOGITS}))) WHERE b <= 0.5 GROUP BY vec_id"
+)
+def top_p_filter(spark, d):
+    return numeric.keep_top_p(logits(spark, d), 0.5, "vec_id", "x", "tok").groupBy("vec_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(f"SELECT vec_id, tok, round(CASE WHEN tok % 3 = 0 THEN CASE WHEN x < 0 THEN x * 1.2 ELSE x / 1.2 END ELSE x END, 6) + 0.0 AS score FROM ({SQL_LOGITS})")
+def repetition_penalty(spark, d):
+    return logits(spark, d).select("vec_id", "tok", (F.round(numeric.repetition_penalty(F.col("x"), F.col("tok") % 3 == 0, 1.2), 6) + F.lit(0.0)).alias("score"))
+
+
+@query("SELECT vec_id, round(CAST(embedding[1 + vec_id % 64] AS DOUBLE) - ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))))), 6) AS lp FROM embeddings")
+def log_softmax_gather(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(numeric.log_softmax_at(v, (F.col("vec_id") % 64).cast("int")), 6).alias("lp"))
+
+
+@query("SELECT s AS step, round(3e-4 * CASE WHEN s < 100 THEN s / 100.0 WHEN s >= 1000 THEN 0.1 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 100) / 900.0)) END, 10) AS lr FROM range(0, 1011) t(s)")
+def lr_schedule(spark, d):
+    return spark.range(1011).select(F.col("id").alias("step"), F.round(numeric.cosine_factor(F.col("id"), 1000, 0.1, 0.1) * 3e-4, 10).alias("lr"))
+
+
+@query("SELECT p AS pos, i AS pair, round(cos(p * pow(10000.0, -2.0 * i / 64)), 6) AS cos, round(sin(p * pow(10000.0, -2.0 * i / 64)), 6) AS sin FROM range(0, 128) a(p), range(0, 32) b(i)")
+def rotary_table(spark, d):
+    return rounded(numeric.rotary_table(spark, 128, 64))
+
+
+@query("SELECT p_partkey, CAST(ceil(CASE WHEN p_size % 2 = 0 THEN p_size * 64 * 4 ELSE floor(p_size * 64 * 8 / 3) END / 128) * 128 AS BIGINT) AS ffn, CAST(p_size AS BIGINT) * 16 * 64 * 1024 * 4 AS kv_bytes, CAST(p_partkey * 6 AS BIGINT) AS flops, CAST(greatest(1, p_partkey * 100 // (p_size * 64 * 8)) AS BIGINT) AS accumulation FROM part")
+def model_sizes(spark, d):
+    p = table(spark, d, "part")
+    size = F.col("p_size").cast("long")
+    return p.select(
+        "p_partkey", numeric.ffn_width(size * 64, F.when(size % 2 == 0, "gelu").otherwise("swiglu")).alias("ffn"), numeric.kv_cache_bytes(size, F.lit(16), F.lit(64), F.lit(1024), F.lit(1)).alias("kv_bytes"),
+        numeric.flops_per_token(F.col("p_partkey").cast("long")).alias("flops"), numeric.grad_accumulation(F.col("p_partkey") * 100, size, F.lit(64), F.lit(8)).alias("accumulation"),
+    )
+
+
+@query("SELECT event_type, round(sqrt(sum(value * value)), 4) AS norm FROM events GROUP BY event_type")
+def global_norm(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 4).alias("norm"))
+
+
+@query("SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'n' || s_suppkey ELSE 'b/f' || s_suppkey END AS label FROM supplier")
+def source_labels(spark, d):
+    k = F.col("s_suppkey")
+    name = F.when(k % 2 == 0, F.concat(F.lit("n"), k)).otherwise("")
+    return table(spark, d, "supplier").select(source_label(name, F.concat(F.lit("a/b/f"), k, F.lit(".pt")), F.lit("x.json")).alias("label")).distinct()
+
+
+# -- tokenizer, streaming: checked by rows and by tests ------------------------------------------
+
+
+@query()
+def pre_token_counts(spark, d):
+    return tokenizer.piece_counts(documents(spark, d))
+
+
+@query()
+def bpe_encode(spark, d):
+    docs = documents(spark, d).select("doc_id", "text")
+    spec = tokenizer.train_bpe(docs, 1000)
+    return docs.select("doc_id", F.size(tokenizer.encode_document(F.col("text"), spec, 977, 978)).alias("n_tokens"))
+
+
+@query()
+def bpe_pack(spark, d):
+    docs = documents(spark, d).select("doc_id", "text")
+    spec = tokenizer.train_bpe(docs, 1000)
+    rows = materialize(docs.select(F.col("doc_id").alias("ord"), tokenizer.encode_document(F.col("text"), spec, 977, 978).alias("tokens")), "bpe")
+    return blocks.pack_blocks(rows, 1024).select("block_id", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM ({SQL_CLEAN}) WHERE {sql_bucket('text')} <> 0")
+def stream_clean_split(spark, d):
+    from millrace.streaming.corpus import arriving, clean_split_stream
+
+    out = fresh_path(spark, "stream-out")
+    rows = arriving(spark, f"{d}/documents.parquet*", "doc_id long, text string, lang string, source string, n_chars long")
+    clean_split_stream(rows, out, split="train", mod=MOD).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query("SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+def stream_source_statistics(spark, d):
+    from millrace.streaming.corpus import arriving, source_statistics_stream
+
+    name = f"stats_{random.SystemRandom().randrange(1 << 40)}"
+    rows = arriving(spark, f"{d}/documents.parquet*", "doc_id long, text string, lang string, source string, n_chars long")
+    source_statistics_stream(rows, name).awaitTermination()
+    return spark.table(name)

@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
         FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
     "op10_chat_lines": """
         SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
-               0 AS n_calls, 0 AS n_open, CAST(NULL AS BIGINT) AS call_turn, 'message' AS status, '' AS errors,
+               CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_open, CAST(NULL AS BIGINT) AS call_turn, 'message' AS status, '' AS errors,
                CAST(to_json(struct_pack(content := text, role := role)) AS VARCHAR) AS line
         FROM conversations""",
 }

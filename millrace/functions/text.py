@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the characters that count as white space in Unicode text stripping.
 WHITE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　"
@@ -51,18 +52,22 @@ def drop_reason(text: Column, rules: CleanRules = CleanRules()) -> Column:
     t = cleaned(text, rules)
     reason = F.when(text.isNull() | (text == ""), "missing").when(t == "", "blank").when(F.length(t) < rules.min_chars, "short")
     if rules.require_valid:
-        reason = reason.when(~F.is_valid_utf8(t), "invalid")
+        reason = reason.when(~F.is_valid_utf8(text), "invalid")
     return reason.otherwise("kept")
 
 
 def clean(df: DataFrame, rules: CleanRules = CleanRules(), text_col: str = "text") -> DataFrame:
-    """Replaces the text by its cleaned form and drops rows that are missing, blank, short or invalid."""
-    out = df.where(F.col(text_col).isNotNull()).withColumn(text_col, cleaned(F.col(text_col), rules))
-    out = out.where((F.col(text_col) != "") & (F.length(text_col) >= rules.min_chars))
-    return out.where(F.is_valid_utf8(text_col)) if rules.require_valid else out
+    """Replaces the text by its cleaned form and drops rows that are missing, blank, short or invalid.
 
+    Validity is asked of the text as it came, since regular expressions repair it.
+    """
+    out = df.where(F.col(text_col).isNotNull())
+    out = out.where(F.is_valid_utf8(text_col)) if rules.require_valid else out
+    out = out.withColumn(text_col, cleaned(F.col(text_col), rules))
+    return out.where((F.col(text_col) != "") & (F.length(text_col) >= rules.min_chars))
 
-@F.pandas_udf("string")
+
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no function for it."""
     import unicodedata

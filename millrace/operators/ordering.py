@@ -54,7 +54,7 @@ def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, order_by: str, gr
     The replay is sequential by nature; it handles ordinals only (one number a
     row), one group a task, and is joined back by (group, ordinal).
     """
-    ranked = global_rank(df, [order_by], "ord", [group_by])
+    ranked = global_rank(df, [order_by], "__nth", [group_by])
     sizes = ranked.groupBy(group_by).count()
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -63,7 +63,7 @@ def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, order_by: str, gr
 
     kind = sizes.schema[group_by].dataType.simpleString()
     order = sizes.groupBy(group_by).applyInPandas(replay, f"__g {kind}, __ord long, pos long")
-    return ranked.join(order, ranked[group_by].eqNullSafe(order["__g"]) & (F.col("ord") == F.col("__ord"))).drop("__g", "__ord", "ord")
+    return ranked.join(order, ranked[group_by].eqNullSafe(order["__g"]) & (F.col("__nth") == F.col("__ord"))).drop("__g", "__ord", "__nth")
 
 
 def seeded_sample(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:

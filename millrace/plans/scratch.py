@@ -45,6 +45,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark)}/millrace/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if store.makeQualified(path).toString().startswith(own):
+            store.delete(path, True)
+
+
 def small_arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound an Arrow batch by rows, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

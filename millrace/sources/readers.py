@@ -42,22 +42,30 @@ def shard_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(files)
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    """Adds ``ord``: file and place in it.  Lines keep their order inside a file split."""
-    return df.withColumn("ord", F.monotonically_increasing_id())
+def _place():
+    """Sorts as the rows stand: by file, split and row.  No shuffle numbers them."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("ord")
+
+
+def _jsonl(spark: SparkSession, files: list[str] | str, text_key: str) -> DataFrame:
+    lines = spark.read.text(files).select(_place(), "value").where(F.trim("value") != "").where(~F.col("value").rlike(LONE_HALF))
+    schema = T.StructType([T.StructField(text_key, T.StringType())])
+    return lines.select("ord", F.from_json("value", schema)[text_key].alias("text")).where("text is not null and text <> ''")
+
+
+def _parquet(spark: SparkSession, files: list[str] | str, text_key: str) -> DataFrame:
+    rows = spark.read.parquet(*([files] if isinstance(files, str) else files))
+    return rows.select(_place(), F.col(text_key).alias("text")).where("text is not null and text <> ''")
 
 
 def read_jsonl(spark: SparkSession, files: list[str] | str, text_key: str = "text") -> DataFrame:
     """text of every line that is an object with a non-empty text; other lines are skipped."""
-    lines = spark.read.text(files).where(F.trim("value") != "").where(~F.col("value").rlike(LONE_HALF))
-    schema = T.StructType([T.StructField(text_key, T.StringType())])
-    parsed = lines.select(F.from_json("value", schema)[text_key].alias("text"))
-    return parsed.where("text is not null and text <> ''")
+    return _jsonl(spark, files, text_key).select("text")
 
 
 def read_parquet_text(spark: SparkSession, files: list[str] | str, text_key: str = "text") -> DataFrame:
     """One column is read; null and empty texts are skipped."""
-    return spark.read.parquet(*([files] if isinstance(files, str) else files)).select(F.col(text_key).alias("text")).where("text is not null and text <> ''")
+    return _parquet(spark, files, text_key).select("text")
 
 
 def read_plain_lines(spark: SparkSession, files: list[str] | str) -> DataFrame:
@@ -70,10 +78,11 @@ def read_source(spark: SparkSession, source: Source, rules: CleanRules | None =
     if not source.path:
         raise ValueError(f"source {source.name} has no path; remote sets are to be downloaded first")
     files = shard_files(spark, source.path)
-    rows = read_parquet_text(spark, files, source.text_key) if files[0].endswith(".parquet") else read_jsonl(spark, files, source.text_key)
-    rows = _ordered(rows).select(F.lit(source.name).alias("source"), "ord", "text")
+    rows = (_parquet if files[0].endswith(".parquet") else _jsonl)(spark, files, source.text_key)
+    rows = rows.select(F.lit(source.name).alias("source"), "ord", "text")
     if shuffle_seed is not None and shuffle_buffer > 1:
-        rows = buffer_shuffle(rows, shuffle_seed, shuffle_buffer, "ord", "source").drop("ord").withColumnRenamed("pos", "ord").select("source", "ord", "text")
+        shuffled = buffer_shuffle(rows, shuffle_seed, shuffle_buffer, "ord", "source")
+        rows = shuffled.select("source", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.col("pos").alias("row")).alias("ord"), "text")
     return clean(rows, rules) if rules else rows
 
 

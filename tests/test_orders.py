@@ -67,7 +67,7 @@ def test_stride_holds_token_shares(spark):
     even = mixture.stride(df.withColumn("len", F.lit(1).cast("long")), {"a": 0.5, "b": 0.5}).where("pos < 1000")
     assert even.where("source = 'a'").count() == 500
     ends = {r.source: r.ends_first for r in mixture.exhaustion(mixture.stride(df, {"a": 0.5, "b": 0.5})).collect()}
-    assert ends == {"a": False, "b": True}
+    assert ends == {"a": True, "b": False}
 
 
 def test_replay_equals_a_plain_simulation(spark):

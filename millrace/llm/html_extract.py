@@ -165,7 +165,7 @@ def synthetic_page(r: random.Random) -> tuple[str, list[bool]]:
     """
     pieces = [k for k in ("header", "menu", "notice", "advert", "form") if r.random() < 0.5]
     after = [k for k in ("advert", "side", "share", "talk", "form", "menu", "footer") if r.random() < 0.5]
-    inside = _boilerplate(r, r.choice(["advert", "share", "side", "form"])) if r.random() < 0.2 else ""
+    inside = _boilerplate(r, r.choice(["advert", "advert", "share", "side", "form", "notice"])) if r.random() < 0.45 else ""
     article = _article(r, inside)
     wrap = r.choice([("", ""), ("<div>", "</div>"), ('<div id="page"><div class="wrap">', "</div></div>")])
     before_html, after_html = "".join(_boilerplate(r, k) for k in pieces), "".join(_boilerplate(r, k) for k in after)

@@ -9,7 +9,7 @@ import numpy as np
 
 @dataclass
 class BoostedTrees:
-    rounds: int = 60
+    rounds: int = 80
     depth: int = 4
     rate: float = 0.2
     bins: int = 32
@@ -20,7 +20,7 @@ class BoostedTrees:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(self.edges)]).astype(np.uint8)
+        return np.column_stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)]).astype(np.uint8)
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
         """Logistic loss, second-order gains, trees grown level by level."""

@@ -17,8 +17,9 @@ similar; those that share one are candidates and are compared in full.
 * **Cost-based allocation.**  ``Band.plan`` weighs, for the number of sets there
   are, the contents written against the candidates expected, and chooses how many
   segments get one deletion.
-* **Weak segments.**  An empty segment (or one that a deletion empties) would put
-  strangers together, so it is not indexed.  ``spare`` units make up for them: a
+* **Weak segments.**  A segment with few elements (``strong`` less one at most, or
+  that few after a deletion) would put strangers together, so it is not indexed.
+  ``spare`` units make up for them: a
   set whose weak segments take no more units than are spare is complete.  A set
   that has more is indexed once more under another hash, together with its like
   only, and so on; the last level indexes weak segments too.  A similar pair is
@@ -26,8 +27,10 @@ similar; those that share one are candidates and are compared in full.
 * **Verification.**  Equal sets are joined beforehand by fingerprint, and only one
   of each class goes on.  Sets that share a content are compared with the smallest
   of them, the hub, so a group costs its size, not its square.  Sets that share a
-  content and are in different components after that are compared with each other
-  in clusters, in blocks of bounded size, and only until links join them.
+  content and are in different components after that are looked at in clusters, in
+  blocks of bounded size: first by bitmaps that bound the intersection from above,
+  which breaks up the chains that common passages make, then in full, and only
+  until links join them.
 
 Contents that very many sets share are salted: hubs are found per salt, and hubs of
 hubs after.
@@ -45,22 +48,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.shingles import mix, shingle_sets
-from millrace.plans.scratch import materialize, shuffle_partitions, small_arrow_batches
+from millrace.plans.prefix import running_sum
+from millrace.plans.scratch import discard, materialize, shuffle_partitions, small_arrow_batches
 
 LEVELS = 6
 BAND_RATIO = 1.35
 #: Share of the sets in a band that one more level may be needed for.
 INCOMPLETE = 0.02
-#: Planning only: how likely an unrelated set holds a given shingle, and how many
-#: written contents one comparison is worth.
-CHANCE, COMPARISON = 1e-5, 4.0
-#: Bytes of sets and contents in one block of a cluster.
-BLOCK_BYTES = 32 << 20
+#: Planning only: the share of a set's shingles that other sets have by common
+#: passages, the share of sets that have the same passage, and how many written
+#: contents one comparison is worth.
+COMMON, SPREAD, COMPARISON = 0.1, 1e-5, 4.0
+#: Bytes of bitmaps, and of whole sets, in one block of a cluster.
+BITMAP_BLOCK, SET_BLOCK = 4 << 20, 32 << 20
 #: Rows of two or three numbers that are broadcast at most; above it, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -76,6 +81,7 @@ class Band:
     deletions: int  # segments with v = 1; they come first
     exact: int  # segments with v = 0
     spare: int
+    strong: int  # elements that an indexed content has at least
 
     @property
     def segments(self) -> int:
@@ -85,25 +91,39 @@ class Band:
     def plan(number: int, low: int, high: int, sets: int, num: int, den: int) -> Band:
         differ = (den - num) * (high + high * den // num) // (den + num)
         best = None
-        for share in (0, 0.25, 0.5, 0.75, 1):
-            for spare in range(0, 12 + differ // 4):
-                units = differ + 1 + spare
-                deletions = int((units // 2) * share)
-                exact = units - 2 * deletions
-                k = low / (deletions + exact)
-                weak = exact * math.exp(-k) + 2 * deletions * math.exp(-k) * (1 + k) if deletions + exact > 1 else 0.0
-                if _tail(weak, spare) <= INCOMPLETE:
-                    meet = math.exp(-k) * math.expm1(k * CHANCE)
+        for strong in (1, 2, 3):
+            for share in (0, 0.25, 0.5, 0.75, 1):
+                for spare in range(0, 12 + differ // 2):
+                    units = differ + 1 + spare
+                    deletions = int((units // 2) * share)
+                    exact = units - 2 * deletions
+                    k = low / (deletions + exact)
+                    if deletions + exact > 1:
+                        weak = exact * _below(k, strong) + 2 * deletions * _below(k, strong + 1)
+                    else:
+                        weak = 0.0
+                    if _tail(weak, spare) > INCOMPLETE:
+                        continue
+                    meet = math.exp(k * (COMMON - 1)) - sum(_chance(k, x) * COMMON**x for x in range(strong))
                     written = exact + deletions * (1 + k)
-                    cost = written + COMPARISON * sets * (exact * meet + deletions * k * meet)
+                    cost = written + COMPARISON * sets * SPREAD * (exact * meet + deletions * (1 + k) * meet * COMMON)
                     if best is None or cost < best[0]:
-                        best = cost, deletions, exact, spare
+                        best = cost, deletions, exact, spare, strong
                     break
         if best is None:
-            best = 0, 0, differ + 1, 0
+            best = 0, 0, differ + 1, 0, 1
         return Band(number, low, high, differ, *best[1:])
 
 
+def _chance(mean: float, x: int) -> float:
+    return math.exp(-mean) * mean**x / math.factorial(x)
+
+
+def _below(mean: float, x: int) -> float:
+    """Chance that a Poisson variable is below ``x``."""
+    return sum(_chance(mean, k) for k in range(x))
+
+
 def _tail(mean: float, most: int) -> float:
     """Chance that a Poisson variable exceeds ``most``."""
     term, total = math.exp(-mean), 0.0
@@ -164,17 +184,18 @@ class Scheme:
             starts = np.concatenate(([0], np.cumsum(count)[:-1]))
             total = np.add.reduceat(np.append(e[order], np.uint64(0)), np.minimum(starts, len(e)))
             total[count == 0] = 0
-            weak = count[b.deletions :] == 0
-            units = int(weak.sum()) + 2 * int((count[: b.deletions] <= 1).sum()) * (m > 1)
-            last = level == LEVELS - 1 or units <= b.spare
+            spread = m > 1
+            units = spread * (int((count[b.deletions :] < b.strong).sum()) + 2 * int((count[: b.deletions] <= b.strong).sum()))
+            whole = units <= b.spare
+            all_of_it = not whole and level == LEVELS - 1
+            last = whole or all_of_it
             mark = np.uint64((b.number * LEVELS + level) << 32) + np.arange(m, dtype=np.uint64)
-            keep = np.ones(m, dtype=bool) if level == LEVELS - 1 and units > b.spare else count > 0
-            out.append(mix(mix(mark ^ salt) + total)[keep])
+            least = b.strong if spread and not all_of_it else 0
+            out.append(mix(mix(mark ^ salt) + total)[count >= least])
             if b.deletions:
                 left = seg[order] < b.deletions
                 owner = seg[order][left].astype(np.int64)
-                short = count[owner] > 1 if not (level == LEVELS - 1 and units > b.spare) else count[owner] > 0
-                out.append(mix(mix(mark ^ salt)[owner] + total[owner] - e[order][left])[short])
+                out.append(mix(mix(mark ^ salt)[owner] + total[owner] - e[order][left])[count[owner] > least])
             if last:
                 break
         return np.unique(np.concatenate(out))
@@ -223,9 +244,31 @@ def _sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_col:
             sets = list(shingle_sets(b.column(1).to_pylist(), size))
             lengths = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))], names=["rid", "elems"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64())), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=["rid", "elems", "bits"])
+
+    return materialize(found.mapInArrow(run, "rid long, elems array<long>, bits binary"), "jaccard-sets")
 
-    return materialize(found.mapInArrow(run, "rid long, elems array<long>"), "jaccard-sets")
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit per element, in four to eight times as many bits, a power of two."""
+    size = max(64, 1 << (4 * len(s) - 1).bit_length() if len(s) else 64)
+    cells = np.zeros(size, dtype=np.uint8)
+    cells[(s & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(cells, bitorder="little").view(np.uint64)
+
+
+def most_common(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int) -> int:
+    """No fewer than two sets of these bitmaps and sizes have in common.
+
+    Beyond the shared bits, only elements that share a bit with another of their
+    own set can be common.
+    """
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    spare = min(n_x - int(np.bitwise_count(x).sum()), n_y - int(np.bitwise_count(y).sum()))
+    return int(np.bitwise_count(x & y).sum()) + spare
 
 
 def _bounded(keys: DataFrame) -> DataFrame:
@@ -252,7 +295,7 @@ def _hubs(shared: DataFrame, hot: DataFrame, ranges: int) -> DataFrame:
     """
     top = F.col("hot_sig").alias("top")
     key = F.when(top.isNotNull(), F.xxhash64("sig", F.pmod("rid", F.lit(ranges)))).otherwise(F.col("sig")).alias("key")
-    shared = shared.join(F.broadcast(hot), shared["sig"] == hot["hot_sig"], "left").select(key, "rid", top)
+    shared = shared.join(_bounded(hot), shared["sig"] == hot["hot_sig"], "left").select(key, "rid", top)
     group = Window.partitionBy("key")
     rows = shared.select("key", "rid", "top", F.min("rid").over(group).alias("hub"), F.count(F.lit(1)).over(group).alias("held"))
     rows = rows.where((F.col("held") > 1) | F.col("top").isNotNull())
@@ -277,7 +320,8 @@ def similar_components(
     rows = docs.count()
     sets_about = 1 << max(10, rows.bit_length())
     ranges = shuffle_partitions(spark)
-    index = _index(docs, size, num, den, sets_about, id_col, text_col)
+    indexed = _index(docs, size, num, den, sets_about, id_col, text_col)
+    index = materialize(indexed.drop("sigs"), "jaccard-rows")
 
     some = index.where("n > 0").select("rid", "doc_id", "n", "f1", "f2")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))
@@ -285,11 +329,12 @@ def similar_components(
     copies = some.join(classes, ["n", "f1", "f2"]).select("rid", F.col("rep.rid").alias("rep")).where("rid <> rep")
     copies = materialize(copies, "jaccard-copies")
 
-    nodes = index.where("n > 0").select("rid", "sigs").join(_bounded(copies.select("rid")), "rid", "left_anti")
+    nodes = indexed.where("n > 0").select("rid", "sigs").join(_bounded(copies.select("rid")), "rid", "left_anti")
     looked = nodes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)
     often = looked.select(F.explode("sigs").alias("hot_sig")).groupBy("hot_sig").count().where(F.col("count") * 64 > max(1024, rows // (2 * ranges)))
     hot = materialize(often.select("hot_sig"), "jaccard-hot")  # at most (contents a set) * 2 * ranges rows
     shared = _hubs(nodes.select(F.explode("sigs").alias("sig"), "rid"), hot, ranges)
+    discard(indexed)
 
     tops = shared.where("salted").select("sig", "hub").distinct()
     least = tops.groupBy("sig").agg(F.min("hub").alias("top"))
@@ -306,7 +351,7 @@ def similar_components(
     one = materialize(one, "jaccard-first")
     links = materialize(_similar(one, sets, num, den), "jaccard-links")
     roots = connected_components(links)
-    late = _within_clusters(shared, roots, sets, num, den)
+    late = _within_clusters(shared, roots, index, sets, num, den)
     if not late.isEmpty():
         roots = connected_components(links.unionByName(late))
 
@@ -324,32 +369,49 @@ def similar_components(
     )
 
 
-def _within_clusters(shared: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among sets that share a content but lie in different components so far.
-
-    Sets that shared contents chain together are a cluster.  A cluster whose sets
-    are larger than ``BLOCK_BYTES`` is cut into blocks by hash, and a task gets two
-    blocks; it compares each two sets that share a content, unless links it has
-    found already join them.
-    """
+def _within_clusters(shared: DataFrame, roots: DataFrame, index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among sets that share a content but lie in different components so far."""
     rows = _relabel(shared.select("sig", "rid"), roots, "rid", "comp")
     parted = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rid").alias("least")).where("c0 <> c1")
     open_rows = materialize(rows.join(parted.select(F.col("sig").alias("s"), "least"), F.col("sig") == F.col("s")).select("sig", "rid", "comp", "least"), "jaccard-open")
     chained = connected_components(open_rows.select(F.col("rid").alias("a"), F.col("least").alias("b")).distinct())
     own = open_rows.groupBy("rid").agg(F.first("comp").alias("comp"), F.collect_set("sig").alias("sigs"))  # bounded by a set's contents
-    own = _relabel(own, chained, "rid", "cluster").join(sets, "rid")
-    own = materialize(own.select("rid", "comp", "cluster", "sigs", "elems"), "jaccard-clusters")
-    weight = own.groupBy("cluster").agg(F.ceil(F.sum(F.size("elems").cast("long") + F.size("sigs") + 32) * 8 / BLOCK_BYTES).cast("int").alias("k")).select(F.col("cluster").alias("of"), "k")
-    dealt = own.join(weight, F.col("cluster") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = dealt.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "comp", "sigs", "elems")
+    own = materialize(_relabel(own, chained, "rid", "cluster").join(index.select("rid", "n"), "rid"), "jaccard-own")
+
+    near = _compare(own, sets.select("rid", "bits"), num, den, BITMAP_BLOCK, F.col("n"))
+    family = connected_components(near.unionByName(own.select(F.col("rid").alias("a"), F.col("comp").alias("b"))))
+    own = _relabel(own.drop("cluster"), family, "rid", "cluster")
+    mixed = own.groupBy("cluster").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("cluster").alias("c"))
+    own = materialize(own.join(mixed, F.col("cluster") == F.col("c"), "left_semi"), "jaccard-own")
+    return _compare(own, sets.select("rid", "bits", "elems"), num, den, SET_BLOCK, F.col("n") * 9)
+
+
+def _compare(own: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, bytes_each: Column) -> DataFrame:
+    """(a, b) of sets of one cluster that share a content and pass, less what other pairs already join.
+
+    A set passes by its bitmap, and by its elements if ``sets`` has them.  A cluster
+    is cut into blocks of about ``block_bytes`` in the order of the sets' sizes, so
+    that a block meets only those whose sizes are near enough; a task gets two.
+    """
+    full = "elems" in sets.columns
+    sized = own.withColumn("bytes", (bytes_each + F.size("sigs") * 8 + 64).cast("long"))
+    placed = running_sum(sized, "bytes", ["n", "rid"], ["cluster"], "before")
+    placed = materialize(placed.withColumn("block", F.floor(F.col("before") / block_bytes)).select("rid", "comp", "cluster", "sigs", "n", "block"), "jaccard-blocks")
+    blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    far = blocks.select(F.col("cluster").alias("c"), F.col("block").alias("j"), F.col("least_n").alias("n_j"))
+    near = (F.col("cluster") == F.col("c")) & (F.col("block") <= F.col("j")) & (F.col("most_n") * den >= F.col("n_j") * num)
+    meet = blocks.join(far, near).select(F.col("cluster").alias("c"), F.col("block").alias("i"), "j")
+    meet = meet.select("c", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("member"))
+    dealt = placed.join(sets, "rid").join(meet, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("member")))
+    dealt = dealt.select("cluster", "i", "j", "block", "rid", "comp", "n", "sigs", "bits", *(["elems"] if full else []))
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        crossing = key[1].as_py() != key[2].as_py()
         table = table.sort_by("rid")
-        rid, comp, block = (table.column(c).to_pylist() for c in ("rid", "comp", "block"))
+        rid, comp, block, size = (table.column(c).to_pylist() for c in ("rid", "comp", "block", "n"))
+        bits = [np.frombuffer(x, dtype=np.uint64) for x in table.column("bits").to_pylist()]
         sigs = _lists(table.column("sigs"))
-        elems = _lists(table.column("elems"))
+        elems = _lists(table.column("elems")) if full else []
         parent = {c: c for c in comp}
 
         def top(c: int) -> int:
@@ -358,26 +420,31 @@ def _within_clusters(shared: DataFrame, roots: DataFrame, sets: DataFrame, num:
                 c = parent[c]
             return c
 
+        def enough(common: int, m: int, n: int) -> bool:
+            return common * den >= (m + n - common) * num
+
         members: dict[int, list[int]] = {}
         a, b = [], []
         for x in range(len(rid)):
             held = sigs[x].tolist()
-            near = set()
+            near: set[int] = set()
             for sig in held:
-                near.update(members.get(sig, ()))
+                if sig in members:
+                    near.update(members[sig])
+                    members[sig].append(x)
+                else:
+                    members[sig] = [x]
             for y in sorted(near):
-                if (i != j and block[x] == block[y]) or top(comp[x]) == top(comp[y]):
+                m, n = size[x], size[y]
+                if (crossing and block[x] == block[y]) or min(m, n) * den < max(m, n) * num or top(comp[x]) == top(comp[y]):
                     continue
-                m, n = len(elems[x]), len(elems[y])
-                if min(m, n) * den < max(m, n) * num:
+                if not enough(most_common(bits[x], m, bits[y], n), m, n):
                     continue
-                common = len(np.intersect1d(elems[x], elems[y], assume_unique=True))
-                if common * den >= (m + n - common) * num:
-                    parent[top(comp[x])] = top(comp[y])
-                    a.append(rid[x])
-                    b.append(rid[y])
-            for sig in held:
-                members.setdefault(sig, []).append(x)
+                if full and not enough(len(np.intersect1d(elems[x], elems[y], assume_unique=True)), m, n):
+                    continue
+                parent[top(comp[x])] = top(comp[y])
+                a.append(rid[x])
+                b.append(rid[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "jaccard-links")

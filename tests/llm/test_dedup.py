@@ -132,8 +132,18 @@ def test_indexed_contents_lose_no_pair():
                 assert len(np.intersect1d(sch.contents(x), sch.contents(y)))
 
 
+def test_bitmaps_bound_the_intersection():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        base = r.integers(0, 1 << 63, int(r.integers(1, 300)), dtype=np.uint64)
+        x, y = np.unique(base), np.unique(np.concatenate((base[int(r.integers(0, len(base))) :], r.integers(0, 1 << 63, int(r.integers(0, 200)), dtype=np.uint64))))
+        bound = ngram_join.most_common(ngram_join.bitmap(x), len(x), ngram_join.bitmap(y), len(y))
+        assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+
+
 def test_blocks_of_clusters(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(ngram_join, "SET_BLOCK", 4000)
+    monkeypatch.setattr(ngram_join, "BITMAP_BLOCK", 2000)
     r = random.Random(8)
     rows = list(enumerate(near_copies(r, 20, 30)))
     df = spark.createDataFrame(rows, "doc_id long, text string")

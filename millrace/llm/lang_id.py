@@ -43,10 +43,11 @@ REJECT = 8.0
 MARGIN = 1.5
 DISCOUNT = 0.75
 UNKNOWN = "und"
+LANGUAGES_BROADCAST = 10_000
 #: Characters whose evidence the score counts; longer texts would all give 1.
 EVIDENCE = 40
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 WORDS = re.compile(r"[^\W\d_]+")
 BEGIN, END = 1, 2  # code points that no letter has
 
@@ -221,10 +222,12 @@ def labelled_sample(docs: DataFrame, sample: int, id_col: str, text_col: str, la
     """lang, part, text of at most ``sample`` learnable documents per language."""
     keyed = docs.select(F.col(lang_col).alias("lang"), fold(id_col).alias("part"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     keyed = keyed.where(F.col("lang").isNotNull() & (F.col("part") != 0) & F.col("text").isNotNull())
-    known = docs.where(F.col(lang_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(lang_col).alias("of")).count()
+    known = materialize(docs.where(F.col(lang_col).isNotNull() & (fold(id_col) != 0)).groupBy(F.col(lang_col).alias("of")).count(), "lang-counts")
+    if known.count() <= LANGUAGES_BROADCAST:
+        known = F.broadcast(known)
     # thin out by hash to about twice the bound, then rank: no large group is ever sorted
     share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("count"))
-    near = keyed.join(F.broadcast(known), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    near = keyed.join(known, F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return near.withColumn("place", place).where(F.col("place") <= sample).select("lang", "part", "text")
 

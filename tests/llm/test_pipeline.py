@@ -36,7 +36,7 @@ def test_stages_keep_columns_and_take_effect(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got = queries.QUERIES[name](spark, DATA)
     want = con.execute(queries.ORACLES[name])

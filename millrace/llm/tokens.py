@@ -35,7 +35,7 @@ WORD_LEVEL = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LET
 #: Characters whose class or lower case the tables above do not cover.
 UNCOVERED = re.compile("[^\x00-ɏ]|[İȺȾ]")
 
-#: Distinct pre-tokens a worker remembers before it starts anew; a memory bound, not a limit of the result.
+#: Distinct pre-tokens in each of a worker's two generations; a memory bound, not a limit of the result.
 REMEMBERED = 700_000
 #: Texts that are cut into pre-tokens together.
 TOGETHER = 64
@@ -73,6 +73,7 @@ class PieceEncoder:
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.rule = {"byte": BYTE_LEVEL, "word": WORD_LEVEL}.get(self.kind)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if self.kind == "byte":
             self.line_end = self.library.token_to_id("Ċ")  # the byte-level name of \n
         elif self.kind == "word":
@@ -89,21 +90,20 @@ class PieceEncoder:
     def ids_by_library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids_of_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each pre-token on its own, many at one call.
+    def packed_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each pre-token on its own, many at one call.
 
         Pre-tokens are joined by a separator that ends a pre-token and whose trace
         in the ids is certain: the id of a line end, which no other pre-token
         holds, or the mark of a word's end.  Should the number of parts not fit,
         each is encoded alone.
         """
-        out: dict[str, np.ndarray] = {}
-        if self.kind == "byte":
-            joined = [p for p in pieces if not p.isspace()]
-        else:
-            joined = pieces
+        blank = [p for p in pieces if p.isspace()] if self.kind == "byte" else []
+        joined = [p for p in pieces if not p.isspace()] if blank else pieces
+        out: dict[str, bytes] = {}
         if joined:
-            ids = np.array(self.library.encode_batch_fast(["\n".join(joined) if self.kind == "byte" else " ".join(joined)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            text = ("\n" if self.kind == "byte" else " ").join(joined)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
             if self.kind == "byte":
                 at = np.flatnonzero(ids == self.line_end)
                 starts, stops = np.concatenate(([0], at + 1)), np.concatenate((at, [len(ids)]))
@@ -111,9 +111,13 @@ class PieceEncoder:
                 stops = np.flatnonzero(self.ends[ids]) + 1
                 starts = np.concatenate(([0], stops[:-1]))
             if len(starts) == len(joined):
-                out = {p: ids[a:b] for p, a, b in zip(joined, starts.tolist(), stops.tolist())}
+                packed = ids.tobytes()
+                cuts = zip((starts * self.width).tolist(), (stops * self.width).tolist())
+                if not blank:
+                    return [packed[a:b] for a, b in cuts]
+                out = {p: packed[a:b] for p, (a, b) in zip(joined, cuts)}
         if left := [p for p in pieces if p not in out]:
-            out.update(zip(left, self.ids_by_library(left)))
+            out.update(zip(left, (i.tobytes() for i in self.ids_by_library(left))))
         return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -123,10 +127,15 @@ class PieceEncoder:
         while chunk := list(islice(it, TOGETHER)):
             cut = [self.pieces(t) for t in chunk]
             if len(self.known) > REMEMBERED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             known = self.known
-            if new := list(set().union(*[p for p in cut if p]).difference(known)):
-                known.update((p, i.tobytes()) for p, i in zip(new, self.ids_of_pieces(new)))
+            if new := set().union(*[p for p in cut if p]).difference(known):
+                older = self.older
+                if met := [p for p in new if p in older]:
+                    known.update((p, older[p]) for p in met)
+                    new.difference_update(met)
+                fresh = list(new)
+                known.update(zip(fresh, self.packed_pieces(fresh)))
             whole = iter(self.ids_by_library([t for t, p in zip(chunk, cut) if p is None]))
             done += [next(whole).tobytes() if p is None else b"".join(map(known.__getitem__, p)) for p in cut]
         return done
@@ -149,16 +158,13 @@ class PieceCounter:
     def __init__(self, path: str, proven: frozenset[str]):
         self.path = path
         self.by_piece = path.endswith(".json")
-        self.known: dict[str, int] = {}
         self.proven = proven
+        self.older: dict[str, int] = {}
         if self.by_piece:
             self.enc = encoder(path)
         else:
             self.sp, self.boundary = _sentencepiece(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = dict.fromkeys(self.proven, 1)
+        self.known = dict.fromkeys(proven, 1)
 
     def count(self, texts: list[str]) -> list[int]:
         done: list[int] = []
@@ -166,10 +172,15 @@ class PieceCounter:
         while chunk := list(islice(it, TOGETHER)):
             cut = [self.cut(t) for t in chunk]
             if len(self.known) > len(self.proven) + REMEMBERED:
-                self._reset()
+                self.older, self.known = self.known, dict.fromkeys(self.proven, 1)
             known = self.known
-            if new := list(set().union(*[p for p in cut if p]).difference(known)):
-                known.update(zip(new, self.merge(new)))
+            if new := set().union(*[p for p in cut if p]).difference(known):
+                older = self.older
+                if met := [p for p in new if p in older]:
+                    known.update((p, older[p]) for p in met)
+                    new.difference_update(met)
+                fresh = list(new)
+                known.update(zip(fresh, self.merge(fresh)))
             whole = iter(self.whole([t for t, p in zip(chunk, cut) if p is None]))
             done += [next(whole) if p is None else sum(map(known.__getitem__, p)) for p in cut]
         return done
@@ -183,7 +194,7 @@ class PieceCounter:
 
     def merge(self, pieces: list[str]) -> list[int]:
         if self.by_piece:
-            return [len(i) for i in self.enc.ids_of_pieces(pieces)]
+            return [len(i) // self.enc.width for i in self.enc.packed_pieces(pieces)]
         alone = len(self.sp.encode("a ")) - len(self.sp.encode("a"))  # of a last space, as an empty text has no token
         return [len(x) if p != "▁" else alone for p, x in zip(pieces, self.sp.encode([p[1:].replace("▁", " ") for p in pieces], num_threads=1))]
 

@@ -104,3 +104,30 @@ def corpus_ratios(docs: DataFrame, text: str, tokens: str, words: Column) -> Dat
     rows = docs.agg(F.sum(F.length(text).cast("long")).alias("chars"), F.sum(words).alias("words"), F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("docs"))
     one = lambda c: F.greatest(F.col(c), F.lit(1))
     return rows.select("docs", "chars", "words", "tokens", (F.col("chars") / one("tokens")).alias("chars_per_token"), (F.col("tokens") / one("words")).alias("tokens_per_word"))
+
+
+def last_word_targets(passages: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``context`` and ``target``, the text before and after the last space; null where there is none."""
+    cut = r"(?s)^(.*) ([^ ]*)$"
+    has = F.col(text_col).rlike(cut)
+    return passages.withColumn("context", F.when(has, F.regexp_extract(text_col, cut, 1))).withColumn("target", F.when(has, F.regexp_extract(text_col, cut, 2)))
+
+
+def last_word_accuracy(rows: DataFrame) -> DataFrame:
+    """Share of passages whose predicted token is the target's first; those without a target count as wrong."""
+    right = F.coalesce((F.col("predicted") == F.col("target_first")) & F.col("target").isNotNull(), F.lit(False))
+    return rows.agg(F.avg(right.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def first_batches(batches: DataFrame, most: int, number: str = "batch") -> DataFrame:
+    """The first ``most`` batches; all for 0."""
+    return batches.where(F.col(number) < most) if most else batches
+
+
+def batches_per_rank(tokens: int, batch: int, context: int, world: int) -> int:
+    return max(1, tokens // (batch * context * world))
+
+
+def by_length(rows: DataFrame, length: str, partitions: int | None = None) -> DataFrame:
+    """Rows of like length in one partition and in order, so that batches need little padding."""
+    return rows.repartitionByRange(*([partitions] if partitions else []), length).sortWithinPartitions(length)

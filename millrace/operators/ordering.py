@@ -48,6 +48,14 @@ def buffered_order(count: int, seed: int, buffer_size: int) -> list[int]:
     return out + held
 
 
+def shuffled_files(files: Sequence[str], seed: int | None) -> list[str]:
+    """Shard names in order, or shuffled from that order by a seed."""
+    out = sorted(files)
+    if seed is not None:
+        random.Random(seed).shuffle(out)
+    return out
+
+
 def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, order_by: str, group_by: str) -> DataFrame:
     """Adds ``pos``: the place of each row after the buffer shuffle of its group.
 

@@ -116,3 +116,16 @@ def test_frozen_sets(spark, tmp_path):
     assert '"contexts"' not in next((tmp_path / "frozen").glob("part-*")).read_text()
     assert evalsets.choice_rows(records).count() == 20
     assert len(evalsets.enabled_tasks([spec, evalsets.TaskSpec("u", spec.record, during_training=False)], True)) == 1
+
+
+def test_last_words_and_batches(spark):
+    df = spark.createDataFrame([("the cat\nsat down", "x", "x"), ("single", "x", "x"), ("a b ", "q", "z")], "text string, predicted string, target_first string")
+    rows = metrics.last_word_targets(df)
+    assert [(r.context, r.target) for r in rows.collect()] == [("the cat\nsat", "down"), (None, None), ("a b", "")]
+    r = metrics.last_word_accuracy(rows).first()
+    assert r.n == 3 and abs(r.accuracy - 1 / 3) < 1e-12
+    b = spark.range(10).withColumnRenamed("id", "batch")
+    assert metrics.first_batches(b, 4).count() == 4 and metrics.first_batches(b, 0).count() == 10
+    assert metrics.batches_per_rank(1000, 2, 100, 2) == 2 and metrics.batches_per_rank(1, 2, 100, 2) == 1
+    parts = metrics.by_length(spark.range(100).withColumnRenamed("id", "n"), "n", 4).withColumn("p", F.spark_partition_id()).collect()
+    assert [r.n for r in sorted(parts, key=lambda r: (r.p, r.n))] == list(range(100))

@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars.
 
 Each step is one aggregation and one join on edges, written to the shared folder,
-so neither edges nor components ever meet in one task or on the driver.  A node
-with very many edges only skews that join, which adaptive execution splits.
+so neither edges nor components ever meet in one task or on the driver.  The
+smallest neighbours are summed map-side and written too: the join then is one of
+two plain shuffles, and adaptive execution splits a node with very many edges.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    least = materialize(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "cc-least")
     hung = near.join(least, F.col("u") == F.col("w"))
     if large:
         out = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -27,7 +27,9 @@ def strip_controls(text: Column) -> Column:
 
 
 def unicode_strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    """Texts without white space at either end, nearly all, are not searched."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(f"[{WHITE}]"), F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")).otherwise(text)
 
 
 def unicode_rstrip(text: Column) -> Column:

@@ -90,6 +90,19 @@ def test_bpe(spark):
     assert special["t"] in tokenizer.single_character_tokens(spec)
 
 
+def test_bpe_trains_on_every_occurrence(spark):
+    """As the library's trainer on all texts: with counts above 1000 that differ, and pairs only of pieces seen once."""
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    lines = ["abab"] * 1500 + ["cdcdcd"] * 4000 + ["aaaaa efef"] * 1200 + ["efgh ijk"] * 2500 + [f"{c}qzx" for c in "lmnop"]
+    lib = Tokenizer(models.BPE())
+    lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    lib.train_from_iterator(lines, trainers.BpeTrainer(vocab_size=400, min_frequency=2, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
+    spec = tokenizer.train_bpe(spark.createDataFrame([(t,) for t in lines], "text string"), lib.get_vocab_size() + len(tokenizer.special_tokens()), 2)
+    assert json.loads(spec)["model"] == json.loads(lib.to_str())["model"]
+    assert ["qz", "x"] in json.loads(spec)["model"]["merges"]
+
+
 def test_pre_tokens_match_the_library(spark):
     from tokenizers import pre_tokenizers
 

@@ -103,6 +103,31 @@ def nfc_normalise(spark, d):
     return documents(spark, d).select("doc_id", F.sha2(nfc(F.concat(F.lit("é"), F.substring("text", 1, 60))), 256).alias("digest"))
 
 
+# The queries above and tag_language see a prefix of each text, as their SQL says; these see all of it.
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(chr(1) || text || chr(7) || chr(9) || 'x' || chr(127) || chr(31), '{RE2_CONTROLS}', '', 'g')) AS digest FROM documents")
+def strip_control_characters_whole(spark, d):
+    dirty = F.concat(F.char(F.lit(1)), F.col("text"), F.char(F.lit(7)), F.char(F.lit(9)), F.lit("x"), F.char(F.lit(127)), F.char(F.lit(31)))
+    return documents(spark, d).select("doc_id", F.sha2(strip_controls(dirty), 256).alias("digest"))
+
+
+@query(f"SELECT doc_id, sha256({sql_strip('chr(8195) || chr(10) || text || chr(160) || chr(12288)')}) AS digest FROM documents")
+def strip_unicode_space_whole(spark, d):
+    padded = F.concat(F.lit("\u2003\n"), F.col("text"), F.lit("\u00a0\u3000"))
+    return documents(spark, d).select("doc_id", F.sha2(unicode_strip(padded), 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize('e' || chr(769) || text)) AS digest FROM documents")
+def nfc_normalise_whole(spark, d):
+    return documents(spark, d).select("doc_id", F.sha2(nfc(F.concat(F.lit("e\u0301"), F.col("text"))), 256).alias("digest"))
+
+
+@query("SELECT tag, count(*) AS docs FROM (SELECT CASE WHEN contains(lower(source || ' ' || text), 'ko') THEN 'ko' ELSE 'en' END AS tag FROM documents) GROUP BY tag")
+def tag_language_whole(spark, d):
+    return documents(spark, d).groupBy(language_tag(F.col("source"), F.col("text")).alias("tag")).agg(F.count(F.lit(1)).alias("docs"))
+
+
 @query(rf"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[{RE2_WHITE}]+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents")
 def count_words(spark, d):
     return documents(spark, d).select("doc_id", word_count(F.col("text")).alias("n_words"))

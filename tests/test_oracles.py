@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives over the same tables."""
 
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -41,3 +42,16 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["lang", "docs", "bytes", "chars"]
+
+
+def test_whole_texts_are_cleaned_and_tagged(spark, tmp_path):
+    """What lies beyond every prefix counts."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    body = "x" * 300
+    text = f"{body}\x02e\u0301 ko \u2003"
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda name: core.QUERIES[name](spark, str(tmp_path)).first().digest
+    assert digest("strip_control_characters_whole") == sha(f"{body}e\u0301 ko \u2003\tx")
+    assert digest("strip_unicode_space_whole") == sha(f"{body}\x02e\u0301 ko")
+    assert digest("nfc_normalise_whole") == sha(f"\u00e9{body}\x02\u00e9 ko \u2003")
+    assert core.QUERIES["tag_language_whole"](spark, str(tmp_path)).first().tag == "ko"

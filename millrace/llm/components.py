@@ -4,6 +4,7 @@ Each step is one aggregation and one join on edges, written to the shared folder
 so neither edges nor components ever meet in one task or on the driver.  The
 smallest neighbours are summed map-side and written too: the join then is one of
 two plain shuffles, and adaptive execution splits a node with very many edges.
+The tables of a step are deleted after the next.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.scratch import materialize
+from millrace.plans.scratch import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (a, b) with a > b.  Hangs neighbours on the smallest node around."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """edges: (a, b) with a > b.  Hangs neighbours on the smallest node around; the second frame is what it reads besides."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
@@ -26,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = hung.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = hung.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.where("w <> m").select(F.col("w").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), least
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -39,7 +40,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialize(edges, "cc-links")
     before = _digest(edges)
     while before[0]:
-        edges = materialize(_star(_star(edges, large=True), large=False), "cc-stars")
+        hung, one = _star(edges, large=True)
+        hung, two = _star(hung, large=False)
+        after = materialize(hung, "cc-stars")
+        discard(edges, one, two)
+        edges = after
         now = _digest(edges)
         if now == before:
             break

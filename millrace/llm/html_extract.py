@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.dom import Node, blocks, features, parse, walk, weights
 from millrace.llm.trees import BoostedTrees
-from millrace.plans.scratch import small_arrow_batches
+from millrace.plans.scratch import bounded_arrow_batches
 
 TRAINING_PAGES = 1000
 #: What a mixed element costs, in units of log-likelihood.
@@ -232,7 +232,7 @@ def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
-    small_arrow_batches(spark, 256)
+    bounded_arrow_batches(spark)
     model = spark.sparkContext.broadcast(trained())
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shingles import mix
-from millrace.plans.scratch import materialize, small_arrow_batches
+from millrace.plans.scratch import materialize, bounded_arrow_batches
 
 ORDER = 4
 SAMPLE = 2000
@@ -234,7 +234,7 @@ def labelled_sample(docs: DataFrame, sample: int, id_col: str, text_col: str, la
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KneserNey | None:
     spark = docs.sparkSession
-    small_arrow_batches(spark, 256)
+    bounded_arrow_batches(spark)
     chosen = materialize(labelled_sample(docs, sample, id_col, text_col, lang_col), "lang-sample")
 
     def grams(batches):
@@ -283,7 +283,7 @@ def _calibrate(chosen: DataFrame, model: KneserNey) -> None:
 def identify(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every row; and text_hash, xxhash64 of the text."""
     spark = docs.sparkSession
-    small_arrow_batches(spark, 512)
+    bounded_arrow_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = _Shared(spark, model) if model else None

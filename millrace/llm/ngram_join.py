@@ -24,20 +24,27 @@ similar; those that share one are candidates and are compared in full.
   that has more is indexed once more under another hash, together with its like
   only, and so on; the last level indexes weak segments too.  A similar pair is
   thus found at the first level at which either of both is complete.
-* **Verification.**  Equal sets are joined beforehand by fingerprint, and only one
-  of each class goes on.  Sets that share a content are compared with the smallest
-  of them, the hub, so a group costs its size, not its square.  Sets that share a
-  content and are in different components after that are looked at in clusters, in
-  blocks of bounded size: first by bitmaps that bound the intersection from above,
-  which breaks up the chains that common passages make, then in full, and only
-  until links join them.
+* **Verification.**  Texts of equal words (by a 128-bit digest) are joined
+  beforehand, and only one of each class goes on.  Sets that share a content are
+  compared with the smallest of them, the hub, so a group costs its size, not its
+  square.  While a content's sets lie in different components, other hubs of it are
+  drawn, one comparison for each open set a round, as long as rounds link enough.
+  What is left is looked at in clusters, in blocks of bounded bytes and rows: first
+  by bitmaps that bound the intersection from above, which breaks up the chains that
+  common passages make, then in full, and only between components.  A component
+  larger than a block has blocks of its own, which never meet each other.
+* **Exactness.**  Hashes only propose: every link is accepted by comparing the two
+  texts' shingles themselves (``shingles.Reference``).
 
 Contents that very many sets share are salted: hubs are found per salt, and hubs of
 hubs after.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows
-without or with a repeated id are documents of their own; the component is named by
-its smallest id; an empty table gives no rows; other columns are ignored.
+without or with a repeated id are documents of their own, and rows equal in id and
+text cost one set however often they are repeated; very long texts are split into
+words one at a time and take eight bytes a shingle; ties of hubs and of first rows go
+to the smallest (id, row number); the component is named by its smallest id; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -52,9 +59,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.shingles import mix, shingle_sets
+from millrace.llm.shingles import Reference, mix, shingle_sets, split_sets, split_words, words_digest
 from millrace.plans.prefix import running_sum
-from millrace.plans.scratch import discard, materialize, shuffle_partitions, small_arrow_batches
+from millrace.plans.scratch import bounded_arrow_batches, discard, materialize, shuffle_partitions
 
 LEVELS = 6
 BAND_RATIO = 1.35
@@ -64,8 +71,10 @@ INCOMPLETE = 0.02
 #: passages, the share of sets that have the same passage, and how many written
 #: contents one comparison is worth.
 COMMON, SPREAD, COMPARISON = 0.1, 1e-5, 4.0
-#: Bytes of bitmaps, and of whole sets, in one block of a cluster.
-BITMAP_BLOCK, SET_BLOCK = 4 << 20, 32 << 20
+#: Bytes of bitmaps, and of texts, in one block of a cluster, and rows in it.
+BITMAP_BLOCK, TEXT_BLOCK, BLOCK_ROWS = 4 << 20, 8 << 20, 1024
+#: Rounds of other hubs at most, and the share of comparisons that must link for one more.
+ROUNDS, WORTH = 6, 0.05
 #: Rows of two or three numbers that are broadcast at most; above it, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -207,46 +216,24 @@ def scheme(num: int, den: int, sets: int) -> Scheme:
     return Scheme(num, den, sets)
 
 
-def _index(docs: DataFrame, size: int, num: int, den: int, sets: int, id_col: str, text_col: str) -> DataFrame:
-    """rid, doc_id, text_hash, n, f1, f2 (fingerprint of the set), sigs."""
-    small_arrow_batches(docs.sparkSession, 128)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _index(base: DataFrame, size: int, num: int, den: int, sets: int) -> DataFrame:
+    """rid, doc_id, text_hash, n, key (digest of the words), sigs."""
+    kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         sch = scheme(num, den, sets)
         for b in batches:
-            n, f1, f2, sigs = [], [], [], []
-            for s in shingle_sets(b.column(3).to_pylist(), size):
+            n, keys, sigs = [], [], []
+            for words, s in split_sets(b.column(3).to_pylist(), size):
                 n.append(len(s))
-                f1.append(s.sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                f2.append(mix(s).sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
+                keys.append(words_digest(words))
                 sigs.append(sch.contents(s).view(np.int64))
             lengths = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             flat = np.concatenate([np.zeros(0, dtype=np.int64), *sigs])
             lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], names=["rid", "doc_id", "text_hash", "n", "f1", "f2", "sigs"])
-
-    return materialize(rows.mapInArrow(run, f"rid long, doc_id {kind}, text_hash long, n long, f1 long, f2 long, sigs array<long>"), "jaccard-index")
-
-
-def _sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """rid, n, elems of the documents in ``needed`` (rid, doc_id, text_hash)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
-    needed = _bounded(needed)
-    on = (F.col("th") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))
-    found = rows.join(needed, on).select("rid", "text")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], names=["rid", "doc_id", "text_hash", "n", "key", "sigs"])
 
-    def run(batches):
-        for b in batches:
-            sets = list(shingle_sets(b.column(1).to_pylist(), size))
-            lengths = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64())), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=["rid", "elems", "bits"])
-
-    return materialize(found.mapInArrow(run, "rid long, elems array<long>, bits binary"), "jaccard-sets")
+    return materialize(base.mapInArrow(run, f"rid long, doc_id {kind}, text_hash long, n long, key binary, sigs array<long>"), "jaccard-index")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -257,18 +244,21 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(cells, bitorder="little").view(np.uint64)
 
 
-def most_common(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int) -> int:
-    """No fewer than two sets of these bitmaps and sizes have in common.
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap in as few 64-bit words as a smaller one has."""
+    while len(x) > words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
+def most_common(x: np.ndarray, n_x: int, rows: np.ndarray, n_rows: np.ndarray, bits_rows: np.ndarray) -> np.ndarray:
+    """No fewer than the set of bitmap ``x`` and each set of the equally wide bitmaps ``rows`` have in common.
 
     Beyond the shared bits, only elements that share a bit with another of their
     own set can be common.
     """
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    spare = min(n_x - int(np.bitwise_count(x).sum()), n_y - int(np.bitwise_count(y).sum()))
-    return int(np.bitwise_count(x & y).sum()) + spare
+    spare = np.minimum(n_x - int(np.bitwise_count(x).sum()), n_rows - bits_rows)
+    return np.bitwise_count(rows & x).sum(axis=1, dtype=np.int64) + spare
 
 
 def _bounded(keys: DataFrame) -> DataFrame:
@@ -276,16 +266,35 @@ def _bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by full intersection."""
-    few = _bounded(pairs)
-    left = sets.select(F.col("rid").alias("ra"), F.col("elems").alias("ea"))
-    right = sets.select(F.col("rid").alias("rb"), F.col("elems").alias("eb")).join(_bounded(pairs.select(F.col("b").alias("rb")).distinct()), "rb", "left_semi")
-    both = left.join(few, F.col("a") == F.col("ra")).select("a", "b", "ea").join(right, F.col("b") == F.col("rb"))
-    small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
-    both = both.where(small.cast("long") * den >= large.cast("long") * num)
-    common = F.size(F.array_intersect("ea", "eb")).cast("long")
-    return both.where(common * den >= (F.size("ea").cast("long") + F.size("eb") - common) * num).select("a", "b")
+def _similar(pairs: DataFrame, index: DataFrame, base: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, by comparing their texts' shingles themselves.
+
+    A ``b`` that very many pairs have is a skewed key of the last join, which
+    adaptive execution splits; its text comes once per piece, and in a row.
+    """
+    sizes = index.select(F.col("rid").alias("r"), "n")
+    sized = pairs.join(sizes, F.col("a") == F.col("r")).select("a", "b", F.col("n").alias("na"))
+    sized = sized.join(sizes, F.col("b") == F.col("r")).where(F.least("na", "n") * den >= F.greatest("na", "n") * num)
+    sized = materialize(sized.select("a", "b"), "jaccard-sized")
+    texts = base.select("rid", "text")
+    left = texts.join(_bounded(sized), F.col("rid") == F.col("a")).select("a", "b", F.col("text").alias("ta"))
+    right = texts.join(_bounded(sized.select(F.col("b").alias("rid")).distinct()), "rid", "left_semi").select(F.col("rid").alias("rb"), F.col("text").alias("tb"))
+    both = left.join(right, F.col("b") == F.col("rb")).select("a", "b", "ta", "tb")
+
+    def run(batches):
+        at, other = None, None
+        for batch in batches:
+            held = []
+            for b, ta, tb in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if b != at:
+                    at, other = b, Reference(split_words(tb), size)
+                m, n, common = other.compare(split_words(ta))
+                held.append(common * den >= (m + n - common) * num)
+            yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
+
+    out = materialize(both.mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(sized)
+    return out
 
 
 def _hubs(shared: DataFrame, hot: DataFrame, ranges: int) -> DataFrame:
@@ -317,46 +326,57 @@ def similar_components(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, first (one row of each component) and text_hash, for every row."""
     spark = docs.sparkSession
-    rows = docs.count()
+    bounded_arrow_batches(spark)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    base = materialize(base, "jaccard-texts", "zstd")
+    rows = base.count()
     sets_about = 1 << max(10, rows.bit_length())
     ranges = shuffle_partitions(spark)
-    indexed = _index(docs, size, num, den, sets_about, id_col, text_col)
+    indexed = _index(base, size, num, den, sets_about)
     index = materialize(indexed.drop("sigs"), "jaccard-rows")
 
-    some = index.where("n > 0").select("rid", "doc_id", "n", "f1", "f2")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))
-    classes = some.groupBy("n", "f1", "f2").agg(F.min(order).alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    copies = some.join(classes, ["n", "f1", "f2"]).select("rid", F.col("rep.rid").alias("rep")).where("rid <> rep")
-    copies = materialize(copies, "jaccard-copies")
+    classes = index.where("n > 0").groupBy("key").agg(F.min(order).alias("rep"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    classes = classes.select(F.col("key").alias("of"), F.col("rep.rid").alias("rep"))
+    copies = materialize(index.join(classes, F.col("key") == F.col("of")).where("rid <> rep").select("rid", "rep"), "jaccard-copies")
 
     nodes = indexed.where("n > 0").select("rid", "sigs").join(_bounded(copies.select("rid")), "rid", "left_anti")
     looked = nodes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)
     often = looked.select(F.explode("sigs").alias("hot_sig")).groupBy("hot_sig").count().where(F.col("count") * 64 > max(1024, rows // (2 * ranges)))
     hot = materialize(often.select("hot_sig"), "jaccard-hot")  # at most (contents a set) * 2 * ranges rows
     shared = _hubs(nodes.select(F.explode("sigs").alias("sig"), "rid"), hot, ranges)
-    discard(indexed)
+    discard(indexed, hot)
 
+    # each set with its smallest hub first; most other candidates then lie inside one component
     tops = shared.where("salted").select("sig", "hub").distinct()
     least = tops.groupBy("sig").agg(F.min("hub").alias("top"))
     over = tops.join(least, "sig").where("hub <> top").select(F.col("hub").alias("a"), F.col("top").alias("b"))
-    pairs = shared.where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).unionByName(over).distinct()
-    pairs = materialize(pairs, "jaccard-pairs")
-
-    involved = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    needed = materialize(index.select("rid", "doc_id", "text_hash").join(involved, "rid", "left_semi"), "jaccard-needed")
-    sets = _sets(docs, needed, size, id_col, text_col)
-
-    # each set with its smallest hub first; most other candidates then lie inside one component
-    one = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    one = materialize(one, "jaccard-first")
-    links = materialize(_similar(one, sets, num, den), "jaccard-links")
+    one = shared.where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b")).unionByName(over).groupBy("a").agg(F.min("b").alias("b"))
+    links = _similar(materialize(one, "jaccard-first"), index, base, size, num, den)
     roots = connected_components(links)
-    late = _within_clusters(shared, roots, index, sets, num, den)
-    if not late.isEmpty():
+    contents = materialize(shared.select("sig", "rid").distinct(), "jaccard-contents")
+    discard(shared)
+    for turn in range(ROUNDS):
+        asked = materialize(_other_hubs(contents, roots, turn), "jaccard-turn")
+        compared = asked.count()
+        found = _similar(asked, index, base, size, num, den) if compared else asked
+        new = found.count() if compared else 0
+        discard(asked)
+        if new:
+            links = links.unionByName(found)
+            discard(roots)
+            roots = connected_components(links)
+        if new < max(1, WORTH * compared):
+            break
+    late = _within_clusters(contents, roots, index, base, size, num, den)
+    if late is not None and not late.isEmpty():
+        discard(roots)
         roots = connected_components(links.unionByName(late))
 
     node = index.select("rid", "doc_id", "text_hash", "n").join(copies, "rid", "left").withColumn("node", F.coalesce("rep", "rid"))
     named = materialize(_relabel(node, roots, "node", "root").select("rid", "doc_id", "text_hash", "n", "root"), "jaccard-named")
+    discard(base, index, copies, contents, links, roots, *([late] if late is not None else []))
     first = named.groupBy("root").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("members"))
     many = first.where("members > 1").select(F.col("root").alias("r"), F.col("least.doc_id").alias("least_id"), F.col("least.rid").alias("least_rid"))
     out = named.join(many, F.col("root") == F.col("r"), "left")
@@ -369,93 +389,141 @@ def similar_components(
     )
 
 
-def _within_clusters(shared: DataFrame, roots: DataFrame, index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _parted(contents: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, rid, comp) with components so far, and of each content that is in several: s, and the hub of this turn with its component."""
+    rows = _relabel(contents, roots, "rid", "comp")
+    drawn = F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), F.col("rid"), F.col("comp"))
+    groups = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(drawn).alias("hub")).where("c0 <> c1")
+    return rows, groups.select(F.col("sig").alias("s"), F.col("hub.rid").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+
+
+def _other_hubs(contents: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each set whose contents lie in several components, with one drawn hub of another component."""
+    rows, groups = _parted(contents, roots, turn)
+    open_rows = rows.join(groups, F.col("sig") == F.col("s")).where("comp <> hub_comp")
+    drawn = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("hub"))
+    return open_rows.groupBy(F.col("rid").alias("a")).agg(F.min(drawn)["hub"].alias("b"))
+
+
+def _within_clusters(contents: DataFrame, roots: DataFrame, index: DataFrame, base: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
     """Links among sets that share a content but lie in different components so far."""
-    rows = _relabel(shared.select("sig", "rid"), roots, "rid", "comp")
-    parted = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rid").alias("least")).where("c0 <> c1")
-    open_rows = materialize(rows.join(parted.select(F.col("sig").alias("s"), "least"), F.col("sig") == F.col("s")).select("sig", "rid", "comp", "least"), "jaccard-open")
-    chained = connected_components(open_rows.select(F.col("rid").alias("a"), F.col("least").alias("b")).distinct())
-    own = open_rows.groupBy("rid").agg(F.first("comp").alias("comp"), F.collect_set("sig").alias("sigs"))  # bounded by a set's contents
-    own = materialize(_relabel(own, chained, "rid", "cluster").join(index.select("rid", "n"), "rid"), "jaccard-own")
-
-    near = _compare(own, sets.select("rid", "bits"), num, den, BITMAP_BLOCK, F.col("n"))
+    rows, groups = _parted(contents, roots, ROUNDS)
+    open_rows = materialize(rows.join(groups, F.col("sig") == F.col("s")).select("rid", "comp", "hub"), "jaccard-open")
+    if open_rows.isEmpty():
+        discard(open_rows)
+        return None
+    chained = connected_components(open_rows.select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct())
+    own = materialize(_relabel(open_rows.select("rid", "comp").distinct(), chained, "rid", "cluster"), "jaccard-clusters")
+    discard(open_rows, chained)
+
+    def bits(batches):
+        for b in batches:
+            sets = shingle_sets(b.column(4).to_pylist(), size)
+            found = [(len(s), bitmap(s).tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["rid", "comp", "cluster", "n", "bits"])
+
+    texts = base.select(F.col("rid").alias("r"), "text")
+    whole = texts.join(_bounded(own), F.col("r") == F.col("rid")).select("rid", "comp", "cluster", F.lit(0).cast("long").alias("n"), "text")
+    own = materialize(whole.mapInArrow(bits, "rid long, comp long, cluster long, n long, bits binary"), "jaccard-own")
+
+    near = _compare(own, size, num, den, BITMAP_BLOCK, F.length("bits"))
     family = connected_components(near.unionByName(own.select(F.col("rid").alias("a"), F.col("comp").alias("b"))))
-    own = _relabel(own.drop("cluster"), family, "rid", "cluster")
-    mixed = own.groupBy("cluster").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("cluster").alias("c"))
-    own = materialize(own.join(mixed, F.col("cluster") == F.col("c"), "left_semi"), "jaccard-own")
-    return _compare(own, sets.select("rid", "bits", "elems"), num, den, SET_BLOCK, F.col("n") * 9)
+    parted = _relabel(own.drop("cluster"), family, "rid", "cluster")
+    mixed = parted.groupBy("cluster").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("cluster").alias("c"))
+    left = materialize(parted.join(mixed, F.col("cluster") == F.col("c"), "left_semi"), "jaccard-families")
+    discard(own, near, family)
+    spoken = texts.join(_bounded(left), F.col("r") == F.col("rid")).select("rid", "comp", "cluster", "n", "bits", "text")
+    out = _compare(materialize(spoken, "jaccard-spoken"), size, num, den, TEXT_BLOCK, F.length("bits") + F.octet_length("text"))
+    discard(left)
+    return out
 
 
-def _compare(own: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, bytes_each: Column) -> DataFrame:
-    """(a, b) of sets of one cluster that share a content and pass, less what other pairs already join.
+def _compare(own: DataFrame, size: int, num: int, den: int, block_bytes: int, bytes_each: Column) -> DataFrame:
+    """(a, b) of sets of one cluster that pass, less what other pairs already join.
 
-    A set passes by its bitmap, and by its elements if ``sets`` has them.  A cluster
-    is cut into blocks of about ``block_bytes`` in the order of the sets' sizes, so
-    that a block meets only those whose sizes are near enough; a task gets two.
+    A set passes by its bitmap, and by its shingles if ``own`` has texts.  A cluster
+    is cut into blocks of ``BLOCK_ROWS`` rows and ``block_bytes`` bytes at most but
+    for one row, first by component where that fills a block, then by size; two
+    blocks meet if they hold more than one component and their sizes are near enough.
     """
-    full = "elems" in sets.columns
-    sized = own.withColumn("bytes", (bytes_each + F.size("sigs") * 8 + 64).cast("long"))
-    placed = running_sum(sized, "bytes", ["n", "rid"], ["cluster"], "before")
-    placed = materialize(placed.withColumn("block", F.floor(F.col("before") / block_bytes)).select("rid", "comp", "cluster", "sigs", "n", "block"), "jaccard-blocks")
-    blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    far = blocks.select(F.col("cluster").alias("c"), F.col("block").alias("j"), F.col("least_n").alias("n_j"))
-    near = (F.col("cluster") == F.col("c")) & (F.col("block") <= F.col("j")) & (F.col("most_n") * den >= F.col("n_j") * num)
-    meet = blocks.join(far, near).select(F.col("cluster").alias("c"), F.col("block").alias("i"), "j")
-    meet = meet.select("c", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("member"))
-    dealt = placed.join(sets, "rid").join(meet, (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("member")))
-    dealt = dealt.select("cluster", "i", "j", "block", "rid", "comp", "n", "sigs", "bits", *(["elems"] if full else []))
+    full = "text" in own.columns
+    many = own.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= BLOCK_ROWS)
+    many = many.select(F.col("cluster").alias("mc"), F.col("comp").alias("big"))
+    cost = F.greatest(bytes_each.cast("long"), F.lit(block_bytes // BLOCK_ROWS))
+    slim = own.select("rid", "comp", "cluster", "n", cost.alias("cost")).join(_bounded(many), (F.col("cluster") == F.col("mc")) & (F.col("comp") == F.col("big")), "left")
+    slim = slim.select("rid", "comp", "cluster", "n", "cost", F.coalesce("big", F.lit(-1)).alias("big"))
+    placed = running_sum(slim, "cost", ["n", "rid"], ["cluster", "big"], "before")
+    placed = materialize(placed.withColumn("block", F.floor(F.col("before") / block_bytes)), "jaccard-blocks")
+    blocks = placed.groupBy("cluster", "big", "block").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count_distinct("comp").alias("comps"))
+    other = blocks.select(F.col("cluster").alias("c"), F.col("big").alias("big_j"), F.col("block").alias("j"), F.col("least_n").alias("least_j"), F.col("most_n").alias("most_j"))
+    here, there = F.struct("big", "block"), F.struct("big_j", "j")
+    apart = (here < there) & ((F.col("big") < 0) | (F.col("big") != F.col("big_j")))
+    near = (F.col("most_n") * den >= F.col("least_j") * num) & (F.col("most_j") * den >= F.col("least_n") * num)
+    meet = blocks.join(other, (F.col("cluster") == F.col("c")) & (apart | ((here == there) & (F.col("comps") > 1))) & near)
+    ends = [F.struct(F.col("big").alias("big"), F.col("block").alias("block")), F.struct(F.col("big_j").alias("big"), F.col("j").alias("block"))]
+    meet = meet.select(F.col("cluster").alias("c"), F.xxhash64("big", "block").alias("i"), F.xxhash64("big_j", "j").alias("k"), F.explode(F.array_distinct(F.array(*ends))).alias("member"))
+    at = placed.select(F.col("rid").alias("pr"), F.col("cluster").alias("pc"), F.struct("big", "block").alias("place"))
+    dealt = at.join(meet, (F.col("pc") == F.col("c")) & (F.col("place") == F.col("member"))).select("pr", "i", "k", F.xxhash64("place.big", "place.block").alias("block"))
+    dealt = own.join(dealt, F.col("rid") == F.col("pr")).drop("pr")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        crossing = key[1].as_py() != key[2].as_py()
-        table = table.sort_by("rid")
-        rid, comp, block, size = (table.column(c).to_pylist() for c in ("rid", "comp", "block", "n"))
-        bits = [np.frombuffer(x, dtype=np.uint64) for x in table.column("bits").to_pylist()]
-        sigs = _lists(table.column("sigs"))
-        elems = _lists(table.column("elems")) if full else []
-        parent = {c: c for c in comp}
-
-        def top(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        def enough(common: int, m: int, n: int) -> bool:
-            return common * den >= (m + n - common) * num
-
-        members: dict[int, list[int]] = {}
-        a, b = [], []
-        for x in range(len(rid)):
-            held = sigs[x].tolist()
-            near: set[int] = set()
-            for sig in held:
-                if sig in members:
-                    near.update(members[sig])
-                    members[sig].append(x)
-                else:
-                    members[sig] = [x]
-            for y in sorted(near):
-                m, n = size[x], size[y]
-                if (crossing and block[x] == block[y]) or min(m, n) * den < max(m, n) * num or top(comp[x]) == top(comp[y]):
-                    continue
-                if not enough(most_common(bits[x], m, bits[y], n), m, n):
-                    continue
-                if full and not enough(len(np.intersect1d(elems[x], elems[y], assume_unique=True)), m, n):
-                    continue
-                parent[top(comp[x])] = top(comp[y])
-                a.append(rid[x])
-                b.append(rid[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _compare_blocks(table, key[1].as_py() != key[2].as_py(), size if full else 0, num, den)
 
-    return materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "jaccard-links")
+    out = materialize(dealt.groupBy("cluster", "i", "k").applyInArrow(compare, "a long, b long"), "jaccard-near")
+    discard(placed)
+    return out
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    out = []
-    for chunk in column.chunks:
-        flat, at = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
-        out += [flat[p:q] for p, q in zip(at[:-1], at[1:])]
-    return out
+def _compare_blocks(table: pa.Table, crossing: bool, size: int, num: int, den: int) -> pa.Table:
+    """All pairs of different components in one block, or across two, each row against a row of smaller size at once."""
+    table = table.sort_by([("n", "ascending"), ("rid", "ascending")])
+    rid, n, side = (table.column(c).to_numpy() for c in ("rid", "n", "block"))
+    label = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+    bits = [np.frombuffer(x, dtype=np.uint64) for x in table.column("bits").to_pylist()]
+    width = np.array([len(x) for x in bits])
+    parts = [(v, np.flatnonzero(width == v)) for v in np.unique(width)]
+    parts = [(v, at, np.stack([bits[k] for k in at])) for v, at in parts]
+    counted = np.array([int(np.bitwise_count(x).sum()) for x in bits])
+    texts = table.column("text").to_pylist() if size else []
+    sets: dict[int, np.ndarray] = {}
+
+    def hashed(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = next(shingle_sets([texts[k]], size))
+        return sets[k]
+
+    a, b = [], []
+    for x in range(len(rid)):
+        low = int(np.searchsorted(n, -(-int(n[x]) * num // den)))
+        open_to = label[low:x] != label[x]
+        if crossing:
+            open_to &= side[low:x] != side[x]
+        if not open_to.any():
+            continue
+        passed: list[np.ndarray] = []
+        for v, at, rows in parts:
+            near = np.flatnonzero((at >= low) & (at < x))
+            near = near[open_to[at[near] - low]]
+            if len(near):
+                y = at[near]
+                common = most_common(folded(bits[x], v), int(n[x]), rows[near], n[y], counted[y])
+                passed.append(y[common * den >= (n[x] + n[y] - common) * num])
+        whole = None
+        for y in map(int, np.concatenate(passed) if passed else ()):
+            if label[x] == label[y]:
+                continue
+            if size:
+                common = len(np.intersect1d(hashed(x), hashed(y), assume_unique=True))
+                if common * den < (int(n[x] + n[y]) - common) * num:
+                    continue
+                whole = whole or Reference(split_words(texts[x]), size)
+                p, q, common = whole.compare(split_words(texts[y]))
+                if common * den < (p + q - common) * num:
+                    continue
+            label[label == label[y]] = label[x]
+            a.append(int(rid[x]))
+            b.append(int(rid[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def ngram_join(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,9 @@ from millrace.llm.token_count import token_counts
 from millrace.llm.token_store import token_ids
 from millrace.llm.warc import warc_archive
 
+#: Target shares of the packed sources are their tokens to this power: large sources are held back.
+MIXTURE_TEMPERATURE = 0.7
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,7 +53,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048, temperature=MIXTURE_TEMPERATURE)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import PieceCounter, proven_whole
-from millrace.plans.scratch import small_arrow_batches
+from millrace.plans.scratch import bounded_arrow_batches
 
 _counters: dict[str, PieceCounter] = {}
 
@@ -25,7 +25,7 @@ _counters: dict[str, PieceCounter] = {}
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    bounded_arrow_batches(spark)
     proven = spark.sparkContext.broadcast(proven_whole(tokenizer))  # at most the vocabulary
 
     def count(texts: pd.Series) -> pd.Series:

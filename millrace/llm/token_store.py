@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.files import attempt_name, drop_strays, make_dir, resolve
 from millrace.llm.tokens import encoder
-from millrace.plans.scratch import fresh_path, small_arrow_batches
+from millrace.plans.scratch import fresh_path, bounded_arrow_batches
 
 MAGIC = b"MRTOKEF1"
 SAMPLE = 256
@@ -185,7 +185,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     range to one file.  Returns the manifest, one entry a shard, in order.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    bounded_arrow_batches(spark)
     make_dir(folder)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))

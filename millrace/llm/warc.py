@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.files import attempt_name, drop_strays, make_dir, resolve
-from millrace.plans.scratch import fresh_path, materialize, small_arrow_batches
+from millrace.plans.scratch import fresh_path, materialize, bounded_arrow_batches
 
 FRAME = 256 << 10
 # Fixed values of the Zstandard formats.
@@ -186,7 +186,7 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str, html_col: str) -
 
 def write_bundles(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[str]:
     """Writes every page as a record; returns the bundles that Spark committed."""
-    small_arrow_batches(pages.sparkSession)
+    bounded_arrow_batches(pages.sparkSession)
     make_dir(folder)
     rows = with_originals(pages, id_col, url_col, html_col).sortWithinPartitions("page_id", "digest")
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,19 +138,83 @@ def test_bitmaps_bound_the_intersection():
     for _ in range(200):
         base = r.integers(0, 1 << 63, int(r.integers(1, 300)), dtype=np.uint64)
         x, y = np.unique(base), np.unique(np.concatenate((base[int(r.integers(0, len(base))) :], r.integers(0, 1 << 63, int(r.integers(0, 200)), dtype=np.uint64))))
-        bound = ngram_join.most_common(ngram_join.bitmap(x), len(x), ngram_join.bitmap(y), len(y))
+        m, n = ngram_join.bitmap(x), ngram_join.bitmap(y)
+        m, n = ngram_join.folded(m, min(len(m), len(n))), ngram_join.folded(n, min(len(m), len(n)))
+        (bound,) = ngram_join.most_common(m, len(x), n[None, :], np.array([len(y)]), np.bitwise_count(n).sum(keepdims=True).astype(np.int64))
         assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
 
 
-def test_blocks_of_clusters(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SET_BLOCK", 4000)
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_blocks_of_clusters(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ngram_join, "TEXT_BLOCK", 4000)
     monkeypatch.setattr(ngram_join, "BITMAP_BLOCK", 2000)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     r = random.Random(8)
     rows = list(enumerate(near_copies(r, 20, 30)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(x) for x in ngram_join.ngram_join(df, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words whose polynomial hashes modulo a power of two are equal for every odd base."""
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x y z {one}"), (2, f"x y z {two}"), (3, f"x y z {one}"), (4, one), (5, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in ngram_join.ngram_join(df, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
+
+
+def test_links_are_of_shingles_not_of_hashes(spark, monkeypatch):
+    """With a hash that knows two words only, every pair is proposed and strangers are still told apart."""
+    rows = [(k, t) for k, t in enumerate(near_copies(random.Random(3), 10, 6))]
+    weak = lambda words: np.array([len(w) % 2 for w in words], dtype=np.uint64)
+    exact = {(i, j) for i, (_, s) in enumerate(rows) for j, (_, t) in enumerate(rows) if i < j and len(a := word_set(s, 4)) and 100 * len(a & (b := word_set(t, 4))) >= 85 * len(a | b)}
+    table = {"rid": list(range(len(rows))), "comp": list(range(len(rows))), "block": [0] * len(rows), "text": [t for _, t in rows]}
+    with monkeypatch.context() as m:
+        m.setattr(shingles, "word_hashes", weak)
+        sets = list(shingles.shingle_sets(table["text"], 4))
+        table |= {"n": [len(s) for s in sets], "bits": [ngram_join.bitmap(s).tobytes() for s in sets]}
+        got = ngram_join._compare_blocks(pa.table(table), False, 4, 85, 100).to_pylist()
+    assert got and {tuple(sorted(x.values())) for x in got} <= exact
+
+
+def test_exact_comparison_counts_shingles():
+    r = random.Random(12)
+    for _ in range(300):
+        vocab = ["w%d" % k for k in range(r.choice([2, 5, 30, 40000]))]
+        x = [r.choice(vocab) for _ in range(r.randint(0, 40))]
+        y = x[r.randint(0, 5) :] + [r.choice(vocab) for _ in range(r.randint(0, 9))]
+        size = r.choice([1, 2, 4, 5])
+        a, b = word_set(" ".join(x), size), word_set(" ".join(y), size)
+        ref = shingles.Reference([w.encode() for w in x], size)
+        ref.width = r.choice([ref.width, 2])  # two bits make most pairs take the other way
+        assert ref.compare([w.encode() for w in y]) == (len(a), len(b), len(a & b))
+
+
+def test_repeated_rows_cost_one_set(spark):
+    """Two near copies, each row many times: sets are made and compared for one row of each."""
+    base = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, base)] * 300 + [(2, base + " more")] * 300 + [(3, "other text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(x) for x in ngram_join.ngram_join(df, 4, 85, 100).collect())
+    assert got == {(1, 57, 1): 300, (2, 58, 1): 300, (3, 2, 3): 1}
+
+
+def test_very_long_and_clashing_columns(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(120000))
+    rows = [(1, long, 1, 1, "r"), (2, long + " end", 2, 2, "s"), (3, "w1 w2 w3 w4 w5", 3, 3, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid long, n long, key string")
+    assert sorted(tuple(x) for x in ngram_join.ngram_join(df, 4, 85, 100).collect()) == brute_components([(d, t) for d, t, *_ in rows], 4, 85, 100)
+
+
 def test_similar_components_ties_and_empty(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (4, None), (4, "z")], "doc_id long, text string")
     rows = ngram_join.similar_components(df).collect()

@@ -1,5 +1,7 @@
 import random
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -143,22 +145,92 @@ def test_packing(spark):
         packing.pack(df, WORD, weights={"s0": 0.0})
 
 
-def test_deficits_stay_within_a_document(spark):
-    r = random.Random(5)
-    rows = [(i, "a" if i % 3 == 0 else "b" if i % 3 == 1 else "c", r.randint(1, 40)) for i in range(900)]
-    lengths = spark.createDataFrame([(i, i, s, n) for i, s, n in rows], "rid long, doc_id long, source string, n long")
-    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    at = {x.rid: x.at for x in packing.schedule(lengths, 64, weights).collect()}
-    assert sorted(at.values())[0] == 0 and len(set(at.values())) == 900
-    sent = dict.fromkeys(weights, 0)
-    total = {s: sum(n for _, t, n in rows if t == s) for s in weights}
-    for i in sorted(at, key=at.get):
-        _, s, n = rows[i]
-        sent[s] += n
-        done = sum(sent.values())
-        if all(sent[t] < total[t] for t in weights):
-            for t in weights:  # a document and a round's quantum
-                assert abs(sent[t] - weights[t] * done) <= 64 + 2 * 40
+def brute_stream(queues, weights, window):
+    """Round robin by hand, in fractions: quanta, deficits, and what an emptied queue leaves to the others."""
+    weights = {k: Fraction(w) for k, w in weights.items()}
+    left = {k: Fraction(len(q)) for k, q in queues.items()}
+    owed, sent, out = dict.fromkeys(queues, Fraction(0)), dict.fromkeys(queues, 0), []
+    while any(left.values()):
+        room = Fraction(window)
+        while room and any(left.values()):
+            active = [k for k in queues if left[k]]
+            whole = sum(weights[k] for k in active)
+            step = min([room / whole, *[left[k] / weights[k] for k in active]])
+            for k in active:
+                owed[k] += weights[k] * step
+                left[k] -= weights[k] * step
+            room -= whole * step
+        for k, q in queues.items():
+            n = int(owed[k])
+            out += q[sent[k] : sent[k] + n]
+            owed[k], sent[k] = owed[k] - n, sent[k] + n
+    return out
+
+
+@pytest.mark.parametrize("window,weights,temperature", [(64, {"a": 0.5, "b": 0.25, None: 0.25}, 1.0), (32, None, 0.5), (50, None, 1.0), (128, {"a": 3.0}, 1.0)])
+def test_schedule_equals_round_robin_by_hand(spark, window, weights, temperature):
+    r = random.Random(window)
+    rows = [(i, i // 2, r.choice(["a", "a", "a", "b", "c", None]), r.randint(1, 90)) for i in range(150)] + [(150, 10**6, "b", 2500)]
+    lengths = spark.createDataFrame(rows, "rid long, doc_id long, source string, n long").repartition(3)
+    given = {k: v for k, v in (weights or {}).items() if k is not None}
+    places, plan = packing.queues(lengths, window, given or None, temperature)
+    own = {}
+    for rid, _, s, n in sorted(rows, key=lambda x: (x[1], x[0])):
+        own.setdefault(s, []).extend((rid, k) for k in range(n))
+    order = sorted(own, key=lambda s: (s is not None, s or ""))
+    share = {s: given.get(s, min(given.values())) if given else len(own[s]) ** temperature for s in order}
+    want = brute_stream({s: own[s] for s in order}, share, window)
+    got = {}
+    n_of = {rid: n for rid, _, _, n in rows}
+    at = places.collect()
+    arrays = [np.array(x, dtype=np.int64) for x in zip(*((x.queue, x.begin, n_of[x.rid]) for x in at))]
+    for of, start, place, size in zip(*(x.tolist() for x in plan.pieces(*arrays))):
+        for k in range(size):
+            assert place + k not in got
+            got[place + k] = (at[of].rid, start - at[of].begin + k)
+    assert [got[k] for k in range(len(got))] == want
+
+
+def test_each_window_holds_the_mixture(spark):
+    """Also beside a document of many windows: no source is off its target by more than two tokens a queue."""
+    r = random.Random(9)
+    rows = [(i, i, f"s{i % 8}", r.randint(1, 700)) for i in range(800)] + [(800, 5, "s1", 60000)]
+    lengths = spark.createDataFrame(rows, "rid long, doc_id long, source string, n long").repartition(4)
+    window, share = 2048, {f"s{k}": k + 1 for k in range(8)}
+    places, plan = packing.queues(lengths, window, share)
+    at = places.collect()
+    arrays = [np.array(x, dtype=np.int64) for x in zip(*((x.queue, x.begin, rows[x.rid][3]) for x in at))]
+    source = np.full(plan.total, -1)
+    for of, _, place, size in zip(*(x.tolist() for x in plan.pieces(*arrays))):
+        source[place : place + size] = arrays[0][of]
+    assert (source >= 0).all()
+    last = min(int(np.flatnonzero(source == k)[-1]) for k in range(8)) // window  # the first queue ends here
+    assert last > 10
+    for w in range(last):
+        held = np.bincount(source[w * window : (w + 1) * window], minlength=8)
+        target = np.array([share[f"s{k}"] for k in range(8)]) * window / sum(share.values())
+        assert np.abs(held - target).max() <= 2 * 9
+        assert np.abs(held - target).sum() / 2 / window < 0.01
+
+
+def test_small_sources_share_a_queue(spark):
+    rows = [(i, i, f"tiny{i}", 1) for i in range(300)] + [(300 + i, i, "big", 500) for i in range(40)]
+    lengths = spark.createDataFrame(rows, "rid long, doc_id long, source string, n long")
+    places, plan = packing.queues(lengths, 16)
+    assert len(plan.tokens) == 2 and plan.tokens.tolist() == [20000, 300]
+    assert sorted(x.begin for x in places.where("queue = 1").collect()) == list(range(300))
+
+
+def test_packing_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "one two three", "a", 5, 7, 9), (1, "one two three", "a", 5, 7, 9), (None, "four", None, 1, 1, 1), (2, "long " * 30000, "b", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rid long, n long, queue long")
+    got = packing.pack(df, WORD, window=64, temperature=0.5).collect()
+    assert sum(x.length for x in got) == sum(len(library(WORD, t)) + 1 for _, t, *_ in rows)
+    assert sum(x.doc_tokens for x in got if x.doc_id is None and x.start == 0) == len(library(WORD, "four")) + 1
+    sizes = Counter()
+    for x in got:
+        sizes[x.sequence_id] += x.length
+    assert all(n == 64 or n & (n - 1) == 0 for n in sizes.values())
 
 
 def test_tails():

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Where a tag ends, or where a quoted value in it begins.
+STOP = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math head".split())
+RAW = frozenset("script style template textarea title iframe head".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
@@ -23,30 +28,18 @@ CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 #: An open element of the first kind is not looked for beyond these.
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "p": {"div", "section", "article", "td", "body"}}
 
-#: Words in class, id, role and aria-label that hint at what an element is for.
-HINTS = {
-    "main": "article main content post entry story body text".split(),
-    "menu": "nav menu navbar navigation breadcrumb breadcrumbs tabs toc links pagination pager".split(),
-    "head": "header head masthead banner topbar logo top".split(),
-    "foot": "footer foot copyright legal bottom imprint".split(),
-    "side": "sidebar side aside rail widget related recommended popular more".split(),
-    "advert": "ad ads adv advert advertisement sponsor sponsored promo promotion banner outbrain".split(),
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe paywall".split(),
-    "talk": "comment comments discussion reply replies disqus respond thread".split(),
-    "share": "share social sharing follow like buttons".split(),
-    "form": "form search login signup register input contact".split(),
-}
-HINT_OF: dict[str, list[int]] = {}
-for _k, _words in enumerate(HINTS.values()):
-    for _w in _words:
-        HINT_OF.setdefault(_w, []).append(_k)
+#: Attributes whose words may tell what an element is for.
+NAMING = frozenset(["class", "id", "role", "aria-label", "data-role", "itemprop"])
 TAGS = ["article", "main", "section", "div", "p", "li", "ul", "a", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "button", "label", "span"]
 TAG_AT = {t: k for k, t in enumerate(TAGS)}
 TAG_AT.update(dict.fromkeys(["ol", "menu", "dl"], TAG_AT["ul"]))
+#: Kinds that an element of a name ends, and kinds it is a fence for.
+ENDS = {n: [k for k in CLOSED_BY if n in CLOSED_BY[k]] for n in set().union(*CLOSED_BY.values())}
+FENCED = {n: [k for k in FENCE if n in FENCE[k]] for n in set().union(*FENCE.values())}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "parts", "depth", "place")
+    __slots__ = ("tag", "parent", "children", "attrs", "parts", "depth", "place", "near")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
@@ -55,53 +48,117 @@ class Node:
         self.parts: list = []
         self.depth = parent.depth + 1 if parent else 0
         self.place = len(parent.children) if parent else 0
+        #: The open element of each kind in ``CLOSED_BY`` that an end may reach from here.
+        self.near: dict[str, Node] = parent.near if parent else {}
+        if tag in FENCED or tag in CLOSED_BY:
+            fenced = FENCED.get(tag, ())
+            self.near = {k: x for k, x in self.near.items() if k not in fenced}
+            if tag in CLOSED_BY:
+                self.near[tag] = self
         if parent:
             parent.children.append(self)
             parent.parts.append(self)
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; never fails, whatever is left open or closed twice."""
-    root = Node("#page", None)
-    here, at, n = root, 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
+class _Scanner:
+    """Finds tags in one pass: what is looked for and does not come again is not looked for twice."""
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.last_end = page.rfind(">")
+        self.quotes = True  # until one is left open: from there on quotes count for nothing
+        self.absent: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; some ``>`` follows."""
+        if self.quotes:
+            pos = at
+            while m := STOP.search(self.page, pos):
+                if m[1] is None:
+                    return m.start()
+                close = self.page.find(m[1], m.end())
+                if close < 0:
+                    break
+                pos = close + 1
+            self.quotes = False
+        return self.page.find(">", at)
+
+    def raw_end(self, name: str, at: int) -> int | None:
+        """Where the text of a raw element ends with its end tag; None if that never comes."""
+        if name in self.absent:
+            return None
+        m = _raw_end(name).search(self.page, at)
         if m is None:
-            here.parts.append(page[at:])
+            self.absent.add(name)
+            return None
+        return m.end()
+
+
+@lru_cache(maxsize=32)
+def _raw_end(name: str) -> re.Pattern:
+    if name == "head":  # its end may be left out
+        return re.compile(r"</head\s*>|(?=<body\b)", re.I)
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+def parse(page: str) -> Node:
+    """The tree of a page; never fails, whatever is left open or closed twice, and takes time in proportion to its length."""
+    root = here = Node("#page", None)
+    scan = _Scanner(page)
+    is_open: Counter[str] = Counter()
+    at = text = 0  # where to look on, and where text not yet taken begins
+
+    def close(upto: Node) -> Node:
+        x = here
+        while True:
+            is_open[x.tag] -= 1
+            if x is upto:
+                return x.parent
+            x = x.parent
+
+    while True:
+        begin = page.find("<", at)
+        if begin < 0 or begin > scan.last_end:
             break
-        if m.start() > at:
-            here.parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        follows = page[begin + 1 : begin + 2]
+        m = None if follows in ("!", "?") else OPENING.match(page, begin)
+        if m is None and follows not in ("!", "?"):
+            at = begin + 1
             continue
-        name = name.lower()
+        if begin > text:
+            here.parts.append(page[text:begin])
+        if m is None:
+            mark = "-->" if page.startswith("<!--", begin) else ">"
+            end = page.find(mark, begin + (4 if mark == "-->" else 1))
+            at = text = end + len(mark) if end >= 0 else scan.size
+            continue
+        end = scan.tag_end(m.end())
+        attrs = page[m.end() : end]
+        at = text = end + 1
+        name = m[2].lower()
         if m[1]:
-            up = here
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if is_open[name]:
+                up = here
+                while up.tag != name:
+                    up = up.parent
+                here = close(up)
             continue
         if name in RAW:
-            if m[3].endswith("/") and name in ("svg", "math"):
-                continue
-            if name == "head":  # its end may be left out
-                end = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(page, at)
-            else:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (n if name in ("script", "style") else at)
+            end = scan.raw_end(name, at)
+            if end is None:
+                end = scan.size if name in ("script", "style") else at
+            at = text = end
             continue
-        for kind in CLOSED_BY:
-            if name in CLOSED_BY[kind]:
-                up, fence = here, FENCE[kind]
-                while up is not root and up.tag != kind and up.tag not in fence:
-                    up = up.parent
-                if up is not root and up.tag == kind:
-                    here = up.parent
-        node = Node(name, here, m[3])
-        if name not in VOID:
+        for kind in ENDS.get(name, ()):
+            if kind in here.near:
+                here = close(here.near[kind])
+        node = Node(name, here, attrs)
+        drawn = name in ("svg", "math") or is_open["svg"] or is_open["math"]
+        if name not in VOID and not (drawn and attrs.endswith("/")):
+            is_open[name] += 1
             here = node
+    if text < scan.size:
+        here.parts.append(page[text:])
     return root
 
 
@@ -115,48 +172,56 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
-def hints(attrs: str) -> set[int]:
-    found: set[int] = set()
+def attribute_words(attrs: str) -> set[str]:
+    """Lower-cased words of the attributes that name things, each with its tag-like parts and as a whole."""
+    found: set[str] = set()
     if attrs and not attrs.isspace():
         for m in ATTRIBUTE.finditer(attrs):
-            if m[1].lower() in ("class", "id", "role", "aria-label", "data-role"):
-                for part in NAME_PART.findall(m[2] or m[3] or m[4] or ""):
-                    found.update(HINT_OF.get(part.lower(), ()))
+            if m[1].lower() in NAMING:
+                for word in (m[2] or m[3] or m[4] or "").split():
+                    found.add(word.lower())
+                    found.update(p.lower() for p in NAME_PART.findall(word) if len(p) > 1)
     return found
 
 
-FEATURES = 18 + 2 * len(HINTS) + 2 * len(TAGS)
+FEATURES = 24 + 2 * len(TAGS)
+#: Elements whose features are made at a time.
+ROWS = 1 << 15
+#: Sum, least and most of what an element's words say, and of its ancestors'.
+NOTHING = (0.0,) * 6
+
 
+def features(nodes: list[Node], words: Mapping[str, float], ignore: Callable[[], bool] | None = None) -> Iterator[np.ndarray]:
+    """One row per element, some elements at a time; ``nodes`` as ``walk`` gives them.
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row per element; ``nodes`` as ``walk`` gives them."""
+    ``words`` says by log-odds how much a word in an attribute, or a tag's name in
+    angle brackets, speaks for main text; an element for which ``ignore`` is true
+    counts as having no attributes.
+    """
     n = len(nodes)
     number = {id(x): k for k, x in enumerate(nodes)}
-    own, chars, links, tags, paras, stops, breaks = (np.zeros(n) for _ in range(7))
-    for k, x in enumerate(nodes):
-        text = "".join(p for p in x.parts if isinstance(p, str)) if x.parts else ""
-        own[k] = len(text) - text.count(" ") if text else 0
-        stops[k] = text.count(". ") + text.count(".\n") + text.rstrip().endswith((".", "!", "?")) if text else 0
-    chars[:], tags[:] = own, 1
-    under_link = np.zeros(n, dtype=bool)
-    first, second = [set()] * n, np.zeros((n, len(HINTS)), dtype=bool)
-    tag_above = np.zeros((n, len(TAGS)), dtype=bool)
-    parent = np.zeros(n, dtype=np.int64)
+    own, stops, parent, tag, above, told, linked = [0] * n, [0] * n, [0] * n, [-1] * n, [0] * n, [NOTHING] * n, [False] * n
     for k, x in enumerate(nodes):
-        p = number[id(x.parent)] if x.parent else 0
-        parent[k] = p
-        first[k] = hints(x.attrs)
+        if x.parts:
+            text = "".join(p for p in x.parts if p.__class__ is str)
+            if text:
+                own[k] = len(text) - text.count(" ")
+                stops[k] = text.count(". ") + text.count(".\n") + text.rstrip().endswith((".", "!", "?"))
+        tag[k] = TAG_AT.get(x.tag, -1)
+        so_far = 0.0, 0.0, 0.0
         if k:
-            second[k], tag_above[k], under_link[k] = second[p], tag_above[p], under_link[p]
-            for j in first[p]:
-                second[k, j] = True
-            if nodes[p].tag in TAG_AT:
-                tag_above[k, TAG_AT[nodes[p].tag]] = True
-        under_link[k] |= x.tag == "a"
-        links[k] = own[k] if under_link[k] else 0
-        paras[k], breaks[k] = x.tag == "p", x.tag == "br"
-    order_place = np.array([x.place for x in nodes], dtype=float)
-    start = np.concatenate(([0], np.cumsum(own)[:-1]))
+            p = parent[k] = number[id(x.parent)]
+            above[k], linked[k] = above[p] | (1 << tag[p] if tag[p] >= 0 else 0), linked[p]
+            a, b, c, d, e, f = told[p]
+            so_far = d + a, min(e, b), max(f, c)
+        said = [words[w] for w in attribute_words(x.attrs) if w in words] if x.attrs and not (ignore and ignore()) else []
+        if (name := f"<{x.tag}>") in words:
+            said.append(words[name])
+        told[k] = (sum(said), min(said), max(said), *so_far) if said else (0.0, 0.0, 0.0, *so_far)
+        linked[k] = linked[k] or x.tag == "a"
+    chars, tags = list(own), [1] * n
+    links = [c if u else 0 for c, u in zip(own, linked)]
+    paras, breaks = [int(x.tag == "p") for x in nodes], [int(x.tag == "br") for x in nodes]
     for k in range(n - 1, 0, -1):
         p = parent[k]
         chars[p] += chars[k]
@@ -165,37 +230,41 @@ def features(nodes: list[Node]) -> np.ndarray:
         paras[p] += paras[k]
         stops[p] += stops[k]
         breaks[p] += breaks[k]
+    own, chars, tags, links, paras, stops, breaks = (np.array(v, dtype=float) for v in (own, chars, tags, links, paras, stops, breaks))
+    parent, tag, above, told = np.array(parent), np.array(tag), np.array(above), np.array(told)
+    order_place = np.array([x.place for x in nodes], dtype=float)
+    start = np.concatenate(([0], np.cumsum(own)[:-1]))
     total = max(chars[0], 1.0)
     brothers = np.array([len(x.parent.children) if x.parent else 1 for x in nodes], dtype=float)
-    out = np.zeros((n, FEATURES))
-    out[:, 0] = np.log1p(chars)
-    out[:, 1] = np.log1p(own)
-    out[:, 2] = links / np.maximum(chars, 1)
-    out[:, 3] = np.log1p(chars / tags)
-    out[:, 4] = chars / total
-    out[:, 5] = chars / np.maximum(chars[parent], 1)
-    out[:, 6] = np.array([x.depth for x in nodes])
-    out[:, 7] = order_place
-    out[:, 8] = brothers
-    out[:, 9] = order_place / brothers
-    out[:, 10] = start / total
-    out[:, 11] = np.log1p(paras)
-    out[:, 12] = stops / np.maximum(chars, 1) * 100
-    out[:, 13] = np.log1p(stops)
-    out[:, 14] = np.log1p(chars[parent] / tags[parent])
-    out[:, 15] = links[parent] / np.maximum(chars[parent], 1)
-    out[:, 16] = [x.tag in HEADINGS for x in nodes]
-    out[:, 17] = breaks
-    at = 18
-    for k, found in enumerate(first):
-        for j in found:
-            out[k, at + j] = 1
-        t = TAG_AT.get(nodes[k].tag)
-        if t is not None:
-            out[k, at + 2 * len(HINTS) + t] = 1
-    out[:, at + len(HINTS) : at + 2 * len(HINTS)] = second
-    out[:, at + 2 * len(HINTS) + len(TAGS) :] = tag_above
-    return out
+    headings = np.array([x.tag in HEADINGS for x in nodes])
+    depth = np.array([x.depth for x in nodes])
+    for at in range(0, n, ROWS):
+        r = slice(at, min(n, at + ROWS))
+        p = parent[r]
+        out = np.zeros((len(p), FEATURES), dtype=np.float32)
+        out[:, 0] = np.log1p(chars[r])
+        out[:, 1] = np.log1p(own[r])
+        out[:, 2] = links[r] / np.maximum(chars[r], 1)
+        out[:, 3] = np.log1p(chars[r] / tags[r])
+        out[:, 4] = chars[r] / total
+        out[:, 5] = chars[r] / np.maximum(chars[p], 1)
+        out[:, 6] = depth[r]
+        out[:, 7] = order_place[r]
+        out[:, 8] = brothers[r]
+        out[:, 9] = order_place[r] / brothers[r]
+        out[:, 10] = start[r] / total
+        out[:, 11] = np.log1p(paras[r])
+        out[:, 12] = stops[r] / np.maximum(chars[r], 1) * 100
+        out[:, 13] = np.log1p(stops[r])
+        out[:, 14] = np.log1p(chars[p] / tags[p])
+        out[:, 15] = links[p] / np.maximum(chars[p], 1)
+        out[:, 16] = headings[r]
+        out[:, 17] = breaks[r]
+        out[:, 18:24] = told[r]
+        rows = np.flatnonzero(tag[r] >= 0)
+        out[rows, 24 + tag[r][rows]] = 1
+        out[:, 24 + len(TAGS) :] = above[r, None] >> np.arange(len(TAGS)) & 1
+        yield out
 
 
 def weights(nodes: list[Node]) -> np.ndarray:

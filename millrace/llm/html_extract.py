@@ -1,26 +1,28 @@
 """Main text of web pages: boosted trees over DOM features, decoded on the tree.
 
 Each element gets the log-odds of being main text from its subtree's density of
-text and links, the words in its attributes and its ancestors', its depth and its
-place among its siblings.  The decoder labels every element in, out or mixed such
-that all below an element that is in (out) is in (out) too; only mixed elements
-have both below them.  It is the best such labelling by summed log-likelihood of
-the texts, found bottom-up in one pass, so an ancestor and a descendant never
-contradict each other.
+text and links, the learned weights of the words in its attributes and its
+ancestors', its depth and its place among its siblings.  The decoder labels every
+element in, out or mixed such that all below an element that is in (out) is in
+(out) too; only mixed elements have both below them.  It is the best such labelling
+by summed log-likelihood of the texts, found bottom-up in one pass, so an ancestor
+and a descendant never contradict each other.
 
-Training: ``pages`` invented pages of known make-up (``synthetic_page``), drawn
-from a fixed seed; the trees are fitted on the driver once per session, and
-neither that number nor the model grows with the table.
+The fitted model is the file ``main_text_model.json`` beside this module, made by
+``python -m millrace.llm.main_text_model``; nothing is trained at query time.
 
 Defined cases: null or empty html gives an empty text; text without any tag is one
-block of main text; repeated or null ids are rows of their own; other columns
-are ignored.
+block of main text; a page of any length takes time and memory in proportion to it,
+its elements being scored some at a time; repeated or null ids are rows of their
+own; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import random
+import json
+from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,11 @@ from millrace.llm.dom import Node, blocks, features, parse, walk, weights
 from millrace.llm.trees import BoostedTrees
 from millrace.plans.scratch import bounded_arrow_batches
 
-TRAINING_PAGES = 1000
+MODEL = Path(__file__).with_name("main_text_model.json")
 #: What a mixed element costs, in units of log-likelihood.
 MIXED = 0.5
-#: Pages whose elements are scored together.
-TOGETHER = 128
+#: Elements that are scored together, but for those of one page.
+TOGETHER = 1 << 15
 
 
 def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray) -> set[int]:
@@ -68,164 +70,56 @@ def decode(nodes: list[Node], odds: np.ndarray, weight: np.ndarray) -> set[int]:
     return kept
 
 
-# -- training pages ---------------------------------------------------------------
-
-_SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi xo zu an er in on ul str pl ch tion ment".split()
-
-
-def _words(r: random.Random, n: int) -> str:
-    return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n))
-
-
-def _sentences(r: random.Random, n: int) -> str:
-    return " ".join(_words(r, r.randint(3, 18)).capitalize() + r.choice(".....!?") for _ in range(n))
-
-
-def _item(r: random.Random) -> str:
-    return _words(r, r.randint(1, 4)).capitalize()
-
-
-def _list(r: random.Random, n: int, linked: float) -> str:
-    rows = [f'<li><a href="/{k}">{_item(r)}</a></li>' if r.random() < linked else f"<li>{_item(r)}</li>" for k in range(n)]
-    tag = r.choice(["ul", "ul", "ol"])
-    return f"<{tag}>{''.join(rows)}</{tag}>"
-
-
-def _named(r: random.Random, tag: str, names: list[str], rate: float = 0.75) -> tuple[str, str]:
-    """Start and end of an element; sometimes a bare div, sometimes without a name."""
-    if tag != "div" and r.random() < 0.4:
-        attr = f' class="{r.choice(names)}"' if r.random() < 0.4 else ""
-        return f"<{tag}{attr}>", f"</{tag}>"
-    attr = f' {r.choice(["class", "id"])}="{r.choice(names)}"' if r.random() < rate else ""
-    return f"<div{attr}>", "</div>"
-
-
-def _boilerplate(r: random.Random, kind: str) -> str:
-    if kind == "menu":
-        a, b = _named(r, "nav", ["nav", "main-menu", "navbar", "breadcrumbs", "top-links"])
-        return a + _list(r, r.randint(3, 12), 0.95) + b
-    if kind == "header":
-        a, b = _named(r, "header", ["header", "masthead", "site-head", "topbar"])
-        return f'{a}<a href="/" class="logo">{_item(r)}</a>{r.choice(["", f"<p>{_words(r, r.randint(2, 8))}</p>", f"<h2>{_item(r)}</h2>"])}{b}'
-    if kind == "footer":
-        a, b = _named(r, "footer", ["footer", "site-footer", "legal", "bottom"])
-        return f"{a}{r.choice(['', '<p>'])}&copy; {r.randint(1990, 2030)} {_item(r)} &middot; {_sentences(r, r.randint(1, 2))}{r.choice(['', _list(r, r.randint(2, 6), 1)])}{b}"
-    if kind == "side":
-        a, b = _named(r, "aside", ["sidebar", "related", "widget", "right-rail", "popular"])
-        return f"{a}<h3>{_item(r)}</h3>{r.choice([_list(r, r.randint(3, 9), 0.9), f'<p>{_sentences(r, r.randint(1, 3))}</p>', f'<p>{_sentences(r, 1)}</p>' + _list(r, 4, 0.9)])}{b}"
-    if kind == "advert":
-        a, b = _named(r, "div", ["ad", "ads", "advert", "sponsored", "promo-box", "ad-slot banner"], 1.0)
-        return f"{a}{r.choice([_sentences(r, r.randint(1, 3)), f'<p>{_sentences(r, 1)}</p>', f'<a href=x>{_words(r, 5)}</a>'])}{b}"
-    if kind == "notice":
-        a, b = _named(r, "div", ["cookie-banner", "consent", "notice", "newsletter", "popup", "alert"], 1.0)
-        return f"{a}<p>{_sentences(r, r.randint(1, 3))}</p>{r.choice(['', f'<button>{_item(r)}</button>'])}{b}"
-    if kind == "form":
-        a, b = _named(r, "form", ["search-form", "login", "signup", "contact-form"])
-        return f"{a}<form><label>{_item(r)}</label><input type=text><button>{_item(r)}</button>{r.choice(['', f'<p>{_sentences(r, 1)}</p>'])}</form>{b}"
-    if kind == "talk":
-        a, b = _named(r, "section", ["comments", "comment-list", "discussion", "replies"], 1.0)
-        rows = "".join(f'<div class="{r.choice(["comment", "reply"])}"><b>{_item(r)}</b><p>{_sentences(r, r.randint(1, 4))}</p></div>' for _ in range(r.randint(1, 6)))
-        return f"{a}<h3>{_item(r)}</h3>{rows}{b}"
-    a, b = _named(r, "div", ["share", "social", "follow-us"], 1.0)
-    return a + _list(r, r.randint(2, 5), 1.0) + b
-
-
-def _article(r: random.Random, inside: str) -> str:
-    n = int(r.paretovariate(0.7)) + r.choice([0, 0, 1, 4])
-    body = []
-    for _ in range(min(n, 200)):
-        text = _sentences(r, r.choice([1, 1, 2, 4, 8]))
-        form = r.random()
-        if form < 0.72:
-            body.append(f"<p>{text}</p>" if r.random() < 0.8 else f"<p><b>{text}<br>")
-        elif form < 0.78:
-            body.append(f"<h2>{_item(r)}</h2><p>{text}")
-        elif form < 0.84:
-            body.append(_list(r, r.randint(2, 6), 0.1))
-        elif form < 0.89:
-            body.append(f"<blockquote>{text}</blockquote>")
-        elif form < 0.94:
-            body.append(f'<p>{text} <a href="#">{_words(r, 3)}</a> <em>{_words(r, 2)}</em> {_sentences(r, 1)}</p>')
-        elif form < 0.97:
-            body.append(f"<table><tr><td>{_words(r, 3)}</td><td>{_words(r, 6)}</td></tr></table>")
-        else:
-            body.append(f"<div>{text}</div>")
-    if inside:
-        body.insert(r.randint(0, len(body)), f"<!--out-->{inside}<!--in-->")
-    a, b = _named(r, r.choice(["article", "article", "main", "section", "div"]), ["article", "content", "post", "entry-content", "story-body", "main"])
-    head = f"<h1>{_words(r, r.randint(1, 10))}</h1>" if r.random() < 0.8 else ""
-    return f"{a}{head}{''.join(body)}{b}"
-
-
-def synthetic_page(r: random.Random) -> tuple[str, list[bool]]:
-    """A page and, for every element as ``walk`` lists them, whether it lies in the main text.
-
-    Boilerplate pieces are marked by their own attribute, which the labels are read
-    from and which is taken out before the page is used.
-    """
-    pieces = [k for k in ("header", "menu", "notice", "advert", "form") if r.random() < 0.5]
-    after = [k for k in ("advert", "side", "share", "talk", "form", "menu", "footer") if r.random() < 0.5]
-    inside = _boilerplate(r, r.choice(["advert", "advert", "share", "side", "form", "notice"])) if r.random() < 0.45 else ""
-    article = _article(r, inside)
-    wrap = r.choice([("", ""), ("<div>", "</div>"), ('<div id="page"><div class="wrap">', "</div></div>")])
-    before_html, after_html = "".join(_boilerplate(r, k) for k in pieces), "".join(_boilerplate(r, k) for k in after)
-    page = f"<html><head><title>{_item(r)}</title></head><body>{wrap[0]}{before_html}<!--in-->{article}<!--out-->{after_html}{wrap[1]}</body></html>"
-    return page, _labels(page)
-
-
-def _labels(page: str) -> list[bool]:
-    """Walks the page in two readings: what is between in and out marks is main text."""
-    parts = page.replace("<!--in-->", "\x01").replace("<!--out-->", "\x02")
-    inside, out = False, []
-    stack: list = [parse(parts)]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            last = max(x.rfind("\x01"), x.rfind("\x02"))
-            inside = x[last] == "\x01" if last >= 0 else inside
-        else:
-            out.append(inside)
-            stack.extend(reversed(x.parts))
-    return out
+@dataclass(frozen=True)
+class MainText:
+    """The trees, and what words in attributes say."""
 
+    trees: BoostedTrees
+    words: dict[str, float]
 
-@lru_cache(maxsize=2)
-def trained(pages: int = TRAINING_PAGES, seed: int = 11) -> BoostedTrees:
-    r = random.Random(seed)
-    xs, ys, ws = [], [], []
-    for _ in range(pages):
-        page, label = synthetic_page(r)
-        nodes = walk(parse(page))
-        y = np.array(label, dtype=float)
-        number = {id(x): k for k, x in enumerate(nodes)}
-        pure = np.array([True] * len(nodes))
-        for k in range(len(nodes) - 1, 0, -1):  # elements with both below them teach nothing
-            p = number[id(nodes[k].parent)]
-            if not pure[k] or y[k] != y[p]:
-                pure[p] = False
-        xs.append(features(nodes)[pure])
-        ys.append(y[pure])
-        ws.append(1 + np.log1p(weights(nodes))[pure])
-    return BoostedTrees().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    def log_odds(self, pages: list[list[Node]]) -> list[np.ndarray]:
+        """Of every element of each page, some elements at a time."""
+        out: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        for nodes in pages:
+            held += features(nodes, self.words) if nodes else ()
+            if sum(map(len, held)) >= TOGETHER:
+                out += [self.trees.log_odds(x) for x in held]
+                held = []
+        out += [self.trees.log_odds(np.concatenate(held))] if held else []
+        joined = np.concatenate(out) if out else np.zeros(0)
+        return np.split(joined, np.cumsum([len(nodes) for nodes in pages])[:-1])
 
 
-def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
+@lru_cache(maxsize=1)
+def trained() -> MainText:
+    saved = json.loads(MODEL.read_text(encoding="utf-8"))
+    return MainText(BoostedTrees.of(saved["trees"]), saved["words"])
+
+
+def extract(pages: list[str | None], model: MainText) -> list[str]:
     """Main text of each page."""
     out: list[str] = []
-    for at in range(0, len(pages), TOGETHER):
-        trees = [walk(parse(p)) if p else [] for p in pages[at : at + TOGETHER]]
-        found = [features(nodes) for nodes in trees if nodes]
-        odds = model.log_odds(np.concatenate(found)) if found else np.zeros(0)
-        k = 0
-        for nodes in trees:
-            own = odds[k : k + len(nodes)]
-            k += len(nodes)
-            if not nodes:
-                out.append("")
-            elif len(nodes) == 1:
-                out.append("\n".join(blocks(nodes[0], {id(nodes[0])})))
-            else:
-                out.append("\n".join(blocks(nodes[0], decode(nodes, own, weights(nodes)))))
+    held: list[list[Node]] = []
+    size = 0
+    for page in pages:
+        held.append(walk(parse(page)) if page else [])
+        size += len(held[-1])
+        if size >= TOGETHER:
+            out += _texts(held, model)
+            held, size = [], 0
+    return out + (_texts(held, model) if held else [])
+
+
+def _texts(trees: list[list[Node]], model: MainText) -> list[str]:
+    out = []
+    for nodes, odds in zip(trees, model.log_odds(trees)):
+        if not nodes:
+            out.append("")
+        elif len(nodes) == 1:
+            out.append("\n".join(blocks(nodes[0], {id(nodes[0])})))
+        else:
+            out.append("\n".join(blocks(nodes[0], decode(nodes, odds, weights(nodes)))))
     return out
 
 

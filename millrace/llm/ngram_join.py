@@ -28,7 +28,7 @@ similar; those that share one are candidates and are compared in full.
   beforehand, and only one of each class goes on.  Sets that share a content are
   compared with the smallest of them, the hub, so a group costs its size, not its
   square.  While a content's sets lie in different components, other hubs of it are
-  drawn, one comparison for each open set a round, as long as rounds link enough.
+  drawn, a few comparisons for each open set a round, as long as rounds link enough.
   What is left is looked at in clusters, in blocks of bounded bytes and rows: first
   by bitmaps that bound the intersection from above, which breaks up the chains that
   common passages make, then in full, and only between components.  A component
@@ -73,8 +73,8 @@ INCOMPLETE = 0.02
 COMMON, SPREAD, COMPARISON = 0.1, 1e-5, 4.0
 #: Bytes of bitmaps, and of texts, in one block of a cluster, and rows in it.
 BITMAP_BLOCK, TEXT_BLOCK, BLOCK_ROWS = 4 << 20, 8 << 20, 1024
-#: Rounds of other hubs at most, and the share of comparisons that must link for one more.
-ROUNDS, WORTH = 6, 0.05
+#: Rounds of other hubs at most, hubs drawn in one, and the share of comparisons that must link for one more.
+ROUNDS, DRAWS, WORTH = 3, 3, 0.1
 #: Rows of two or three numbers that are broadcast at most; above it, both sides are shuffled.
 BROADCAST_KEYS = 1_000_000
 
@@ -379,7 +379,8 @@ def similar_components(
     discard(base, index, copies, contents, links, roots, *([late] if late is not None else []))
     first = named.groupBy("root").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("members"))
     many = first.where("members > 1").select(F.col("root").alias("r"), F.col("least.doc_id").alias("least_id"), F.col("least.rid").alias("least_rid"))
-    out = named.join(many, F.col("root") == F.col("r"), "left")
+    many = materialize(many, "jaccard-many")  # apart from the join, so that a root with very many rows can be split in it
+    out = named.join(_bounded(many), F.col("root") == F.col("r"), "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -390,25 +391,26 @@ def similar_components(
 
 
 def _parted(contents: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(sig, rid, comp) with components so far, and of each content that is in several: s, and the hub of this turn with its component."""
+    """(sig, rid, comp) with components so far, and of each content that is in several: s, and the hubs drawn this turn with their components."""
     rows = _relabel(contents, roots, "rid", "comp")
-    drawn = F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), F.col("rid"), F.col("comp"))
-    groups = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(drawn).alias("hub")).where("c0 <> c1")
-    return rows, groups.select(F.col("sig").alias("s"), F.col("hub.rid").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+    drawn = [F.min(F.struct(F.xxhash64("rid", F.lit(turn * DRAWS + k)).alias("h"), F.col("rid"), F.col("comp"))).alias(f"hub{k}") for k in range(DRAWS)]
+    groups = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *drawn).where("c0 <> c1")
+    return rows, groups.select(F.col("sig").alias("s"), *[f"hub{k}" for k in range(DRAWS)])
 
 
 def _other_hubs(contents: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each set whose contents lie in several components, with one drawn hub of another component."""
+    """(a, b): each set whose contents lie in several components, with drawn hubs of other components, one a draw."""
     rows, groups = _parted(contents, roots, turn)
-    open_rows = rows.join(groups, F.col("sig") == F.col("s")).where("comp <> hub_comp")
-    drawn = F.struct(F.xxhash64("sig", F.lit(turn)), F.col("hub"))
-    return open_rows.groupBy(F.col("rid").alias("a")).agg(F.min(drawn)["hub"].alias("b"))
+    both = rows.join(groups, F.col("sig") == F.col("s"))
+    near = [F.min(F.when(F.col("comp") != F.col(f"hub{k}.comp"), F.struct(F.xxhash64("sig", F.lit(turn * DRAWS + k)), F.col(f"hub{k}.rid").alias("rid")))).alias(f"b{k}") for k in range(DRAWS)]
+    chosen = both.groupBy(F.col("rid").alias("a")).agg(*near)
+    return chosen.select("a", F.explode(F.array(*[F.col(f"b{k}.rid") for k in range(DRAWS)])).alias("b")).where("b is not null").distinct()
 
 
 def _within_clusters(contents: DataFrame, roots: DataFrame, index: DataFrame, base: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
     """Links among sets that share a content but lie in different components so far."""
     rows, groups = _parted(contents, roots, ROUNDS)
-    open_rows = materialize(rows.join(groups, F.col("sig") == F.col("s")).select("rid", "comp", "hub"), "jaccard-open")
+    open_rows = materialize(rows.join(groups, F.col("sig") == F.col("s")).select("rid", "comp", F.col("hub0.rid").alias("hub")), "jaccard-open")
     if open_rows.isEmpty():
         discard(open_rows)
         return None

@@ -19,6 +19,16 @@ class BoostedTrees:
     #: Per tree: feature and bin of each inner node in heap order, and the leaves' values.
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
+    @classmethod
+    def of(cls, saved: dict) -> BoostedTrees:
+        """From what ``saved`` gave."""
+        trees = [(np.array(f), np.array(c), np.array(v)) for f, c, v in saved["trees"]]
+        return cls(depth=saved["depth"], bins=saved["bins"], start=saved["start"], edges=[np.array(e) for e in saved["edges"]], trees=trees)
+
+    def saved(self) -> dict:
+        rounded = [[f.tolist(), c.tolist(), [round(float(x), 5) for x in v]] for f, c, v in self.trees]
+        return {"depth": self.depth, "bins": self.bins, "start": round(self.start, 5), "edges": [[float(x) for x in e] for e in self.edges], "trees": rounded}
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)]).astype(np.uint8)
 

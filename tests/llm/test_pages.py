@@ -1,12 +1,20 @@
 import json
 import random
+import sys
+import time
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, dom, html_extract, lang_id, warc
+sys.path.insert(0, str(Path(__file__).parent))
+import pages_by_hand
+
+from millrace.llm import chat, dom, html_extract, lang_id, main_text_model, warc
+from millrace.llm.trees import BoostedTrees
 
 
 @pytest.fixture(scope="module")
@@ -34,13 +42,59 @@ def test_labels_on_unseen_synthetic_pages(model):
     r = random.Random(999)
     right = total = 0.0
     for _ in range(150):
-        page, label = html_extract.synthetic_page(r)
+        page, label = main_text_model.synthetic_page(r)
         nodes = dom.walk(dom.parse(page))
         w = dom.weights(nodes)
-        kept = html_extract.decode(nodes, model.log_odds(dom.features(nodes)), w)
+        kept = html_extract.decode(nodes, model.log_odds([nodes])[0], w)
         right += sum(x for x, n, y in zip(w, nodes, label) if (id(n) in kept) == y)
         total += w.sum()
-    assert right / total > 0.97
+    assert right / total > 0.96
+
+
+def test_main_text_of_pages_by_hand(model):
+    """Pages that the generator of the training pages did not make."""
+    found = wanted = both = 0
+    for page in pages_by_hand.PAGES:
+        page, want = pages_by_hand.marked(page)
+        got = Counter(html_extract.extract([page], model)[0].split())
+        found, wanted, both = found + got.total(), wanted + len(want), both + (got & Counter(want)).total()
+    assert 2 * both / (found + wanted) > 0.95
+
+
+def test_fitting_is_repeatable():
+    one, two = (main_text_model.fit(pages=12, seed=3) for _ in range(2))
+    assert one.words == two.words and one.trees.saved() == two.trees.saved()
+    again = html_extract.MainText(BoostedTrees.of(json.loads(json.dumps(one.trees.saved()))), one.words)
+    nodes = dom.walk(dom.parse(PAGE))
+    assert np.allclose(again.log_odds([nodes])[0], one.log_odds([nodes])[0], atol=1e-2)
+
+
+HOSTILE = ["<a ", "<div>", "<textarea>", "<!--", '<a "', "<a b='x>", '<a b="x>', "<![x", "</", "<script", "<p>x", "<li>", "<ul><li><b>", "= '", "<p><div><b><hr>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_parsing_takes_linear_time(piece):
+    def took(n):
+        page = piece * (n // len(piece)) + ("" if piece == "<a " else ">")
+        start = time.process_time()
+        dom.parse(page)
+        return time.process_time() - start
+
+    assert took(1_000_000) < 6
+
+
+def test_stray_ends_take_linear_time():
+    start = time.process_time()
+    dom.parse("<div>" * 80000 + "</span>" * 80000)
+    dom.parse("<p><div>" + "<b>" * 100000 + "<hr>" * 100000)
+    assert time.process_time() - start < 8
+
+
+def test_a_very_long_page_and_words_in_formulas(model):
+    body = "".join(f"<p>Sentence {k} of a long story, told at length. It goes on.</p>" for k in range(40000))
+    text = html_extract.extract([f"<nav><ul><li><a href=x>Menu</a></ul></nav><article><h1>Long</h1>{body}<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. So it ends.</p></article>"], model)[0]
+    lines = text.split("\n")
+    assert len(lines) == 40002 and lines[0] == "Long" and lines[-1] == "Where x=2 holds. So it ends."
 
 
 def test_decoding_is_consistent_and_best():

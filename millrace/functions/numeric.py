@@ -53,6 +53,11 @@ def perplexity(loss: Column, limit: float = 50.0) -> Column:
     return F.when(loss < limit, F.exp(loss)).otherwise(F.lit(math.inf))
 
 
+def seen(token: Column, history: Column) -> Column:
+    """Whether a token is among the different ones of a history."""
+    return F.array_contains(F.array_distinct(history), token.cast("long"))
+
+
 def repetition_penalty(score: Column, seen: Column, penalty: float) -> Column:
     return F.when(seen, F.when(score < 0, score * penalty).otherwise(score / penalty)).otherwise(score)
 

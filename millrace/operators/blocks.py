@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.prefix import running_sum
+from millrace.plans.prefix import joined_back, running_sum
 
 
-def pack_blocks(docs: DataFrame, block: int, order_by: str = "ord", tokens: str = "tokens") -> DataFrame:
-    """block_id, tokens: the stream cut every ``block`` tokens; a last, shorter part is dropped.
+def pack_blocks(docs: DataFrame, block: int, order_by: str = "ord", tokens: str = "tokens", whole: bool = True) -> DataFrame:
+    """block_id, tokens: the stream cut every ``block`` tokens; a last, shorter part is dropped unless ``whole`` is false.
 
-    A document's place in the stream is a two-pass running sum of lengths.  Each
-    document is cut into the parts that fall in different blocks, so what is
-    shuffled are slices, not single tokens.
+    A document's place in the stream is a two-pass running sum of lengths, which sees
+    no tokens.  Each document is cut into the parts that fall in different blocks, so
+    what is shuffled are slices, not single tokens.  ``docs`` is read twice.
     """
     sized = docs.withColumn("__n", F.size(tokens).cast("long")).where(F.col("__n") > 0)
-    placed = running_sum(sized, "__n", [order_by], into="__at")
+    placed = joined_back(sized, running_sum(sized.select(order_by, "__n"), "__n", [order_by], into="__at"), [order_by])
     last = F.floor((F.col("__at") + F.col("__n") - 1) / block)
     parts = placed.withColumn("block_id", F.explode(F.sequence(F.floor(F.col("__at") / block), last)))
     begin = F.greatest(F.col("block_id") * block, F.col("__at"))
     stop = F.least((F.col("block_id") + 1) * block, F.col("__at") + F.col("__n"))
     parts = parts.select("block_id", begin.alias("__begin"), F.slice(tokens, (begin - F.col("__at") + 1).cast("int"), (stop - begin).cast("int")).alias("__part"))
     joined = parts.groupBy("block_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__begin", "__part"))), lambda x: x["__part"])).alias("tokens"))
-    return joined.where(F.size("tokens") == block)
+    return joined.where(F.size("tokens") == block) if whole else joined
 
 
 def shard_of(blocks: DataFrame, rank: int, world: int, skip: int = 0) -> DataFrame:
@@ -33,6 +33,5 @@ def shard_of(blocks: DataFrame, rank: int, world: int, skip: int = 0) -> DataFra
 
 def next_tokens(blocks: DataFrame) -> DataFrame:
     """block_id, pos, token, next: what each position of a block predicts."""
-    flat = blocks.select("block_id", F.posexplode("tokens").alias("pos", "token"))
-    ahead = F.lead("token").over(Window.partitionBy("block_id").orderBy("pos"))
-    return flat.withColumn("next", ahead).where("next is not null")
+    pairs = F.arrays_zip(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))).alias("token"), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))).alias("next"))
+    return blocks.select("block_id", F.posexplode(pairs).alias("pos", "pair")).select("block_id", "pos", "pair.token", "pair.next")

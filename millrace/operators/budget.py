@@ -8,26 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ordering import global_rank
-from millrace.plans.prefix import running_sum
+from millrace.plans.prefix import joined_back, running_sums
 
 
 def cut_to_budget(df: DataFrame, order_by: Sequence[str], budgets: dict[str, int]) -> DataFrame:
     """Rows up to and with the one at which the first budget is reached.
 
-    ``budgets`` maps columns to their limits.  The first row always stays.
+    ``budgets`` maps columns to their limits.  The first row always stays.  One pass
+    over the order and the budgeted columns makes all sums.
     """
-    out = global_rank(df, order_by, "__pos")
+    slim = df.select(*order_by, *[c for c in budgets if c not in order_by], F.lit(1).alias("__one"))
+    sums = running_sums(slim, {"__pos": "__one", **{f"__b{k}": c for k, c in enumerate(budgets)}}, order_by)
     keep = F.lit(True)
-    for k, (column, limit) in enumerate(budgets.items()):
-        out = running_sum(out, column, order_by, into=f"__b{k}")
+    for k, limit in enumerate(budgets.values()):
         keep = keep & (F.col(f"__b{k}") < limit)
-    return out.where((F.col("__pos") == 0) | keep).drop("__pos", *[f"__b{k}" for k in range(len(budgets))])
+    kept = sums.where((F.col("__pos") == 0) | keep)
+    return kept.select(*df.columns) if set(df.columns) <= set(slim.columns) else joined_back(df, kept.select(*order_by), order_by)
 
 
 def assign_shards(df: DataFrame, order_by: Sequence[str], per_shard: int) -> DataFrame:
     """Adds ``shard`` and the row's place in it."""
-    placed = global_rank(df, order_by, "__pos")
-    return placed.withColumn("shard", F.floor(F.col("__pos") / per_shard).cast("long")).withColumn("in_shard", F.col("__pos") % per_shard).drop("__pos")
+    placed = global_rank(df.select(*order_by), order_by, "__pos")
+    placed = placed.withColumn("shard", F.floor(F.col("__pos") / per_shard).cast("long")).withColumn("in_shard", F.col("__pos") % per_shard).drop("__pos")
+    return placed if df.columns == list(order_by) else joined_back(df, placed, order_by)
 
 
 def totals(df: DataFrame, text_col: str = "text", tokens: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ordering import global_rank
-from millrace.plans.prefix import running_sum
+from millrace.plans.prefix import joined_back, running_sum, running_sums
 
 UNITS = {"chars": F.length, "bytes": F.octet_length}
 
@@ -48,14 +48,16 @@ def with_length(df: DataFrame, unit: str | Column = "chars", text_col: str = "te
 def stride(df: DataFrame, weights: Mapping[str, float], source: str = "source", order_by: str = "ord") -> DataFrame:
     """Adds ``pos``, the place in the mixture; rows of sources without weight go.
 
-    ``df`` has ``len`` (``with_length``).
+    ``df`` has ``len`` (``with_length``), and (source, order) name a row.  Both passes
+    see these three columns only.
     """
     w = {k: v for k, v in weights.items() if v > 0}
     normalised(w)
     own = df.where(F.col(source).isin(*w))
-    sent = running_sum(own, "len", [order_by], [source], "sent")
+    sent = running_sum(own.select(source, order_by, "len"), "len", [order_by], [source], "sent")
     timed = sent.withColumn("vt", F.col("sent").cast("double") / weight_of(w, F.col(source)))
-    return global_rank(timed, ["vt", source, order_by], "pos").drop("sent")
+    placed = global_rank(timed, ["vt", source, order_by], "pos").drop("sent")
+    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed.drop("len"), [source, order_by])
 
 
 def replay_draws(lengths: Mapping[str, list[int]], weights: Mapping[str, float], seed: int, weighting: str = "token") -> list[tuple[str, int]]:
@@ -94,7 +96,8 @@ def replay(df: DataFrame, weights: Mapping[str, float], seed: int, weighting: st
     The draw is one sequence by definition, so one task replays it, on (source,
     ordinal, length) alone; texts are joined back by a shuffle.
     """
-    ranked = global_rank(df.where(F.col(source).isin(*weights)), [order_by], "nth", [source])
+    own = df.where(F.col(source).isin(*weights))
+    ranked = global_rank(own.select(source, order_by, "len"), [order_by], "nth", [source])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([source, "nth"])
@@ -104,7 +107,8 @@ def replay(df: DataFrame, weights: Mapping[str, float], seed: int, weighting: st
 
     numbers = ranked.select(source, "nth", "len", F.lit(0).alias("__all"))
     order = numbers.groupBy("__all").applyInPandas(draw, "__s string, __n long, pos long")
-    return ranked.join(order, (F.col(source) == F.col("__s")) & (F.col("nth") == F.col("__n"))).drop("__s", "__n", "nth")
+    placed = ranked.join(order, (F.col(source) == F.col("__s")) & (F.col("nth") == F.col("__n"))).drop("__s", "__n", "nth")
+    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed.drop("len"), [source, order_by])
 
 
 def realised_shares(mixed: DataFrame, source: str = "source") -> DataFrame:
@@ -122,6 +126,6 @@ def exhaustion(mixed: DataFrame, source: str = "source") -> DataFrame:
 def running_means(df: DataFrame, source: str = "source", order_by: str = "ord") -> DataFrame:
     """Adds ``mean_before``: the mean length of what the source sent before, 1.0 at first."""
     one = df.withColumn("one", F.lit(1))
-    sums = running_sum(running_sum(one, "len", [order_by], [source], "len_before"), "one", [order_by], [source], "docs_before")
+    sums = running_sums(one, {"len_before": "len", "docs_before": "one"}, [order_by], [source])
     mean = F.when(F.col("docs_before") > 0, F.col("len_before") / F.col("docs_before")).otherwise(F.lit(1.0))
     return sums.withColumn("mean_before", mean).drop("one", "len_before", "docs_before")

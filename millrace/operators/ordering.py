@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.prefix import running_sum
+from millrace.plans.prefix import joined_back, running_sum
 
 
 def seeded_key(seed: int, *columns: str) -> Column:
@@ -24,8 +24,9 @@ def global_rank(df: DataFrame, order_by: Sequence[str], into: str = "pos", group
 
 
 def hash_shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
-    """A full shuffle: ``pos`` is the place by seeded hash of the key."""
-    return global_rank(df.withColumn("__h", seeded_key(seed, key)), ["__h", key], "pos").drop("__h")
+    """A full shuffle: ``pos`` is the place by seeded hash of the key, which names a row."""
+    slim = global_rank(df.select(seeded_key(seed, key).alias("__h"), key), ["__h", key], "pos").drop("__h")
+    return slim if df.columns == [key] else joined_back(df, slim, [key])
 
 
 def buffered_order(count: int, seed: int, buffer_size: int) -> list[int]:
@@ -60,9 +61,10 @@ def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, order_by: str, gr
     """Adds ``pos``: the place of each row after the buffer shuffle of its group.
 
     The replay is sequential by nature; it handles ordinals only (one number a
-    row), one group a task, and is joined back by (group, ordinal).
+    row), one group a task, and is joined back by (group, ordinal).  Where no exact
+    replay is asked for, ``hash_shuffle`` needs no such task.
     """
-    ranked = global_rank(df, [order_by], "__nth", [group_by])
+    ranked = global_rank(df.select(group_by, order_by), [order_by], "__nth", [group_by])
     sizes = ranked.groupBy(group_by).count()
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +73,8 @@ def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, order_by: str, gr
 
     kind = sizes.schema[group_by].dataType.simpleString()
     order = sizes.groupBy(group_by).applyInPandas(replay, f"__g {kind}, __ord long, pos long")
-    return ranked.join(order, ranked[group_by].eqNullSafe(order["__g"]) & (F.col("__nth") == F.col("__ord"))).drop("__g", "__ord", "__nth")
+    placed = ranked.join(order, ranked[group_by].eqNullSafe(order["__g"]) & (F.col("__nth") == F.col("__ord"))).drop("__g", "__ord", "__nth")
+    return placed if set(df.columns) == {group_by, order_by} else joined_back(df, placed, [group_by, order_by])
 
 
 def seeded_sample(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 import json
 from array import array
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.config import TokenizerConfig
+from millrace.functions.text import word_count
+from millrace.sources.sinks import write_text
+
 #: Fixed value: the pre-token rule of byte-level BPE, with Unicode classes on.
 PRE_TOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Special tokens in their fixed order; the rest of the reserved block is numbered.
@@ -115,26 +119,60 @@ def learn_merges(counts: Iterable[tuple[str, int]], entries: int, min_frequency:
 
 
 def train_bpe(docs: DataFrame, vocab_size: int, min_frequency: int = 2, text_col: str = "text") -> str:
-    """JSON of a byte-level BPE of exactly ``vocab_size`` entries, specials last.
+    """JSON of a byte-level BPE of exactly ``vocab_size`` entries: specials first, then bytes, then merges.
 
     The corpus is reduced to its piece counts by Spark; merges are learned on the
     driver from all of them, each piece weighing its exact count. The driver holds
     the distinct pieces, never the texts.
     """
-    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers, processors
 
     specials = special_tokens()
     counts = piece_counts(docs, text_col).toLocalIterator(prefetchPartitions=True)
-    vocab, merges = learn_merges(counts, vocab_size - len(specials), min_frequency)
-    tok = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    learned, merges = learn_merges(counts, vocab_size - len(specials), min_frequency)
+    vocab = {s: k for k, s in enumerate(specials)} | {name: k + len(specials) for name, k in learned.items()}
+    tok = Tokenizer(models.BPE(vocab=vocab, merges=merges, byte_fallback=True))
     tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
     tok.decoder = decoders.ByteLevel()
+    tok.post_processor = processors.ByteLevel(trim_offsets=False)
     tok.add_special_tokens(specials)
     if tok.get_vocab_size() != vocab_size:
         raise ValueError(f"the corpus gives {tok.get_vocab_size()} entries, not {vocab_size}")
     return tok.to_str()
 
 
+def save_tokenizer(spark: SparkSession, spec: str, folder: str, config: TokenizerConfig) -> list[str]:
+    """The tokenizer, its vocabulary, its merges and what tools expect beside them, as files; a vocabulary of another size is an error."""
+    require_vocab(spec, config.vocab_size)
+    tok = _loaded(spec, False)
+    if lacking := [s for s in special_tokens() if tok.token_to_id(s) is None]:
+        raise ValueError(f"no id for {', '.join(lacking)}")
+    model = json.loads(tok.to_str())["model"]
+    pairs = [p if isinstance(p, list) else p.split(" ", 1) for p in model["merges"]]
+    settings = {"vocab_size": config.vocab_size, "min_frequency": config.min_frequency, "seed": config.seed, "special_tokens": special_tokens(), "input_files": config.input_files}
+    pretty = lambda value: json.dumps(value, ensure_ascii=False, indent=2)
+    files = {
+        "tokenizer.json": tok.to_str(pretty=True),
+        "vocab.json": json.dumps(dict(sorted(model["vocab"].items(), key=lambda kv: kv[1])), ensure_ascii=False, separators=(",", ":")),
+        "merges.txt": "#version: 0.2\n" + "".join(f"{a} {b}\n" for a, b in pairs),
+        "special_tokens_map.json": pretty(special_tokens_map()),
+        "tokenizer_config.json": pretty({"tokenizer_class": "PreTrainedTokenizerFast", "model_max_length": 1024, **special_tokens_map()}),
+        "training_config.json": pretty(settings),
+    }
+    for name, text in files.items():
+        write_text(spark, f"{folder}/{name}", text)
+    return sorted(files)
+
+
+def train_from_config(spark: SparkSession, config: TokenizerConfig) -> str:
+    """Trains on the files of a tokenizer run and saves what it needs; the tokenizer's JSON."""
+    from millrace.sources.readers import read_training_files
+
+    spec = train_bpe(read_training_files(spark, config.input_files, config.text_key), config.vocab_size, config.min_frequency)
+    save_tokenizer(spark, spec, config.output_dir, config)
+    return spec
+
+
 @lru_cache(maxsize=4)
 def _loaded(spec: str, plain_specials: bool):
     from tokenizers import Tokenizer
@@ -179,6 +217,14 @@ def vocabulary(spark, spec: str) -> DataFrame:
     return spark.createDataFrame(rows, "token string, id int")
 
 
+def vocabulary_ids(spec: str, tokens: Sequence[str]) -> list[int]:
+    """Ids of tokens; one that is missing is an error."""
+    ids = [_loaded(spec, False).token_to_id(t) for t in tokens]
+    if None in ids:
+        raise ValueError(f"no id for {tokens[ids.index(None)]}")
+    return ids
+
+
 def merges(spark, spec: str) -> DataFrame:
     """rank, left, right."""
     pairs = json.loads(_loaded(spec, False).to_str())["model"]["merges"]
@@ -197,6 +243,53 @@ def single_character_tokens(spec: str) -> list[int]:
     return [i for i in range(tok.get_vocab_size()) if len(tok.decode([i], skip_special_tokens=False)) == 1]
 
 
+def token_statistics(text: Column, spec: str) -> Column:
+    """Struct of a text's number of tokens and of those that decode to one character."""
+    single = np.zeros(_loaded(spec, False).get_vocab_size(), dtype=bool)
+    single[single_character_tokens(spec)] = True
+
+    @F.pandas_udf("n_tokens long, n_single long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        tok = _loaded(spec, True)
+        rows = texts.fillna("").tolist()
+        ids = (np.array(e.ids, dtype=np.int64) for i in range(0, len(rows), ENCODE_ROWS) for e in tok.encode_batch_fast(rows[i : i + ENCODE_ROWS], add_special_tokens=False))
+        return pd.DataFrame([(len(x), int(single[x].sum())) for x in ids], columns=["n_tokens", "n_single"])
+
+    return run(text)
+
+
+def corpus_statistics(docs: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
+    """One row: documents, characters, words, tokens and one-character tokens, summed in parts, and their ratios with denominators of 1 at least."""
+    each = docs.select(F.length(text_col).cast("long").alias("chars"), word_count(F.col(text_col)).alias("words"), token_statistics(F.col(text_col), spec).alias("t"))
+    sums = each.agg(F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("chars", "chars"), ("words", "words"), ("t.n_tokens", "tokens"), ("t.n_single", "single"))])
+    over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return sums.select(
+        "documents", "chars", "words", "tokens", over("tokens", "words").alias("tokens_per_word"), over("tokens", "chars").alias("tokens_per_char"),
+        (F.greatest(F.col("chars"), F.lit(1)) / F.greatest(F.col("tokens"), F.lit(1))).alias("compression_ratio_char_per_token"),
+        over("tokens", "documents").alias("avg_sequence_length"), over("single", "tokens").alias("single_char_token_fraction"),
+    )
+
+
+#: Texts whose ids are shown in an evaluation.
+SAMPLE_TEXTS = ["The quick brown fox jumps over the lazy dog.", "안녕하세요, 반갑습니다.", "def add(a, b):\n    return a + b", "A mixed 문장 with 123 numbers."]
+
+
+def evaluate_tokenizer(spark: SparkSession, spec: str, corpora: Mapping[str, DataFrame], samples: Sequence[str] = SAMPLE_TEXTS, output: str | None = None) -> dict:
+    """Ratios by corpus, whether each named special is one id, and exact round trips of the samples; written as JSON if a path is given."""
+    plain, marked = _loaded(spec, True), _loaded(spec, False)
+    plain.encode_special_tokens, marked.encode_special_tokens = True, False
+    size = marked.get_vocab_size()
+    result: dict = {"vocab_size": size, "embedding_parameters": size}
+    result["special_tokens_single_id"] = {s: marked.encode(s, add_special_tokens=False).ids == [marked.token_to_id(s)] for s in SPECIALS}
+    for name, docs in corpora.items():
+        result[name] = {k: v for k, v in corpus_statistics(docs, spec).first().asDict().items() if k not in ("chars", "words")}
+    ids = [plain.encode(s, add_special_tokens=False).ids for s in samples]
+    result["qualitative"] = [{"text": s, "ids": i, "n_tokens": len(i), "roundtrip_ok": plain.decode(i, skip_special_tokens=False) == s} for s, i in zip(samples, ids)]
+    if output:
+        write_text(spark, output, json.dumps(result, ensure_ascii=False, indent=2))
+    return result
+
+
 def round_trip(docs: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
     """Adds ``ids`` and whether decoding gives the text back."""
     out = docs.withColumn("ids", encode(F.col(text_col), spec))

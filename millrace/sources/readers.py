@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.text import CleanRules, clean
-from millrace.operators.ordering import buffer_shuffle
+from millrace.functions.text import CleanRules, clean, unicode_strip
+from millrace.operators.ordering import buffer_shuffle, shuffled_files
 
 #: An escaped UTF-16 half without its other half; such a line's text is not valid.
 LONE_HALF = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
@@ -48,7 +48,7 @@ def _place():
 
 
 def _jsonl(spark: SparkSession, files: list[str] | str, text_key: str) -> DataFrame:
-    lines = spark.read.text(files).select(_place(), "value").where(F.trim("value") != "").where(~F.col("value").rlike(LONE_HALF))
+    lines = spark.read.text(files).select(_place(), "value").where(unicode_strip(F.col("value")) != "").where(~F.col("value").rlike(LONE_HALF))
     schema = T.StructType([T.StructField(text_key, T.StringType())])
     return lines.select("ord", F.from_json("value", schema)[text_key].alias("text")).where("text is not null and text <> ''")
 
@@ -70,27 +70,55 @@ def read_parquet_text(spark: SparkSession, files: list[str] | str, text_key: str
 
 def read_plain_lines(spark: SparkSession, files: list[str] | str) -> DataFrame:
     """One document per line that is not blank."""
-    return spark.read.text(files).where(F.trim("value") != "").select(F.col("value").alias("text"))
+    return spark.read.text(files).where(unicode_strip(F.col("value")) != "").select(F.col("value").alias("text"))
 
 
-def read_source(spark: SparkSession, source: Source, rules: CleanRules | None = None, shuffle_seed: int | None = None, shuffle_buffer: int = 0) -> DataFrame:
-    """source, ord, text: the kind of the first file in order decides the reader; shuffled, then cleaned."""
-    if not source.path:
-        raise ValueError(f"source {source.name} has no path; remote sets are to be downloaded first")
+#: Session setting: the folder that holds copies of remote sets.
+MIRROR = "millrace.mirror"
+
+
+def mirrored(spark: SparkSession, source: Source) -> Source:
+    """A source without a path, found in the mirror of remote sets by name, revision, subset and split."""
+    root = spark.conf.get(MIRROR, None)
+    if not root:
+        raise ValueError(f"source {source.name} has no path, and {MIRROR} names no folder with copies of remote sets")
+    return replace(source, path=f"{root.rstrip('/')}/{source.name}/{source.revision or 'main'}/{source.subset or 'default'}/{source.split}/*")
+
+
+def _in_file_order(rows: DataFrame, files: list[str]) -> DataFrame:
+    """``ord`` with each file's place in the list instead of its name; the list came from the driver and is as long there."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    places = rows.sparkSession.createDataFrame([(f, f"{k:09d}") for k, f in enumerate(files)], "__file string, __place string").withColumn("__file", plain(F.col("__file")))
+    joined = rows.join(F.broadcast(places), plain(F.col("ord.file")) == F.col("__file"))
+    return joined.select("source", F.struct(F.col("__place").alias("file"), F.col("ord.start").alias("start"), F.col("ord.row").alias("row")).alias("ord"), "text")
+
+
+def read_source(spark: SparkSession, source: Source, rules: CleanRules | None = None, shuffle_seed: int | None = None, shuffle_buffer: int = 0, shuffle: str = "hash") -> DataFrame:
+    """source, ord, text: the kind of the first file in order decides the reader; shuffled, then cleaned.
+
+    ``hash`` gives every row a seeded pseudo-random place without any shuffle of data;
+    ``buffer`` replays a seeded order of the files and a shuffle buffer over it.
+    """
+    if shuffle not in ("hash", "buffer"):
+        raise ValueError(f"shuffle is hash or buffer, not {shuffle!r}")
+    source = source if source.path else mirrored(spark, source)
     files = shard_files(spark, source.path)
     rows = (_parquet if files[0].endswith(".parquet") else _jsonl)(spark, files, source.text_key)
     rows = rows.select(F.lit(source.name).alias("source"), "ord", "text")
-    if shuffle_seed is not None and shuffle_buffer > 1:
-        shuffled = buffer_shuffle(rows, shuffle_seed, shuffle_buffer, "ord", "source")
+    if shuffle_seed is not None and shuffle_buffer > 1 and shuffle == "hash":
+        mixed = F.sha2(F.concat_ws("|", F.lit(str(shuffle_seed)), "ord.file", F.col("ord.start").cast("string"), F.col("ord.row").cast("string")), 256)
+        rows = rows.select("source", F.struct(mixed.alias("file"), F.col("ord.start").alias("start"), F.col("ord.row").alias("row")).alias("ord"), "text")
+    elif shuffle_seed is not None and shuffle_buffer > 1:
+        shuffled = buffer_shuffle(_in_file_order(rows, shuffled_files(files, shuffle_seed - 1)), shuffle_seed, shuffle_buffer, "ord", "source")
         rows = shuffled.select("source", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.col("pos").alias("row")).alias("ord"), "text")
     return clean(rows, rules) if rules else rows
 
 
-def read_sources(spark: SparkSession, sources: list[Source], rules: CleanRules | None = None, seed: int | None = None, buffer_size: int = 0) -> DataFrame:
-    """All sources in one frame; source i shuffles with seed + i + 1."""
+def read_sources(spark: SparkSession, sources: list[Source], rules: CleanRules | None = None, seed: int | None = None, buffer_size: int = 0, shuffle: str = "hash") -> DataFrame:
+    """All sources in one frame; source i shuffles its files with seed + i and its rows with seed + i + 1."""
     out = None
     for i, s in enumerate(sources):
-        one = read_source(spark, s, rules, None if seed is None else seed + i + 1, buffer_size)
+        one = read_source(spark, s, rules, None if seed is None else seed + i + 1, buffer_size, shuffle)
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no sources")
@@ -99,7 +127,10 @@ def read_sources(spark: SparkSession, sources: list[Source], rules: CleanRules |
 
 def read_training_text(spark: SparkSession, pattern: str, text_key: str = "text") -> DataFrame:
     """Texts a tokenizer is trained on: JSON lines by record, any other file by line."""
-    files = shard_files(spark, pattern)
+    return read_training_files(spark, shard_files(spark, pattern), text_key)
+
+
+def read_training_files(spark: SparkSession, files: list[str], text_key: str = "text") -> DataFrame:
     json_files, plain = [f for f in files if f.endswith(".jsonl")], [f for f in files if not f.endswith(".jsonl")]
     parts = ([read_jsonl(spark, json_files, text_key)] if json_files else []) + ([read_plain_lines(spark, plain)] if plain else [])
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators.budget import assign_shards
 
+#: Bytes from which a file is not read as one value.
+LARGE = 1 << 30
+
 
 def _store(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -25,6 +28,39 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    p, store = _store(spark, path)
+    stream = store.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    p, store = _store(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(p)] if store.exists(p) else []
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, store = _store(spark, path)
+    return store.exists(p)
+
+
+def checksum(spark: SparkSession, path: str) -> str | None:
+    """SHA-256 of one file of any size, read a piece at a time; None if there is none."""
+    p, store = _store(spark, path)
+    if not store.exists(p):
+        return None
+    digest = spark._jvm.org.apache.commons.codec.digest.DigestUtils
+    stream = store.open(p)
+    try:
+        return digest.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def write_shards(docs: DataFrame, folder: str, order_by: list[str], per_shard: int = 100_000, text_col: str = "text") -> list[str]:
     """JSON lines in ``shard_00000.jsonl`` and so on, ``per_shard`` documents each, in order.
 
@@ -36,11 +72,11 @@ def write_shards(docs: DataFrame, folder: str, order_by: list[str], per_shard: i
     placed = assign_shards(docs, order_by, per_shard)
     temp = f"{folder}/_parts"
     lines = placed.select("shard", "in_shard", F.to_json(F.struct(F.col(text_col).alias("text"))).alias("value"))
-    lines.repartitionByRange("shard").sortWithinPartitions("shard", "in_shard").select("shard", "value").write.mode("overwrite").partitionBy("shard").text(temp)
+    lines.repartition("shard").sortWithinPartitions("shard", "in_shard").select("shard", "value").write.mode("overwrite").partitionBy("shard").text(temp)
     p, store = _store(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path
     names: list[str] = []
-    count = placed.count()
+    count = docs.count()
     for k in range(count // per_shard + 1):
         name = f"{folder}/shard_{k:05d}.jsonl"
         parts = store.globStatus(path(f"{temp}/shard={k}/part-*")) or []
@@ -57,13 +93,20 @@ def write_shards(docs: DataFrame, folder: str, order_by: list[str], per_shard: i
 
 
 def checksums(spark: SparkSession, files: list[str]) -> DataFrame:
-    """path, bytes, sha256 of files below 2 GB, hashed on the executors."""
-    return spark.read.format("binaryFile").load(files).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, sha256: hashed on the executors, or from ``LARGE`` on, as a binary column holds 2 GB at most, a piece at a time."""
+    sizes = [(f, _store(spark, f)) for f in files]
+    lengths = [(f, store.getFileStatus(p).getLen()) for f, (p, store) in sizes]
+    large = [(f, n, checksum(spark, f)) for f, n in lengths if n >= LARGE or n == 0]  # a scan passes over empty files
+    small = [f for f, n in lengths if 0 < n < LARGE]
+    out = spark.createDataFrame(large, "path string, bytes long, sha256 string")
+    if small:
+        out = out.unionByName(spark.read.format("binaryFile").load(small).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+    return out
 
 
 def manifest(spark: SparkSession, files: list[str], info: dict, totals: dict) -> dict:
     """What a corpus is made of, and the checksum of each shard."""
-    sums = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in checksums(spark, files).collect()}
+    sums = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in checksums(spark, files).collect()}  # one row a shard
     names = [f.rsplit("/", 1)[-1] for f in files]
     return {**info, "document_count": totals["docs"], "byte_count": totals["bytes"], **({"token_count": totals["tokens"]} if "tokens" in totals else {}), "shards": [{"path": n, "sha256": sums[n]} for n in names]}
 
@@ -81,8 +124,7 @@ def write_frozen(records: DataFrame, path: str) -> None:
 
 def keep_newest(names: DataFrame, keep: int, name: str = "name") -> DataFrame:
     """Names that a rotation would delete: all but the last ``keep`` in order; none for ``keep`` below 1."""
-    from pyspark.sql import Window
-
     if keep < 1:
         return names.limit(0)
-    return names.withColumn("_n", F.row_number().over(Window.partitionBy().orderBy(F.desc(name)))).where(F.col("_n") > keep).drop("_n")
+    kept = names.select(F.col(name).alias("__kept")).orderBy(F.desc("__kept")).limit(keep)  # a top-k: no task sorts all names
+    return names.join(F.broadcast(kept) if keep <= 100_000 else kept, F.col(name) == F.col("__kept"), "left_anti")

@@ -1,14 +1,24 @@
-"""Corpus steps over shards as they arrive."""
+"""Corpus steps over shards as they arrive.
+
+Every stream has a checkpoint that its caller names, or that stands beside its
+output; starting a stream again on the same checkpoint goes on where it stopped, and
+each row is found in the output once.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.holdout import take_split
 from millrace.functions.text import CleanRules, clean
-from millrace.plans.scratch import fresh_path
+from millrace.operators.blocks import pack_blocks
+from millrace.operators.budget import cut_to_budget
+from millrace.operators.ordering import seeded_key
+from millrace.sources.sinks import list_folder, read_text, write_text
 
 
 def arriving(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -16,41 +26,128 @@ def arriving(spark: SparkSession, folder: str, schema: str, kind: str = "parquet
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(folder)
 
 
-def clean_split_stream(rows: DataFrame, out: str, rules: CleanRules = CleanRules(), split: str = "train", mod: int = 100) -> StreamingQuery:
-    """Cleans and splits without state and appends Parquet; restarts go on from the checkpoint."""
-    chosen = take_split(clean(rows, rules), split, mod)
-    place = fresh_path(rows.sparkSession, "stream-clean")
-    return chosen.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).outputMode("append").trigger(availableNow=True).start()
+def beside(out: str) -> str:
+    """The checkpoint of an output that has none of its own name."""
+    return out.rstrip("/") + "-checkpoint"
 
 
-def source_statistics_stream(rows: DataFrame, name: str, source: str = "source") -> StreamingQuery:
-    """Documents and characters by source so far, kept in state; the sink holds the newest totals."""
-    sums = rows.groupBy(source).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text").cast("long")).alias("chars"))
-    place = fresh_path(rows.sparkSession, "stream-stats")
-    return sums.writeStream.format("memory").queryName(name).option("checkpointLocation", place).outputMode("complete").trigger(availableNow=True).start()
+def clean_split_stream(rows: DataFrame, out: str, rules: CleanRules = CleanRules(), split: str = "train", mod: int = 100, checkpoint: str | None = None) -> StreamingQuery:
+    """Cleans and splits without state and appends Parquet."""
+    chosen = take_split(clean(rows, rules), split, mod)
+    return chosen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint or beside(out)).outputMode("append").trigger(availableNow=True).start()
 
 
-class BudgetStream:
-    """Appends whole batches until ``max_bytes`` are written; the crossing batch is cut in order.
+class _Batches:
+    """A stream whose batches are written by hand: one folder a batch, with overwrite, so a repeated batch counts once.
 
-    Each batch writes one folder named by its number, with overwrite, so a batch
-    that is repeated after a failure does not count twice.
+    What must outlive a restart is a small JSON file per batch beside the checkpoint.
     """
 
-    def __init__(self, rows: DataFrame, out: str, max_bytes: int, order_by: str):
-        self.out, self.max_bytes, self.order_by = out, max_bytes, order_by
-        self.written: dict[int, int] = {}
-        place = fresh_path(rows.sparkSession, "stream-budget")
-        self.query = rows.writeStream.foreachBatch(self._batch).option("checkpointLocation", place).trigger(availableNow=True).start()
+    def __init__(self, rows: DataFrame, out: str, checkpoint: str | None):
+        self.spark, self.out, self.checkpoint = rows.sparkSession, out.rstrip("/"), checkpoint or beside(out)
+        self.query = rows.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.checkpoint}/stream").trigger(availableNow=True).start()
 
     def _batch(self, batch: DataFrame, number: int) -> None:
-        from millrace.operators.budget import cut_to_budget
+        raise NotImplementedError
+
+    def _before(self, number: int, empty: dict) -> dict:
+        """State after the last batch before this one."""
+        known = [int(n.split(".")[0]) for n in list_folder(self.spark, f"{self.checkpoint}/state") if n.endswith(".json")]
+        earlier = [n for n in known if n < number]
+        return json.loads(read_text(self.spark, f"{self.checkpoint}/state/{max(earlier):09d}.json")) if earlier else empty
+
+    def _after(self, number: int, state: dict) -> None:
+        write_text(self.spark, f"{self.checkpoint}/state/{number:09d}.json", json.dumps(state))
+
+    def wait(self) -> None:
+        self.query.awaitTermination()
+
 
-        left = self.max_bytes - sum(v for k, v in self.written.items() if k != number)
-        if left <= 0:
-            return
+class BudgetReached(Exception):
+    """Ends a stream before a batch that no budget is left for; the batch stays to be read."""
+
+
+class BudgetStream(_Batches):
+    """Appends batches in order until ``max_bytes`` are written; the crossing batch is cut after the crossing row.
+
+    The bytes written so far are kept beside the checkpoint, so a restart counts on.
+    At the budget the stream stops: later files are not read, and a restart with a
+    larger budget begins with them.
+    """
+
+    def __init__(self, rows: DataFrame, out: str, max_bytes: int, order_by: str, checkpoint: str | None = None):
+        self.max_bytes, self.order_by = max_bytes, order_by
+        super().__init__(rows, out, checkpoint)
+
+    def _batch(self, batch: DataFrame, number: int) -> None:
+        written = self._before(number, {"bytes": 0})["bytes"]
+        if written >= self.max_bytes:
+            raise BudgetReached(f"{written} bytes are written")
         sized = batch.withColumn("n_bytes", F.octet_length("text").cast("long"))
-        kept = cut_to_budget(sized, [self.order_by], {"n_bytes": left})
         path = f"{self.out}/batch={number}"
-        kept.write.mode("overwrite").parquet(path)
-        self.written[number] = batch.sparkSession.read.parquet(path).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        cut_to_budget(sized, [self.order_by], {"n_bytes": self.max_bytes - written}).write.mode("overwrite").parquet(path)
+        more = self.spark.read.schema(sized.schema).parquet(path).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        self._after(number, {"bytes": written + more})
+
+    def wait(self) -> None:
+        """Until all files are read or the budget is reached."""
+        try:
+            self.query.awaitTermination()
+        except Exception as e:
+            if BudgetReached.__name__ not in str(e):
+                raise
+
+
+class ShuffleStream(_Batches):
+    """Shuffles inside each batch by a seeded hash of a key, and writes it in that order."""
+
+    def __init__(self, rows: DataFrame, out: str, seed: int, key: str, checkpoint: str | None = None):
+        self.seed, self.key = seed, key
+        super().__init__(rows, out, checkpoint)
+
+    def _batch(self, batch: DataFrame, number: int) -> None:
+        keyed = batch.withColumn("shuffle_key", seeded_key(self.seed + number, self.key))
+        keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key").write.mode("overwrite").parquet(f"{self.out}/batch={number}")
+
+
+class BlockStream(_Batches):
+    """Packs arriving token arrays to blocks of fixed length, in order of (batch, ``order_by``).
+
+    The tokens after the last whole block, fewer than a block, are kept beside the
+    checkpoint together with the next block's number: after a restart the stream
+    goes on at that very token.
+    """
+
+    def __init__(self, rows: DataFrame, out: str, block: int, order_by: str, tokens: str = "tokens", checkpoint: str | None = None):
+        self.block, self.order_by, self.tokens = block, order_by, tokens
+        super().__init__(rows, out, checkpoint)
+
+    def _batch(self, batch: DataFrame, number: int) -> None:
+        state = self._before(number, {"next": 0, "left": []})
+        key = lambda turn, value: F.struct(F.lit(turn).alias("turn"), value.alias("at")).alias("ord")
+        rows = batch.select(key(1, F.col(self.order_by)), F.col(self.tokens).cast("array<int>").alias("tokens"))
+        if state["left"]:
+            kind = batch.schema[self.order_by].dataType
+            first = self.spark.createDataFrame([(state["left"],)], "tokens array<int>")
+            rows = rows.unionByName(first.select(key(0, F.lit(None).cast(kind)), "tokens"))
+        path = f"{self.out}/batch={number}"
+        packed = pack_blocks(rows, self.block, whole=False).withColumn("block_id", F.col("block_id") + state["next"])
+        packed.write.mode("overwrite").parquet(path)
+        written = self.spark.read.schema(packed.schema).parquet(path)
+        last = written.where(F.size("tokens") < self.block).select("tokens").first()  # one short block at most
+        blocks = written.where(F.size("tokens") == self.block).count()
+        self._after(number, {"next": state["next"] + blocks, "left": last.tokens if last else []})
+
+    def blocks(self) -> DataFrame:
+        """block_id and tokens of all whole blocks so far."""
+        return self.spark.read.parquet(self.out).where(F.size("tokens") == self.block).select("block_id", "tokens")
+
+
+def source_statistics_stream(rows: DataFrame, out: str, source: str = "source", checkpoint: str | None = None) -> StreamingQuery:
+    """Documents and characters by source so far, kept in the stream's state; ``out`` holds the newest totals."""
+    sums = rows.groupBy(source).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text").cast("long")).alias("chars"))
+
+    def replace(totals: DataFrame, number: int) -> None:
+        totals.write.mode("overwrite").parquet(out)
+
+    return sums.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint or beside(out)).outputMode("complete").trigger(availableNow=True).start()

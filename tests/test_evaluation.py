@@ -96,7 +96,7 @@ def test_leaderboard(spark, tmp_path):
     assert tasks == ["a", "b"]
     text = leaderboard.markdown(rows, tasks)
     assert "| high | 5.0M | 90.0 | – | – | – | – | 25.0 | 12.5 | 1.000 | 2.0 |" in text
-    assert "not comparable" in text and "> - `other` @ max_batches=10: high\n" in text
+    assert "2 groups with other validation data" in text and "> - `other` @ max_batches=10: high\n" in text
     flat = leaderboard.flat_table(rows, tasks).orderBy("rank").collect()
     assert flat[0].val_sources == "other" and flat[3].a is None
     leaderboard.write_csv(rows, tasks, f"{tmp_path}/csv")

@@ -4,10 +4,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.config import RunConfig, may_resume
+from millrace.config import RunConfig, TokenizerConfig, may_resume
 from millrace.functions.text import CleanRules
-from millrace.operators import tokenizer
-from millrace.operators.corpus import CorpusSpec, prepare_corpus, recipe
+from millrace.operators import ordering, tokenizer
+from millrace.operators.corpus import CorpusSpec, prepare_corpus, prepare_recipe, recipe, tokenizer_recipe
 from millrace.sources import readers
 from millrace.sources.sinks import keep_newest, write_shards
 
@@ -95,10 +95,10 @@ def test_bpe_trains_on_every_occurrence(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
     lines = ["abab"] * 1500 + ["cdcdcd"] * 4000 + ["aaaaa efef"] * 1200 + ["efgh ijk"] * 2500 + [f"{c}qzx" for c in "lmnop"]
-    lib = Tokenizer(models.BPE())
+    lib = Tokenizer(models.BPE(byte_fallback=True))
     lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
-    lib.train_from_iterator(lines, trainers.BpeTrainer(vocab_size=400, min_frequency=2, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
-    spec = tokenizer.train_bpe(spark.createDataFrame([(t,) for t in lines], "text string"), lib.get_vocab_size() + len(tokenizer.special_tokens()), 2)
+    lib.train_from_iterator(lines, trainers.BpeTrainer(vocab_size=400, min_frequency=2, special_tokens=tokenizer.special_tokens(), initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
+    spec = tokenizer.train_bpe(spark.createDataFrame([(t,) for t in lines], "text string"), lib.get_vocab_size(), 2)
     assert json.loads(spec)["model"] == json.loads(lib.to_str())["model"]
     assert ["qz", "x"] in json.loads(spec)["model"]["merges"]
 
@@ -114,27 +114,146 @@ def test_pre_tokens_match_the_library(spark):
 
 
 def test_config(tmp_path):
-    c = RunConfig.from_dict({"name": "r", "learning_rate": "6e-4", "data": {"sources": [{"name": "a", "weight": "0.7"}], "weighting": "document"}, "batch": {"micro_batch": "4"}})
-    assert c.learning_rate == 6e-4 and c.data.sources[0].weight == 0.7 and c.batch.micro_batch == 4
+    c = RunConfig.from_dict({"project": {"run_name": "r"}, "optimizer": {"learning_rate": "6e-4"}, "model": {"n_head": 8, "n_kv_head": 2, "d_model": 512, "activation": "gelu"}, "data": {"sources": [{"name": "a", "weight": "0.7"}], "mixture_weighting": "document"}, "training": {"micro_batch_size": "4"}})
+    assert c.optimizer.learning_rate == 6e-4 and c.data.sources[0].weight == 0.7 and c.training.micro_batch_size == 4
+    assert (c.model.head_dim, c.model.d_ff, RunConfig.from_dict({}).model.d_ff) == (64, 2048, 2048)
     assert RunConfig.from_dict(c.to_dict()) == c
-    for bad in ({"nope": 1}, {"data": {"weighting": "words"}}, {"batch": {"micro_batch": "2.5"}}, {"batch": {"micro_batch": 0}}):
+    c.save(f"{tmp_path}/run.json")
+    assert RunConfig.from_dict(json.loads((tmp_path / "run.json").read_text())) == c
+    (tmp_path / "run.yaml").write_text("project:\n  run_name: y\nmodel:\n  rope_theta: 1e5\nevaluation:\n  downstream_tasks:\n  - {name: t, path: p, language: ko}\n")
+    y = RunConfig.from_yaml(f"{tmp_path}/run.yaml")
+    assert y.model.rope_theta == 1e5 and y.evaluation.downstream_tasks[0].during_training
+    bad = [
+        {"nope": 1}, {"model": {"n_kv_heads": 2}}, {"data": {"mixture_weighting": "words"}}, {"training": {"micro_batch_size": "2.5"}}, {"training": {"precision": "float16"}}, {"model": {"norm": "x"}},
+        {"model": {"positional_encoding": "x"}}, {"model": {"activation": "x"}}, {"optimizer": {"name": "sgd"}}, {"scheduler": {"name": "linear"}}, {"logging": {"backend": "wanb"}},
+        {"evaluation": {"downstream_tasks": [{"name": "t", "path": "p", "language": "fr"}]}}, {"data": {"sources": [{"weight": 1}]}}, {"model": {"n_head": 7}}, {"model": {"n_kv_head": 5}}, {"checkpoint": {"save_best": "yes"}},
+    ]
+    for values in bad:
         with pytest.raises(ValueError):
-            RunConfig.from_dict(bad)
-    assert may_resume({"world": 8, "micro_batch": 4}, c, 4) == ["world"]
-    assert recipe("pretraining")["val"].seed == 7
-
-
-def test_streams(spark, tmp_path):
-    from millrace.streaming.corpus import BudgetStream, arriving, clean_split_stream, source_statistics_stream
-
-    for k in range(3):
-        spark.createDataFrame([(k * 10 + i, f"some text that is long enough {i}", f"s{i % 2}") for i in range(10)], "ord long, text string, source string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    schema = "ord long, text string, source string"
-    clean_split_stream(arriving(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", split="all").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 30
-    source_statistics_stream(arriving(spark, f"{tmp_path}/in", schema), "tstats").awaitTermination()
-    assert {r.source: r.docs for r in spark.table("tstats").collect()} == {"s0": 15, "s1": 15}
-    b = BudgetStream(arriving(spark, f"{tmp_path}/in", schema), f"{tmp_path}/cut", 500, "ord")
-    b.query.awaitTermination()
-    sizes = spark.read.parquet(f"{tmp_path}/cut").agg(F.sum("n_bytes"), F.max("n_bytes")).first()
-    assert 500 <= sizes[0] < 500 + sizes[1]
+            RunConfig.from_dict(values)
+    assert may_resume({"world": 8, "micro_batch_size": 4}, c, 4) == ["world"]
+
+
+def test_recipes(tmp_path):
+    parts = recipe("pretraining", seed=1)
+    limits = {k: (s[0].name, spec.split, spec.max_tokens, spec.seed) for k, (s, spec) in parts.items()}
+    assert limits["train_en"][2:] == (10_925_000_000, 1) and limits["val_en"][1:] == ("val", 20_000_000, 8) and limits["val_ko"][2] == 10_000_000
+    assert {k: spec.max_tokens for k, (_, spec) in recipe("continued").items()} == {"train_en": 600_000_000, "val_en": 5_000_000, "train_ko": 1_400_000_000, "val_ko": 10_000_000}
+    assert recipe("architecture")["val_en"][1].seed == 43
+    sources, spec = tokenizer_recipe()
+    assert [s.weight for s in sources] == [0.75, 0.25] and (spec.split, spec.max_bytes) == ("all", 20_000_000_000)
+    (tmp_path / "t.yaml").write_text("vocab_size: 300\nmin_frequency: 1\nseed: 7\ndata:\n  english: {name: e, weight: 0.6, target_gb: 1.5}\n  korean: {name: k, subset: s, weight: 0.4, target_gb: 0.5}\n")
+    sources, spec = tokenizer_recipe(f"{tmp_path}/t.yaml")
+    assert [(s.name, s.subset) for s in sources] == [("e", None), ("k", "s")] and spec.max_bytes == 2_000_000_000
+    c = TokenizerConfig.from_yaml(f"{tmp_path}/t.yaml", ["a.txt"])
+    assert (c.vocab_size, c.seed, c.input_files) == (300, 7, ["a.txt"])
+    (tmp_path / "u.yaml").write_text("vocab: 300\n")
+    with pytest.raises(ValueError):
+        TokenizerConfig.from_yaml(f"{tmp_path}/u.yaml")
+    with pytest.raises(ValueError):
+        tokenizer_recipe(f"{tmp_path}/u.yaml")
+
+
+def test_recipe_is_cut_by_language(spark, shards, tmp_path):
+    spec = tokenizer.train_bpe(readers.read_jsonl(spark, f"{shards}/in_*.jsonl"), 400, 1)
+    parts = recipe("architecture", tokenizer=spec, tokens=2000, val_tokens=60, paths={"en": f"{shards}/in_*.jsonl", "ko": f"{shards}/in_0.jsonl"})
+    done = prepare_recipe(spark, {k: parts[k] for k in ("train_en", "train_ko", "val_ko")}, f"{tmp_path}/out")
+    assert 1900 <= done["train_en"]["token_count"] < 1950 and 100 <= done["train_ko"]["token_count"] < 150 and done["val_ko"]["holdout"]["role"] == "val"
+
+
+def test_mirror_and_file_order(spark, shards, tmp_path):
+    folder = tmp_path / "mirror/org/set/main/ko/train"
+    folder.mkdir(parents=True)
+    (folder / "a.jsonl").write_text('{"text": "from the mirror"}\n')
+    spark.conf.set(readers.MIRROR, str(tmp_path / "mirror"))
+    try:
+        assert [r.text for r in readers.read_source(spark, readers.Source("org/set", subset="ko")).collect()] == ["from the mirror"]
+    finally:
+        spark.conf.unset(readers.MIRROR)
+    src = [readers.Source("s", path=f"{shards}/in_*.jsonl")]
+    got = [int(r.text.split()[2]) for r in readers.read_sources(spark, src, seed=5, buffer_size=40, shuffle="buffer").orderBy("ord").collect()]
+    files = ordering.shuffled_files([f"in_{k}.jsonl" for k in range(4)], 5)
+    plain = [int(f[3]) * 125 + i for f in files for i in range(125)]
+    assert got == [plain[k] for k in ordering.buffered_order(500, 6, 40)]
+    with pytest.raises(ValueError):
+        readers.read_source(spark, src[0], shuffle="none")
+
+
+def test_blank_lines_are_unicode_blank(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("a\n\t\t\n\u2003\nb\n", encoding="utf-8")
+    assert sorted(r.text for r in readers.read_plain_lines(spark, f"{tmp_path}/x.txt").collect()) == ["a", "b"]
+
+
+def test_tokenizer_files_and_evaluation(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    (tmp_path / "in.txt").write_text("\n".join(["the quick brown fox", "안녕하세요 반갑습니다 abc"] * 30), encoding="utf-8")
+    config = TokenizerConfig([f"{tmp_path}/in.txt"], vocab_size=320, min_frequency=1, output_dir=f"{tmp_path}/tok")
+    spec = tokenizer.train_from_config(spark, config)
+    assert sorted(x.name for x in (tmp_path / "tok").iterdir() if not x.name.startswith(".")) == ["merges.txt", "special_tokens_map.json", "tokenizer.json", "tokenizer_config.json", "training_config.json", "vocab.json"]
+    back = Tokenizer.from_file(f"{tmp_path}/tok/tokenizer.json")
+    assert [back.id_to_token(k) for k in range(23)] == tokenizer.special_tokens()
+    vocab = json.loads((tmp_path / "tok/vocab.json").read_text())
+    assert len(vocab) == 320 and vocab["<|bos|>"] == 0 and json.loads((tmp_path / "tok/training_config.json").read_text())["seed"] == 42
+    with pytest.raises(ValueError):
+        tokenizer.save_tokenizer(spark, spec, f"{tmp_path}/bad", TokenizerConfig(vocab_size=321))
+    docs = spark.createDataFrame([("the quick fox",), ("안녕 q",), (None,), ("",)], "text string")
+    result = tokenizer.evaluate_tokenizer(spark, spec, {"english": docs}, output=f"{tmp_path}/eval.json")
+    ids = [back.encode(t, add_special_tokens=False).ids for t in ("the quick fox", "안녕 q")]
+    single = sum(len(back.decode([i])) == 1 for x in ids for i in x)
+    assert json.loads((tmp_path / "eval.json").read_text()) == result
+    assert result["english"]["tokens"] == sum(map(len, ids)) and result["english"]["documents"] == 4
+    assert result["english"]["single_char_token_fraction"] == pytest.approx(single / sum(map(len, ids)))
+    assert all(result["special_tokens_single_id"].values()) and all(q["roundtrip_ok"] for q in result["qualitative"])
+
+
+def feed(spark, folder, k):
+    spark.createDataFrame([(k * 10 + i, f"some text that is long enough {i}", f"s{i % 2}", [k * 10 + i] * 7) for i in range(10)], "ord long, text string, source string, tokens array<int>").coalesce(1).write.mode("append").parquet(folder)
+
+
+FED = "ord long, text string, source string, tokens array<int>"
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from millrace.streaming.corpus import BlockStream, ShuffleStream, arriving, clean_split_stream, source_statistics_stream
+
+    source = f"{tmp_path}/in"
+    want = 0
+    for start in range(2):  # each turn brings files, then a stream that is started anew
+        for k in range(start * 2, start * 2 + 2):
+            feed(spark, source, k)
+            want += 10
+        rows = lambda: arriving(spark, source, FED)
+        clean_split_stream(rows(), f"{tmp_path}/clean", split="all").awaitTermination()
+        assert sorted(r.ord for r in spark.read.parquet(f"{tmp_path}/clean").collect()) == list(range(want))
+        source_statistics_stream(rows(), f"{tmp_path}/stats").awaitTermination()
+        assert {r.source: r.docs for r in spark.read.parquet(f"{tmp_path}/stats").collect()} == {"s0": want // 2, "s1": want // 2}
+        ShuffleStream(rows(), f"{tmp_path}/mixed", 3, "ord").wait()
+        mixed = spark.read.parquet(f"{tmp_path}/mixed").collect()
+        assert sorted(r.ord for r in mixed) == list(range(want))
+        blocks = BlockStream(rows(), f"{tmp_path}/blocks", 16, "ord")
+        blocks.wait()
+        got = blocks.blocks().orderBy("block_id").collect()
+        stream = [x for k in range(want) for x in [k] * 7]
+        assert [r.block_id for r in got] == list(range(len(stream) // 16))
+        assert [list(r.tokens) for r in got] == [stream[k * 16 : k * 16 + 16] for k in range(len(stream) // 16)]
+    first = [r.ord for r in mixed if r.batch == 0]
+    assert len(first) == 10 and first != sorted(first)
+
+
+def test_a_stream_budget_outlives_restarts(spark, tmp_path):
+    from millrace.streaming.corpus import BudgetStream, arriving
+
+    source, out = f"{tmp_path}/in", f"{tmp_path}/cut"
+    one = len("some text that is long enough 0")
+    for k in range(2):
+        feed(spark, source, k)
+    BudgetStream(arriving(spark, source, FED), out, 25 * one, "ord").wait()
+    assert sorted(r.ord for r in spark.read.parquet(out).collect()) == list(range(20))
+    for k in range(2, 5):
+        feed(spark, source, k)
+    for _ in range(2):  # the budget is reached in the third file; a further start adds nothing
+        BudgetStream(arriving(spark, source, FED), out, 25 * one, "ord").wait()
+        assert sorted(r.ord for r in spark.read.parquet(out).collect()) == list(range(25))
+    BudgetStream(arriving(spark, source, FED), out, 45 * one, "ord").wait()  # more budget: later files were not lost
+    assert sorted(r.ord for r in spark.read.parquet(out).collect()) == [*range(25), *range(30, 50)]

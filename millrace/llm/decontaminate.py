@@ -70,8 +70,11 @@ def _matches(docs: DataFrame, pieces: DataFrame, id_col: str, text_col: str) ->
     counts of words too.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     lengths = sorted(r[0] for r in pieces.select("k").distinct().collect())  # at most SHINGLE numbers
+    if len(lengths) > 1:  # several branches read the rows: they must number them alike
+        rows = materialize(rows, "leak-texts", "zstd")
+    rows = rows.select("rid", "doc_id", "text_hash", words_of(F.col("text")).alias("w"))
     mark = F.lit(0).cast("long")
     out = []
     for k in lengths or [SHINGLE]:

@@ -8,8 +8,11 @@ same wherever it stands, so a worker remembers it.  The language with the lowest
 cross-entropy per character is chosen.
 
 Fit: whole texts of at most ``sample`` labelled documents per language, those
-with the smallest hashes of (doc_id, text); this bound is the only one, and it
-bounds the model too.  A fifth of the sample is kept from the counts and
+with the smallest hashes of (doc_id, text).  Grams are counted on the executors, and
+each language's model is made of its ``CELLS / languages^2`` most frequent ones at
+most, so that the arrays that are broadcast, a row of all languages for each gram,
+have at most ``CELLS`` numbers an order, however long the texts and however many the
+languages are.  A fifth of the sample is kept from the counts and
 calibrates the rejection.  It looks at the cross-entropy of a text whose words may
 each be of the language that suits it best, so that a text of several known
 languages passes; a document is rejected if that lies more than ``REJECT``
@@ -46,6 +49,8 @@ UNKNOWN = "und"
 LANGUAGES_BROADCAST = 10_000
 #: Characters whose evidence the score counts; longer texts would all give 1.
 EVIDENCE = 40
+#: Log probabilities in the model of one order at most: 64 MB.
+CELLS = 1 << 23
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 150_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -249,7 +254,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
                     )
 
     parts = chosen.where("part <> 1").select("lang", "text").mapInArrow(grams, "lang string, gram binary, n long")
-    counted = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    counted = materialize(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    languages = counted.select("lang").distinct().count()
+    most = max(1, CELLS // max(1, languages) ** 2)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # a top-k: Spark keeps ``most`` rows a task
+    counted = counted.withColumn("place", place).where(F.col("place") <= most).drop("place").toArrow()  # at most CELLS / languages rows
     if not counted.num_rows:
         return None
     names = np.array(counted.column("lang").to_pylist())

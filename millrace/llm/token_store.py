@@ -36,6 +36,8 @@ from millrace.plans.scratch import fresh_path, bounded_arrow_batches
 
 MAGIC = b"MRTOKEF1"
 SAMPLE = 256
+#: Values whose low bits are taken apart at a time.
+BLOCK = 1 << 16
 #: Ids that are read at a time; a longer document is read whole.
 READ_IDS = 1 << 21
 
@@ -52,8 +54,11 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1) if low_bits else np.zeros((n, 0))
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+        parts = []
+        for at in range(0, n if low_bits else 0, BLOCK):  # a multiple of 8 values fills whole bytes
+            bits = (values[at : at + BLOCK, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
+            parts.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
+        low = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(at[-1]) + 1 if n else 0, dtype=np.uint8)
         unary[at] = 1
@@ -86,8 +91,13 @@ class EliasFano:
         high = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
+        places = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
+        for k in range(0, self.n, BLOCK):
+            some = min(BLOCK, self.n - k)
+            packed = self.low[k * self.low_bits // 8 : -(-(k + some) * self.low_bits // 8)]
+            bits = np.unpackbits(packed, bitorder="little")[: some * self.low_bits].reshape(some, self.low_bits)
+            high[k : k + some] |= bits.astype(np.uint64) @ places
+        return high
 
     def pack(self) -> bytes:
         head = struct.pack("<QBxxxIII", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))

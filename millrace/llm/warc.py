@@ -34,6 +34,8 @@ from millrace.llm.files import attempt_name, drop_strays, make_dir, resolve
 from millrace.plans.scratch import fresh_path, materialize, bounded_arrow_batches
 
 FRAME = 256 << 10
+#: Digests that are broadcast at most; above it, both sides are shuffled.
+BROADCAST_KEYS = 500_000
 # Fixed values of the Zstandard formats.
 SKIPPABLE_MAP = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -169,19 +171,36 @@ class Bundle:
 
 
 def with_originals(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, html, digest and the smallest page_id of the equal payloads.
+    """page_id, url, html, digest, the smallest page_id of the equal payloads, and whether the row repeats another.
 
-    Only (page_id, digest) pairs are grouped by digest; the pages themselves are
-    dealt by page, so no group of copies meets in one task.
+    Pages stay where they are read.  Only (page_id, digest) pairs are grouped, and
+    digests that several pages have come back by a broadcast whose size is counted,
+    or, beyond it, by a plain join, in which adaptive execution splits a payload
+    that very many pages have.  Rows that repeat (page_id, payload) are numbered, if
+    there are any, over a copy of the table.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1("html"))
-    pairs = materialize(rows.select("page_id", "digest").distinct(), "warc-digests")
-    first = pairs.groupBy("digest").agg(F.min("page_id").alias("original"))
-    named = pairs.join(first, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "original")
-    on = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
-    return rows.join(named.hint("shuffle_hash"), on, "left").select("page_id", "url", "html", "digest", "original")
+    pairs = materialize(rows.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("held")), "warc-digests")
+    many = pairs.groupBy("digest").agg(F.min("page_id").alias("original"), F.sum("held").alias("copies")).where("copies > 1")
+    many = materialize(many.select(F.col("digest").alias("d"), "original"), "warc-copies")
+    again = F.lit(False)
+    repeated = pairs.where("held > 1").select(F.col("page_id").alias("p"), F.col("digest").alias("q"))
+    if not repeated.isEmpty():
+        rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "warc-pages", "zstd")
+        on = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("q"))
+        keys = rows.select("rid", "page_id", "digest").join(_bounded(repeated), on)
+        lead = materialize(keys.groupBy("p", "q").agg(F.min("rid").alias("lead")), "warc-repeats")
+        rows = rows.join(_bounded(lead), on, "left")
+        again = F.coalesce(F.col("rid") != F.col("lead"), F.lit(False))
+    rows = rows.join(_bounded(many), F.col("digest") == F.col("d"), "left")
+    return rows.select("page_id", "url", "html", "digest", F.coalesce("original", "page_id").alias("original"), again.alias("again"))
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    """A broadcast where the number of rows, counted here, allows it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def write_bundles(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[str]:
@@ -191,14 +210,12 @@ def write_bundles(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
     rows = with_originals(pages, id_col, url_col, html_col).sortWithinPartitions("page_id", "digest")
 
     def write(batches):
-        out, name, before = None, "", None
+        out, name = None, ""
         for b in batches:
             if b.num_rows and out is None:
                 name = attempt_name("bundle", ".warc.zst")
                 out = BundleWriter(f"{folder}/{name}")
-            for page_id, url, html, digest, original in zip(*[c.to_pylist() for c in b.columns]):
-                again = (page_id, digest) == before
-                before = (page_id, digest)
+            for page_id, url, html, _, original, again in zip(*[c.to_pylist() for c in b.columns]):
                 revisit = again or page_id != original
                 out.add(page_id, make_record(page_id, url, html.encode("utf-8", "replace"), original, revisit, date))
         if out is not None:

@@ -161,6 +161,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.warc_archive(df.limit(0)).count() == 0
 
 
+def test_one_response_for_each_payload(spark):
+    """Rows repeated in id and payload, dealt over many tasks, and payloads that most rows share."""
+    rows = [(7, f"u{k}", "twice") for k in range(40)] + [(k, "u", "") for k in range(100, 180)] + [(None, "u", "twice"), (None, "u", "none"), (None, "v", "none")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+    got = Counter((x.page_id, x.record_type, x.refers_to) for x in warc.warc_archive(df).collect())
+    assert got == {(7, "response", None): 1, (7, "revisit", 7): 39, (100, "response", None): 1, **{(k, "revisit", 100): 1 for k in range(101, 180)}, (None, "revisit", 7): 1, (None, "response", None): 1, (None, "revisit", None): 1}
+
+
 def test_bundles_are_seekable_and_plain_zstandard(tmp_path):
     w = warc.BundleWriter(str(tmp_path / "b.warc.zst"))
     bodies = {k: bytes(f"page {k} " * (k % 5 * 4000 + 1), "utf-8") for k in range(60)}
@@ -191,6 +199,77 @@ def test_language_model_sums_to_one():
         assert np.allclose(p + unseen, 1)
 
 
+def brute_probability(words, letters, head, letter):
+    """Interpolated Kneser-Ney by its definition, from the words of one language."""
+    grams = Counter()
+    for w in words:
+        codes = [lang_id.BEGIN] * (lang_id.ORDER - 1) + [ord(c) for c in w] + [lang_id.END]
+        for k in range(len(codes) - lang_id.ORDER + 1):
+            grams[tuple(codes[k : k + lang_id.ORDER])] += 1
+    levels = {lang_id.ORDER: grams}
+    for order in range(lang_id.ORDER - 1, 0, -1):
+        levels[order] = Counter(g[1:] for g in levels[order + 1])
+
+    def p(head, letter):
+        order = len(head) + 1
+        lower = p(head[1:], letter) if head else 1 / letters
+        total = sum(n for g, n in levels[order].items() if g[:-1] == head)
+        if not total:
+            return lower
+        kinds = sum(g[:-1] == head for g in levels[order])
+        return max(levels[order][(*head, letter)] - lang_id.DISCOUNT, 0) / total + lang_id.DISCOUNT * kinds / total * lower
+
+    return p(tuple(head), letter)
+
+
+def test_kneser_ney_equals_its_definition():
+    r = random.Random(2)
+    texts = {k: ["".join(r.choice(s) for _ in range(r.randint(1, 6))) for _ in range(60)] for k, s in (("a", "abc"), ("b", "bcde"), ("c", "xé漢"))}
+    m = lang_id.KneserNey.fit({k: np.unique(lang_id.word_grams(w)[0], axis=0, return_counts=True) for k, w in texts.items()})
+    letters = len({c for w in texts.values() for x in w for c in x} | {lang_id.END}) + 1
+    for _ in range(200):
+        head = [ord(r.choice("abcdexé漢q")) if r.random() < 0.8 else lang_id.BEGIN for _ in range(3)]
+        letter = r.choice([ord(r.choice("abcdexé漢")), lang_id.END, ord("q")])
+        got = np.exp(m.log_prob(np.array([[*head, letter]], dtype="<u4")))[0]
+        assert np.allclose(got, [brute_probability(texts[k], letters, head, letter) for k in m.languages])
+
+
+def test_language_id_equals_brute_force(spark):
+    """Every row of the query's operator: the language with the lowest cross-entropy by the definition."""
+    import zlib
+
+    r = random.Random(4)
+    make = lambda s, n: " ".join("".join(r.choice(s) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, make("abc" if i % 2 else "bcd", r.randint(1, 6)), "p" if i % 2 else "q") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    learned = {k: [w for d, t, x in rows if x == k and fold(d) not in (0, 1) for w in t.split()] for k in "pq"}
+    letters = len({c for w in learned.values() for x in w for c in x} | {lang_id.END}) + 1
+    for x in lang_id.language_id(df).collect():
+        entropy = {}
+        for k in "pq":
+            total = count = 0
+            for w in rows[x.doc_id][1].split():
+                codes = [lang_id.BEGIN] * 3 + [ord(c) for c in w] + [lang_id.END]
+                for at in range(len(codes) - 3):
+                    total -= np.log(brute_probability(learned[k], letters, codes[at : at + 3], codes[at + 3]))
+                    count += 1
+            entropy[k] = total / count
+        assert x.lang_pred == min(entropy, key=lambda k: (round(entropy[k], 9), k)) and x.cross_entropy == pytest.approx(min(entropy.values()))
+
+
+def test_model_size_is_bounded(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)), "pq"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(lang_id, "CELLS", 400)
+    m = lang_id.fit(df)
+    assert all(logs.size <= 400 for _, logs in m.grams)
+    long = [(100, "zu " * 60000, "p"), (101, "pa " * 60000 + "!", "q")] + [(k, "zu zu", "p") for k in range(200, 240)] + [(k, "pa pa", "q") for k in range(240, 280)]
+    got = {x.doc_id: x.lang_pred for x in lang_id.language_id(spark.createDataFrame(long, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))).collect()}
+    assert (got[100], got[101]) == ("p", "q")
+
+
 def test_language_id(spark):
     r = random.Random(1)
     kinds = {"aa": "ba be bi bo bu".split(), "zz": "zor zul zim zat".split()}

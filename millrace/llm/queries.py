@@ -60,8 +60,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive(_table(spark, sf_dir, "pages"))
 
 
+#: The schemas that calls are checked against, as ``conversations`` carries none: tool, parameter, JSON type, required.
+TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("calculate", "expression", "string", True), ("calculate", "digits", "number", False), ("clock", None, None, False)]
+
+
 def op10_chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_lines(_table(spark, sf_dir, "conversations"))
+    tools = spark.createDataFrame(TOOLS, "name string, parameter string, type string, required boolean")
+    return chat_lines(_table(spark, sf_dir, "conversations"), tools)
 
 
 QUERIES = {
@@ -77,6 +82,44 @@ QUERIES = {
     "op10_chat_lines": op10_chat_lines,
 }
 
+def _sql_value(x: object) -> str:
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+
+
+_CHAT = f"""
+    WITH t(tool, parameter, kind, required) AS (VALUES {", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in TOOLS)}),
+    m AS (SELECT row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rid, conv_id, turn, role, text,
+          CASE WHEN ltrim(text) LIKE '{{%' AND json_valid(text) THEN CAST(text AS JSON) END AS v FROM conversations),
+    p AS (SELECT *, CASE WHEN role = 'assistant' AND json_type(v, '$.tool_calls') = 'ARRAY' THEN CAST(v->'$.tool_calls' AS JSON[]) END AS calls,
+          CASE WHEN role = 'tool' THEN v->>'$.tool_call_id' END AS answers FROM m),
+    e AS (SELECT rid, conv_id, turn, unnest(calls) AS c, generate_subscripts(calls, 1) - 1 AS place FROM p WHERE calls IS NOT NULL),
+    c AS (SELECT rid, conv_id, turn, place, c->>'$.id' AS call_id, c->>'$.name' AS name,
+          CASE WHEN json_type(c, '$.arguments') = 'VARCHAR' AND json_valid(c->>'$.arguments') THEN CAST(c->>'$.arguments' AS JSON) ELSE c->'$.arguments' END AS args FROM e),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS FIRST, rid, place) AS nth FROM c WHERE call_id IS NOT NULL) WHERE nth = 1),
+    l AS (SELECT p.rid, f.turn AS call_turn, f.rid AS call_rid, f.place AS call_place FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.answers = f.call_id),
+    g AS (SELECT rid, place, name, key, json_type(args, '$."' || key || '"') AS seen FROM (SELECT *, unnest(json_keys(args)) AS key FROM c WHERE json_type(args) = 'OBJECT')),
+    bad AS (
+        SELECT rid, place, 'unknown tool' AS error FROM c WHERE name IS NULL OR name NOT IN (SELECT tool FROM t)
+        UNION SELECT rid, place, 'arguments are no object' FROM c WHERE coalesce(json_type(args), '') <> 'OBJECT'
+        UNION SELECT rid, place, 'type of ' || key FROM g JOIN t ON name = tool AND key = parameter
+              WHERE NOT list_contains(CASE kind WHEN 'string' THEN ['VARCHAR'] WHEN 'integer' THEN ['BIGINT', 'UBIGINT'] WHEN 'number' THEN ['BIGINT', 'UBIGINT', 'DOUBLE'] WHEN 'boolean' THEN ['BOOLEAN'] WHEN 'object' THEN ['OBJECT'] WHEN 'array' THEN ['ARRAY'] WHEN 'null' THEN ['NULL'] ELSE [seen] END, seen)
+        UNION SELECT rid, place, 'unexpected ' || key FROM g WHERE name IN (SELECT tool FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE tool = name AND parameter = key)
+        UNION SELECT rid, place, 'missing ' || parameter FROM c JOIN t ON name = tool WHERE required AND NOT EXISTS (SELECT 1 FROM g WHERE g.rid = c.rid AND g.place = c.place AND g.key = parameter)),
+    per AS (SELECT rid, count(*) AS n_calls, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.call_rid = c.rid AND l.call_place = c.place) THEN 0 ELSE 1 END) AS BIGINT) AS n_open,
+            string_agg('{{"arguments":' || CASE WHEN json_type(args) = 'OBJECT' THEN '{{' || coalesce((SELECT string_agg(CAST(to_json(k) AS VARCHAR) || ':' || CAST(json_extract(args, '$."' || k || '"') AS VARCHAR), ',' ORDER BY k) FROM (SELECT unnest(json_keys(args)) AS k)), '') || '}}' ELSE coalesce(CAST(args AS VARCHAR), 'null') END
+                       || ',"id":' || coalesce(CAST(to_json(call_id) AS VARCHAR), 'null') || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || '}}', ',' ORDER BY place) AS made FROM c GROUP BY rid),
+    wrong AS (SELECT rid, string_agg(error, '; ' ORDER BY error) AS errors FROM bad GROUP BY rid),
+    a AS (SELECT p.*, n_calls, n_open, made, errors AS said_wrong, call_turn, call_rid, call_place,
+          CAST(to_json(struct_pack(content := CASE WHEN calls IS NOT NULL OR answers IS NOT NULL THEN v->>'$.content' ELSE text END, role := role)) AS VARCHAR) AS plain
+          FROM p LEFT JOIN per ON p.rid = per.rid LEFT JOIN wrong ON p.rid = wrong.rid LEFT JOIN l ON p.rid = l.rid)
+    SELECT conv_id, turn, role,
+           row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN call_rid IS NOT NULL THEN call_turn ELSE turn END NULLS FIRST, coalesce(call_place, -1), turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, rid) - 1 AS position,
+           coalesce(n_calls, 0) AS n_calls, coalesce(n_open, 0) AS n_open, call_turn,
+           CASE WHEN call_rid IS NOT NULL THEN 'linked' WHEN answers IS NOT NULL THEN 'orphan' WHEN said_wrong IS NOT NULL THEN 'invalid' WHEN calls IS NOT NULL THEN 'call' ELSE 'message' END AS status,
+           coalesce(said_wrong, '') AS errors,
+           CASE WHEN calls IS NOT NULL THEN plain[:-2] || ',"tool_calls":[' || coalesce(made, '') || ']}}' WHEN answers IS NOT NULL THEN plain[:-2] || ',"tool_call_id":' || CAST(to_json(answers) AS VARCHAR) || '}}' ELSE plain END AS line
+    FROM a"""
+
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -97,11 +140,7 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
-    "op10_chat_lines": """
-        SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
-               CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_open, CAST(NULL AS BIGINT) AS call_turn, 'message' AS status, '' AS errors,
-               CAST(to_json(struct_pack(content := text, role := role)) AS VARCHAR) AS line
-        FROM conversations""",
+    "op10_chat_lines": _CHAT,
     "op3_ngram_jaccard_join": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]

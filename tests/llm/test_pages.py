@@ -316,3 +316,36 @@ def test_chat(spark):
     assert got[None, 0].line == '{"content":null,"role":null}'
     assert chat.chat_lines(df.limit(0)).count() == 0
     assert {x.status for x in chat.chat_lines(df).collect()} == {"message", "call", "linked", "orphan"}
+
+
+def test_chat_query_equals_sql_where_there_are_calls(spark, tmp_path):
+    """Random conversations with calls, results before and after them, orphans, repeated identifiers and bad arguments."""
+    import duckdb
+
+    from millrace.llm import queries
+
+    r = random.Random(6)
+    good = [("search", {"query": "tea \u00e9", "limit": 3}), ("search", {"query": "x"}), ("calculate", {"expression": "1+1", "digits": 2.5}), ("clock", {}), ("calculate", '{"expression": "2", "digits": 4}')]
+    bad = [("search", {}), ("search", {"query": 5, "page": [1, 2]}), ("paint", {"colour": "red"}), ("calculate", [1]), ("calculate", {"expression": None, "digits": "x"}), ("search", None), (None, {"query": "q"}), ("search", "no json")]
+    rows = []
+    for conv in [*range(40), None]:
+        names = [f"c{k}" for k in range(6)]
+        for turn in range(r.randint(1, 12)):
+            form = r.random()
+            if form < 0.35:
+                calls = [{k: v for k, v in zip(("id", "name", "arguments"), (r.choice([*names, None]), *r.choice(good + bad))) if v is not None} for _ in range(r.randint(0, 3))]
+                rows.append((conv, turn, "assistant", json.dumps({"content": r.choice(["so", None]), "tool_calls": calls}, ensure_ascii=r.random() < 0.5)))
+            elif form < 0.65:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": r.choice(names), "content": f"r{turn}"})))
+            else:
+                rows.append((conv, r.choice([turn, None]), r.choice(["user", "assistant", "tool", None]), r.choice(["plain", "{bad", '{"content": "kept as it is"}', '["tool_calls"]', None, 'say "this"\n'])))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(queries.ORACLES["op10_chat_lines"])
+    names = [d[0] for d in want.description]
+    got = queries.op10_chat_lines(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    assert {x.status for x in got} == {"message", "call", "invalid", "linked", "orphan"} and sum(x.status == "linked" for x in got) > 20

@@ -81,12 +81,16 @@ class MainText:
         """Of every element of each page, some elements at a time."""
         out: list[np.ndarray] = []
         held: list[np.ndarray] = []
+        size = 0
         for nodes in pages:
-            held += features(nodes, self.words) if nodes else ()
-            if sum(map(len, held)) >= TOGETHER:
-                out += [self.trees.log_odds(x) for x in held]
-                held = []
-        out += [self.trees.log_odds(np.concatenate(held))] if held else []
+            for rows in features(nodes, self.words) if nodes else ():
+                held.append(rows)
+                size += len(rows)
+                if size >= TOGETHER:
+                    out.append(self.trees.log_odds(np.concatenate(held)))
+                    held, size = [], 0
+        if held:
+            out.append(self.trees.log_odds(np.concatenate(held)))
         joined = np.concatenate(out) if out else np.zeros(0)
         return np.split(joined, np.cumsum([len(nodes) for nodes in pages])[:-1])
 

@@ -338,15 +338,15 @@ def similar_components(
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))
     classes = index.where("n > 0").groupBy("key").agg(F.min(order).alias("rep"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    classes = classes.select(F.col("key").alias("of"), F.col("rep.rid").alias("rep"))
-    copies = materialize(index.join(classes, F.col("key") == F.col("of")).where("rid <> rep").select("rid", "rep"), "jaccard-copies")
+    classes = materialize(classes.select(F.col("key").alias("of"), F.col("rep.rid").alias("rep")), "jaccard-classes")  # apart from the join, so that a key with very many rows can be split in it
+    copies = materialize(index.join(_bounded(classes), F.col("key") == F.col("of")).where("rid <> rep").select("rid", "rep"), "jaccard-copies")
 
     nodes = indexed.where("n > 0").select("rid", "sigs").join(_bounded(copies.select("rid")), "rid", "left_anti")
     looked = nodes.where(F.pmod(F.xxhash64("rid"), F.lit(64)) == 0)
     often = looked.select(F.explode("sigs").alias("hot_sig")).groupBy("hot_sig").count().where(F.col("count") * 64 > max(1024, rows // (2 * ranges)))
     hot = materialize(often.select("hot_sig"), "jaccard-hot")  # at most (contents a set) * 2 * ranges rows
     shared = _hubs(nodes.select(F.explode("sigs").alias("sig"), "rid"), hot, ranges)
-    discard(indexed, hot)
+    discard(indexed, hot, classes)
 
     # each set with its smallest hub first; most other candidates then lie inside one component
     tops = shared.where("salted").select("sig", "hub").distinct()

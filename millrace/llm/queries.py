@@ -64,8 +64,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("calculate", "expression", "string", True), ("calculate", "digits", "number", False), ("clock", None, None, False)]
 
 
+def _values(rows: list[tuple]) -> str:
+    """Rows of strings, truth values and nulls as SQL writes them."""
+    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
 def op10_chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = spark.createDataFrame(TOOLS, "name string, parameter string, type string, required boolean")
+    tools = spark.sql(f"SELECT * FROM VALUES {_values(TOOLS)} AS t(name, parameter, type, required)")
     return chat_lines(_table(spark, sf_dir, "conversations"), tools)
 
 
@@ -82,12 +88,8 @@ QUERIES = {
     "op10_chat_lines": op10_chat_lines,
 }
 
-def _sql_value(x: object) -> str:
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
-
-
 _CHAT = f"""
-    WITH t(tool, parameter, kind, required) AS (VALUES {", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in TOOLS)}),
+    WITH t(tool, parameter, kind, required) AS (VALUES {_values(TOOLS)}),
     m AS (SELECT row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rid, conv_id, turn, role, text,
           CASE WHEN ltrim(text) LIKE '{{%' AND json_valid(text) THEN CAST(text AS JSON) END AS v FROM conversations),
     p AS (SELECT *, CASE WHEN role = 'assistant' AND json_type(v, '$.tool_calls') = 'ARRAY' THEN CAST(v->'$.tool_calls' AS JSON[]) END AS calls,

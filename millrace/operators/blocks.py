@@ -13,7 +13,8 @@ def pack_blocks(docs: DataFrame, block: int, order_by: str = "ord", tokens: str
 
     A document's place in the stream is a two-pass running sum of lengths, which sees
     no tokens.  Each document is cut into the parts that fall in different blocks, so
-    what is shuffled are slices, not single tokens.  ``docs`` is read twice.
+    what is shuffled are slices, not single tokens.  ``docs`` is read more than once, so
+    it should be a table.
     """
     sized = docs.withColumn("__n", F.size(tokens).cast("long")).where(F.col("__n") > 0)
     placed = joined_back(sized, running_sum(sized.select(order_by, "__n"), "__n", [order_by], into="__at"), [order_by])

@@ -279,7 +279,7 @@ def corpus_by_language(spark, d):
 
 def word_blocks(spark, d) -> DataFrame:
     docs = documents(spark, d).select(F.col("doc_id").alias("ord"), words(F.col("text")).alias("tokens"))
-    return blocks.pack_blocks(docs, BLOCK)
+    return blocks.pack_blocks(materialize(docs, "words"), BLOCK)  # read twice, split once
 
 
 SQL_WORDS = rf"SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[{RE2_WHITE}]+'), lambda x: x <> '') AS w FROM documents)"

@@ -14,7 +14,9 @@ most, else joined by shuffle.  Documents pass through Python nowhere.
 
 Defined cases: null text has no words; a document without words has no hits; null
 or repeated ``doc_id`` are rows of their own; items without words or without an id
-are left out; an empty benchmark marks nothing; other columns are ignored.
+are left out; an empty benchmark marks nothing and an empty table gives no rows;
+texts of any length are searched whole; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

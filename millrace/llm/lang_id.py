@@ -23,7 +23,8 @@ characters.
 Defined cases: null text and text without a letter are ``und`` with score 0 and
 rejected; with no labelled document every row is ``und``; rows with null ``lang``
 are predicted but not learned from; null ids are not held out and not learned
-from; ties go to the language first in order; other columns are ignored.
+from; ties go to the language first in order; a text of any length is scored whole;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

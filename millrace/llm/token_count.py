@@ -7,7 +7,8 @@ sentence-piece model is cut before spaces if its vocabulary shows that no merge
 reaches over them.
 
 Defined cases: null text is empty and has 0 bytes and 0 tokens; null or repeated
-ids stay as they are, one row each; other columns are ignored.
+ids stay as they are, one row each; a text of any length is counted whole; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ from which ``select(i)`` finds a value without a table of 64-bit offsets.
 
 Defined cases: null text is empty and has the end id only; null ``doc_id`` sorts
 first; rows that repeat a ``doc_id`` are kept, ordered by a hash of the text and
-the ids; an empty table gives no shards and no rows; other columns are ignored.
+the ids; a text of any length is encoded whole; an empty table gives no shards and
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ a ``response``, the others are ``revisit`` records that name it.
 Defined cases: null html is an empty payload; null url gives a ``urn:page:``
 target; a null page_id is revisit to an equal payload that has an id, else a
 response; rows that repeat page_id and payload are one response, the rest
-revisits of it; an empty table gives no bundles and no rows; other columns are
-ignored.
+revisits of it; a payload of any length is one record; an empty table gives no
+bundles and no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -286,3 +286,20 @@ def test_decontaminate_by_shuffle_and_empty(spark, monkeypatch):
     assert rows == [("1", 0), ("1", 4), ("None", 4)]
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
     assert [x.contaminated for x in decontaminate.decontaminate(df, bench.limit(0)).collect()] == [False] * 3
+
+
+def test_very_long_texts_and_clashing_columns_by_operator(spark):
+    """One text of a million characters, repeated and null ids, and columns named like the operators' own."""
+    from millrace.llm import token_count, token_store
+    from test_tokens import BYTE, library
+
+    long = " ".join(f"w{k % 977}" for k in range(200000))
+    rows = [(1, long, 1, 1, "x", 1), (1, long, 2, 2, "y", 2), (None, "say w5 w6 w7 w8 w9 w10 w11 w12 w13 w14", 3, 3, "z", 3), (4, None, 4, 4, "t", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid long, h long, text_hash string, n_tokens long").repartition(2)
+    n = len(library(BYTE, long))
+    assert sorted((str(x.doc_id), x.n_tokens) for x in token_count.token_counts(df, BYTE).collect())[:2] == [("1", n), ("1", n)]
+    assert sorted(x.n_tokens for x in token_store.token_ids(df, BYTE).collect())[-2:] == [n + 1] * 2
+    bench = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14", "k")], "item_id long, text string, win string")
+    hits = sorted((str(x.doc_id), x.n_words, x.n_hit) for x in decontaminate.decontaminate(df, bench).collect())
+    assert hits == [("1", 200000, 2050), ("1", 200000, 2050), ("4", 0, 0), ("None", 11, 10)]
+    assert sorted((str(x.doc_id), x.group_size) for x in exact_dedup.exact_dedup(df).collect()) == [("1", 2), ("1", 2), ("4", 1), ("None", 1)]

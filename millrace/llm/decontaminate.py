@@ -78,6 +78,7 @@ def _matches(docs: DataFrame, pieces: DataFrame, id_col: str, text_col: str) ->
         rows = materialize(rows, "leak-texts", "zstd")
     rows = rows.select("rid", "doc_id", "text_hash", words_of(F.col("text")).alias("w"))
     mark = F.lit(0).cast("long")
+    small = pieces.count() <= BROADCAST_SHINGLES
     out = []
     for k in lengths or [SHINGLE]:
         hashes = F.transform(F.col("w"), _hash_at(k))
@@ -86,15 +87,22 @@ def _matches(docs: DataFrame, pieces: DataFrame, id_col: str, text_col: str) ->
             shift = 1
         else:
             shift = 0
-        spread = rows.select("rid", "doc_id", "text_hash", "w", F.posexplode(hashes).alias("at", "hh"))
+        # hashed in a step of its own, as an interpreted lambda inside the explode would copy the words once per word;
+        # outer, as otherwise a filter on the hashes is inferred, and pushed to where the words are not split yet
+        hashed = rows.select("rid", "doc_id", "text_hash", "w", F.size("w").alias("n_words"), hashes.alias("hashes"))
+        spread = hashed.select("rid", "doc_id", "text_hash", "w", "n_words", F.posexplode_outer("hashes").alias("at", "hh"))
         known = pieces.where(F.col("k") == k).select("sid", "h", "piece")
         if shift:
             known = known.unionByName(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("sid"), mark.alias("h"), F.lit(None).cast("array<string>").alias("piece")))
-        if pieces.count() <= BROADCAST_SHINGLES:
-            known = F.broadcast(known)
         pos = F.col("at") - shift
-        same = (F.col("hh") == F.col("h")) & F.when(F.col("sid") < 0, pos < 0).otherwise((pos >= 0) & (F.slice("w", F.greatest(pos, F.lit(0)) + 1, k) == F.col("piece")))
-        out.append(spread.join(known, same).select("rid", "doc_id", "text_hash", F.size("w").alias("n_words"), pos.alias("pos"), "sid"))
+        here = F.slice("w", F.greatest(pos, F.lit(0)) + 1, k)
+        if small:
+            known = F.broadcast(known)
+        else:  # what is shuffled holds a shingle, not all words
+            spread = spread.withColumn("here", here).drop("w")
+            here = F.col("here")
+        same = (F.col("hh") == F.col("h")) & F.when(F.col("sid") < 0, pos < 0).otherwise((pos >= 0) & (here == F.col("piece")))
+        out.append(spread.join(known, same).select("rid", "doc_id", "text_hash", "n_words", pos.alias("pos"), "sid"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.chat import chat_lines
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.exact_dedup import exact_dedup
+from millrace.llm.filter_audit import filter_audit
 from millrace.llm.html_extract import main_text
+from millrace.llm.importance import importance_resample
 from millrace.llm.lang_id import language_id
 from millrace.llm.ngram_join import ngram_join
 from millrace.llm.packing import pack
 from millrace.llm.token_count import token_counts
 from millrace.llm.token_store import token_ids
+from millrace.llm.toxicity import fit as fit_toxicity
+from millrace.llm.toxicity import toxicity
 from millrace.llm.warc import warc_archive
 
 #: Target shares of the packed sources are their tokens to this power: large sources are held back.
@@ -75,6 +79,19 @@ def op10_chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_lines(_table(spark, sf_dir, "conversations"), tools)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least=20, buckets=10_000, seed=2024)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_token_counts": op2_token_counts,
@@ -86,6 +103,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_chat_lines": op10_chat_lines,
+    "op11_importance": op11_importance,
+    "op12_toxicity": op12_toxicity,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _CHAT = f"""
@@ -123,6 +143,42 @@ _CHAT = f"""
     FROM a"""
 
 ORACLES: dict[str, str] = {
+    "op11_importance": r"""
+        WITH ab AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, ab),
+        i AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark, ab),
+        dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+        steps AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+        words AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM i)),
+        crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(w))), lambda k: CAST('0x' || substr(hex(encode(w)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+                  lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) % 10000 AS bucket FROM words, steps),
+        s AS (SELECT bucket, CAST(sum(n) AS DOUBLE) AS s FROM dw JOIN crc USING (w) GROUP BY bucket),
+        t AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS t FROM i JOIN crc USING (w) GROUP BY bucket),
+        sums AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s_all, coalesce((SELECT sum(t) FROM t), 0) AS t_all),
+        g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+        v AS (SELECT doc_id, sum(n * gain) AS weight FROM dw JOIN crc USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+        h AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) AS h FROM d LEFT JOIN v USING (doc_id)),
+        c AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+        SELECT c.*, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM c LEFT JOIN r USING (doc_id)""",
+    "op13_filter_audit": r"""
+        WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+              CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(w) < 65 * len(w) THEN 'B' ELSE '' END
+              || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) THEN 'C' ELSE '' END
+              || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+              FROM d LEFT JOIN l USING (doc_id)),
+        n AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before FROM (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o)),
+        y AS (SELECT *, contains(fails, letter) AS here, length(translate(fails, before, '')) < length(fails) AS earlier FROM n, s),
+        z AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT here AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed,
+              sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+              sum(CASE WHEN here AND NOT earlier AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT earlier AND toxic THEN n ELSE 0 END) AS toxic_lost FROM y GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM z""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -13,7 +13,8 @@ similar; those that share one are candidates and are compared in full.
 
 * **Size bands.**  H depends on the sizes, so sizes fall in bands, each with its
   own segments; a set is indexed in its own band and in each lower one that a
-  similar set may belong to.
+  similar set may belong to.  Where similar sets cannot differ at all, one content,
+  the whole set, brings equal sets of different words together.
 * **Cost-based allocation.**  ``Band.plan`` weighs, for the number of sets there
   are, the contents written against the candidates expected, and chooses how many
   segments get one deletion.
@@ -169,7 +170,7 @@ class Scheme:
         least = -(-size * self.num // self.den)
         out = []
         for b in reversed(self.bands):
-            if b.low <= size and b.high >= least and b.differ > 0:
+            if b.low <= size and b.high >= least:
                 out.append(b)
             if b.high < least:
                 break

@@ -1,5 +1,6 @@
 import json
 import random
+import zlib
 import sys
 import time
 from collections import Counter
@@ -258,18 +259,41 @@ def test_language_id_equals_brute_force(spark):
         assert x.lang_pred == min(entropy, key=lambda k: (round(entropy[k], 9), k)) and x.cross_entropy == pytest.approx(min(entropy.values()))
 
 
-def test_model_size_is_bounded(spark, monkeypatch):
+def test_model_keeps_all_grams_of_its_sample(spark, monkeypatch):
     r = random.Random(5)
     rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)), "pq"[i % 2]) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    monkeypatch.setattr(lang_id, "CELLS", 400)
     m = lang_id.fit(df)
-    assert all(logs.size <= 400 for _, logs in m.grams)
+    learned = {k: [w for d, t, x in rows if x == k and zlib.crc32(str(d).encode()) % 5 > 1 for w in t.split()] for k in "pq"}
+    assert len(m.grams[-1].values) == sum(len(np.unique(lang_id.word_grams(w)[0], axis=0)) for w in learned.values())
+    monkeypatch.setattr(lang_id, "MODEL_BYTES", 400)
+    with pytest.raises(ValueError, match="smaller sample"):
+        lang_id.fit(df)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
     long = [(100, "zu " * 60000, "p"), (101, "pa " * 60000 + "!", "q")] + [(k, "zu zu", "p") for k in range(200, 240)] + [(k, "pa pa", "q") for k in range(240, 280)]
     got = {x.doc_id: x.lang_pred for x in lang_id.language_id(spark.createDataFrame(long, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))).collect()}
     assert (got[100], got[101]) == ("p", "q")
 
 
+def test_many_languages_that_overlap(spark):
+    """Sixty languages of common syllables, told apart by how often they use them; none loses grams to the others."""
+    r = random.Random(9)
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    kinds = {f"l{k:02d}": r.sample(syllables, 14) for k in range(60)}
+    word = lambda own: "".join(r.choice(own) for _ in range(r.randint(1, 4)))
+    rows = [(60 * i + k, " ".join(word(own) for _ in range(30)), lang) for i in range(25) for k, (lang, own) in enumerate(kinds.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    held = [x for x in lang_id.language_id(df).collect() if x.held_out]
+    assert len(held) > 200 and sum(x.lang_pred == rows[x.doc_id][2] for x in held) / len(held) > 0.97
+
+
+def test_codes_are_no_words():
+    assert lang_id.text_words("Tea 2abc3ff2ca8 for two_three") == ["tea", "for"]
+    assert lang_id.text_words("2abc3FF2") == ["abc", "ff"] and lang_id.text_words("12 _3") == []
+
+
 def test_language_id(spark):
     r = random.Random(1)
     kinds = {"aa": "ba be bi bo bu".split(), "zz": "zor zul zim zat".split()}

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import json
-from array import array
-from collections import defaultdict
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -16,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import TokenizerConfig
 from millrace.functions.text import word_count
+from millrace.operators.bpe import learn_merges
 from millrace.sources.sinks import write_text
 
 #: Fixed value: the pre-token rule of byte-level BPE, with Unicode classes on.
@@ -46,90 +44,16 @@ def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(pre_tokens(F.col(text_col))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _merged(word: str, pair: str, new: str) -> tuple[str, list[tuple[str, int]]]:
-    """The word with each ``pair`` replaced from the left, and what that does to the counts of its pairs."""
-    changes = []
-    i = word.find(pair)
-    while i >= 0:
-        if i:
-            changes += [(word[i - 1] + pair[0], -1), (word[i - 1] + new, 1)]
-        word = word[:i] + new + word[i + 2 :]
-        if i + 1 < len(word):
-            changes += [(pair[1] + word[i + 1], -1), (new + word[i + 1], 1)]
-        i = word.find(pair, i + 1)
-    return word, changes
-
-
-def learn_merges(counts: Iterable[tuple[str, int]], entries: int, min_frequency: int) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """Vocabulary and merges of byte-level BPE from (piece, n), a piece standing for all of its n occurrences.
-
-    What ``BpeTrainer`` learns from the occurrences one by one, its order of equal
-    counts (lower ids first) included. A piece is held as one string with a
-    character per symbol, whose code is the symbol's id.
-    """
-    from tokenizers import pre_tokenizers
-
-    names = sorted(pre_tokenizers.ByteLevel.alphabet())
-    shown = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    at = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-    ids = {name: i for i, name in enumerate(names)}
-    symbols = bytes(ids[at[b]] for b in range(256))
-
-    pieces, weights, pair_counts, where = [], array("q"), defaultdict(int), defaultdict(lambda: array("I"))
-    for piece, n in counts:
-        word, k = piece.encode().translate(symbols).decode("latin-1"), len(pieces)
-        pieces.append(word)
-        weights.append(n)
-        for pair in map("".join, zip(word, word[1:])):
-            pair_counts[pair] += n
-            if not (seen := where[pair]) or seen[-1] != k:
-                seen.append(k)
-    # A string of two characters sorts as the pair of ids does; the third member only parts entries of one pair.
-    queue = [(-pair_counts[p], p, k, held) for k, (p, held) in enumerate(where.items())]
-    made = len(queue)
-    del where
-    heapify(queue)
-    merges: dict[str, None] = {}
-    while len(names) < entries and queue:
-        n, pair, k, held = heappop(queue)
-        if -n != pair_counts[pair]:
-            heappush(queue, (-pair_counts[pair], pair, k, held))
-            continue
-        if -n < max(1, min_frequency):
-            break
-        name = names[ord(pair[0])] + names[ord(pair[1])]
-        if name not in ids:
-            ids[name] = len(names)
-            names.append(name)
-        merges.pop(pair, None)
-        merges[pair] = None
-        new, found = chr(ids[name]), defaultdict(lambda: array("I"))
-        for w in held:
-            pieces[w], changes = _merged(pieces[w], pair, new)
-            for p, change in changes:
-                pair_counts[p] += change * weights[w]
-                if change > 0 and (not (seen := found[p]) or seen[-1] != w):
-                    seen.append(w)
-        for p, more in found.items():
-            if pair_counts[p] > 0:
-                made += 1
-                heappush(queue, (-pair_counts[p], p, made, more))
-    return ids, [(names[ord(p[0])], names[ord(p[1])]) for p in merges]
-
-
 def train_bpe(docs: DataFrame, vocab_size: int, min_frequency: int = 2, text_col: str = "text") -> str:
     """JSON of a byte-level BPE of exactly ``vocab_size`` entries: specials first, then bytes, then merges.
 
-    The corpus is reduced to its piece counts by Spark; merges are learned on the
-    driver from all of them, each piece weighing its exact count. The driver holds
-    the distinct pieces, never the texts.
+    The corpus is reduced to its piece counts, and ``bpe.learn_merges`` learns from all
+    of them in rounds; neither texts nor pieces come to the driver as a whole.
     """
     from tokenizers import Tokenizer, decoders, models, pre_tokenizers, processors
 
     specials = special_tokens()
-    counts = piece_counts(docs, text_col).toLocalIterator(prefetchPartitions=True)
-    learned, merges = learn_merges(counts, vocab_size - len(specials), min_frequency)
+    learned, merges = learn_merges(piece_counts(docs, text_col), vocab_size - len(specials), min_frequency)
     vocab = {s: k for k, s in enumerate(specials)} | {name: k + len(specials) for name, k in learned.items()}
     tok = Tokenizer(models.BPE(vocab=vocab, merges=merges, byte_fallback=True))
     tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)

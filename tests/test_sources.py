@@ -1,12 +1,15 @@
 import hashlib
 import json
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import RunConfig, TokenizerConfig, may_resume
 from millrace.functions.text import CleanRules
-from millrace.operators import ordering, tokenizer
+from millrace.operators import bpe, ordering, tokenizer
 from millrace.operators.corpus import CorpusSpec, prepare_corpus, prepare_recipe, recipe, tokenizer_recipe
 from millrace.sources import readers
 from millrace.sources.sinks import keep_newest, write_shards
@@ -103,6 +106,58 @@ def test_bpe_trains_on_every_occurrence(spark):
     assert ["qz", "x"] in json.loads(spec)["model"]["merges"]
 
 
+@pytest.mark.parametrize("letters,longest,entries,held", [("ab", 14, 60, 20), ("abc", 9, 200, 60), ("abcdefgh", 6, 150, 40)])
+def test_bpe_in_rounds_equals_the_library(spark, letters, longest, entries, held):
+    """Few letters make merges that overlap, tie, and write one string in two ways; runs held are far fewer than pieces."""
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    r = random.Random(longest)
+    lines = ["".join(r.choices(letters, k=r.randint(1, longest))) + " a\u00e9aaaaa"[: r.randint(0, 8)] for _ in range(1500)] + ["a" * 3000, "", " "]
+    lib = Tokenizer(models.BPE(byte_fallback=True))
+    lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    lib.train_from_iterator(lines, trainers.BpeTrainer(vocab_size=256 + entries, min_frequency=2, special_tokens=[], initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
+    want = json.loads(lib.to_str())["model"]
+    counts = tokenizer.piece_counts(spark.createDataFrame([(t,) for t in lines], "text string").repartition(3))
+    ids, merges = bpe.learn_merges(counts, len(want["vocab"]), 2, held)
+    assert ids == want["vocab"] and [list(m) for m in merges] == want["merges"]
+
+
+def test_bpe_of_little(spark):
+    few = spark.createDataFrame([("ab", 5), ("b", 9)], "piece string, n long")
+    for held in (1, 100):
+        ids, merges = bpe.learn_merges(few, 300, 1, held)
+        assert merges == [("a", "b")] and ids["ab"] == 256 and len(ids) == 257
+        assert bpe.learn_merges(few, 300, 6, held)[1] == [] and bpe.learn_merges(few.limit(0), 300, 1, held)[1] == []
+
+
+def test_merges_in_a_block():
+    """One block after several merges, and the changes of its pairs, against word by word."""
+    r = random.Random(1)
+    words = [[r.randrange(3) for _ in range(r.randint(2, 12))] for _ in range(200)]
+    n = [r.randint(1, 9) for _ in words]
+    block = bpe.Block(np.array([s for w in words for s in w], dtype=np.int32), np.array([len(w) for w in words], dtype=np.int32), np.array(n))
+    plan = [("\0\0", 3), ("\1\2", 4), ("\3\4", 5), ("\2\0", 6)]
+    code = np.array([ord(p[0]) << 32 | ord(p[1]) for p, _ in plan])
+    order = np.argsort(code)
+    after, codes, sums, up = bpe.apply(block, code[order], order, np.array([s for _, s in plan])[order])
+    changed, came, left = Counter(), set(), Counter()
+    for w, k in zip(words, n):
+        word = "".join(map(chr, w))
+        for pair, new in plan:
+            word, changes = bpe._merged(word, pair, chr(new))
+            for p, c in changes:
+                changed[p] += c * k
+                came |= {p} if c > 0 else set()
+        left[word] += k if len(word) > 1 else 0
+    ends = np.cumsum(after.sizes)
+    got = Counter()
+    for stop, size, k in zip(ends, after.sizes, after.n):
+        got["".join(map(chr, after.symbols[stop - size : stop]))] += int(k)
+    assert got == +left
+    pair = lambda c: chr(int(c) >> 32) + chr(int(c) & 0xFFFFFFFF)
+    assert {pair(c): int(x) for c, x in zip(codes, sums)} == dict(changed) and {pair(c) for c, u in zip(codes, up) if u} == came
+
+
 def test_pre_tokens_match_the_library(spark):
     from tokenizers import pre_tokenizers
 

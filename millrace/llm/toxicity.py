@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from millrace.plans.scratch import bounded_arrow_batches, discard, materialize
 
 #: Labelled documents learned from, for each label, and features of the classifier, at most.
-SAMPLE, FEATURES = 6000, 1 << 15
+SAMPLE, FEATURES = 4000, 1 << 15
 #: Weights of the L1 penalty and of score changes under swaps.
 SPARSITY, FAIRNESS = 3e-4, 1.0
 #: Lengths of the beginnings of words, documents that a feature must be in, and steps of the fit.
@@ -114,37 +115,45 @@ class Classifier:
     intercept: float = -math.inf
 
 
-def _entries(found: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and values of a sparse matrix."""
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    return row, np.array([k for f in found for k in f], dtype=np.int64), np.array([v for f in found for v in f.values()], dtype=float)
+@dataclass
+class Matrix:
+    """Rows of a sparse matrix, one after the other."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, columns: pa.ChunkedArray, values: pa.ChunkedArray) -> Matrix:
+        n = pc.list_value_length(columns).to_numpy().astype(np.int64)
+        return cls(np.repeat(np.arange(len(n), dtype=np.int32), n), pc.list_flatten(columns).to_numpy(), pc.list_flatten(values).to_numpy(), len(n))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each row with ``x`` by column."""
+        return np.bincount(self.row, weights=self.value * x[self.column], minlength=self.size)
+
+    def spread(self, x: np.ndarray, width: int) -> np.ndarray:
+        """Of each column with ``x`` by row."""
+        return np.bincount(self.column, weights=self.value * x[self.row], minlength=width)
 
 
-def fit_weights(rows: list[dict[int, float]], labels: np.ndarray, swaps: list[dict[int, float]], times: np.ndarray, size: int, sparsity: float, fairness: float, steps: int) -> tuple[np.ndarray, float]:
+def fit_weights(rows: Matrix, labels: np.ndarray, swaps: Matrix, times: np.ndarray, size: int, sparsity: float, fairness: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated proximal steps, each weight with a step width of its own.
 
     ``swaps`` holds by how much swaps change features, and ``times`` how often each such change comes.
     """
-    n = len(rows)
-    r, c, v = _entries(rows)
-    dr, dc, dv = _entries(swaps)
+    n = rows.size
     share = fairness * times / max(1.0, times.sum())
-    reach = np.bincount(r, weights=v, minlength=n)
-    curve = np.bincount(c, weights=v * reach[r], minlength=size) / (4 * n)
-    if len(dr):
-        span = np.bincount(dr, weights=np.abs(dv), minlength=len(swaps))
-        curve += np.bincount(dc, weights=2 * share[dr] * np.abs(dv) * span[dr], minlength=size)
-    curve += 1e-6
+    steep = Matrix(swaps.row, swaps.column, np.abs(swaps.value), swaps.size)
+    curve = rows.spread(rows.sums(np.ones(size)), size) / (4 * n) + steep.spread(2 * share * steep.sums(np.ones(size)), size) + 1e-6
     rate = (labels.sum() + 0.5) / (n + 1)
     w, b = np.zeros(size), math.log(rate / (1 - rate))
     z, zb, t = w, b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, weights=v * z[c], minlength=n) + zb, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(rows.sums(z) + zb, -500, 500)))
         off = (p - labels) / n
-        slope = np.bincount(c, weights=v * off[r], minlength=size)
-        if len(dr):
-            change = np.bincount(dr, weights=dv * z[dc], minlength=len(swaps))
-            slope += np.bincount(dc, weights=2 * dv * (share * change)[dr], minlength=size)
+        slope = rows.spread(off, size) + swaps.spread(2 * share * swaps.sums(z), size)
         new = z - slope / curve
         new = np.sign(new) * np.maximum(np.abs(new) - sparsity / curve, 0)
         new_b = zb - 2 * off.sum()
@@ -216,15 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                     order = sorted(found)
                     at.append(order)
                     value.append([found[k] for k in order])
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(label, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))], names=["kind", "label", "at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(label, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["kind", "label", "at", "value"])
 
-    made = materialize(chosen.mapInArrow(rows, "kind int, label int, at array<int>, value array<double>"), "toxic-rows")
-    pairs = lambda x: dict(zip(x.at, x.value))
-    texts = made.where("kind = 0").select("label", "at", "value").collect()  # 2 * sample rows, or more if ids repeat
-    swaps = made.where("kind = 1").groupBy("at", "value").agg(F.count(F.lit(1)).alias("times")).collect()  # kinds of change: pairs of terms, counts in a sentence
+    made = materialize(chosen.mapInArrow(rows, "kind int, label int, at array<int>, value array<float>"), "toxic-rows")
+    texts = made.where("kind = 0").select("label", "at", "value").toArrow()  # 2 * sample rows, or more if ids repeat
+    swaps = made.where("kind = 1").groupBy("at", "value").agg(F.count(F.lit(1)).cast("double").alias("times")).toArrow()  # kinds of change: pairs of terms, counts in a sentence
     discard(chosen, made)
-    marks = np.array([x.label for x in texts], dtype=float)
-    weights, intercept = fit_weights([pairs(x) for x in texts], marks, [pairs(x) for x in swaps], np.array([x.times for x in swaps], dtype=float), len(hashes), sparsity, fairness, STEPS)
+    matrices = [Matrix.of(x.column("at"), x.column("value")) for x in (texts, swaps)]
+    weights, intercept = fit_weights(matrices[0], texts.column("label").to_numpy().astype(float), matrices[1], swaps.column("times").to_numpy(), len(hashes), sparsity, fairness, STEPS)
     used = weights != 0
     return Classifier(hashes[used], weights[used], intercept)
 

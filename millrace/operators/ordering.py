@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.draws import SEGMENT, end_places, segments, slot_times
 from millrace.plans.prefix import joined_back, running_sum
+from millrace.plans.scratch import materialize
 
 
 def seeded_key(seed: int, *columns: str) -> Column:
@@ -57,23 +58,29 @@ def shuffled_files(files: Sequence[str], seed: int | None) -> list[str]:
     return out
 
 
-def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, order_by: str, group_by: str) -> DataFrame:
+def buffer_shuffle(df: DataFrame, seed: int, buffer_size: int, order_by: str, group_by: str, segment: int = SEGMENT) -> DataFrame:
     """Adds ``pos``: the place of each row after the buffer shuffle of its group.
 
-    The replay is sequential by nature; it handles ordinals only (one number a
-    row), one group a task, and is joined back by (group, ordinal).  Where no exact
-    replay is asked for, ``hash_shuffle`` needs no such task.
+    The same order as ``buffered_order`` gives each group's rows, as a relation: no task
+    holds a list of a group's rows, but one as long as the buffer.  (group, order) name a row.
     """
-    ranked = global_rank(df.select(group_by, order_by), [order_by], "__nth", [group_by])
-    sizes = ranked.groupBy(group_by).count()
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = buffered_order(int(pdf["count"].iloc[0]), seed, buffer_size)
-        return pd.DataFrame({"__g": pdf[group_by].iloc[0], "__ord": order, "pos": range(len(order))})
-
-    kind = sizes.schema[group_by].dataType.simpleString()
-    order = sizes.groupBy(group_by).applyInPandas(replay, f"__g {kind}, __ord long, pos long")
-    placed = ranked.join(order, ranked[group_by].eqNullSafe(order["__g"]) & (F.col("__nth") == F.col("__ord"))).drop("__g", "__ord", "__nth")
+    spark = df.sparkSession
+    ranked = materialize(global_rank(df.select(group_by, order_by), [order_by], "__nth", [group_by]), "buffer-ranks")
+    if buffer_size <= 1:
+        placed = ranked.withColumn("pos", F.col("__nth"))
+    else:
+        sizes = materialize(ranked.groupBy(group_by).agg(F.count(F.lit(1)).alias("size")), "buffer-sizes")
+        count = max(0, (sizes.agg(F.max("size")).first()[0] or 0) - buffer_size)
+        states = segments(spark, seed, buffer_size, count, segment)
+        times = slot_times(states, buffer_size, count, segment)
+        ends = end_places(sizes, states, buffer_size, group_by, segment)
+        own = sizes.select(F.col(group_by).alias("__g"), F.greatest(F.col("size") - buffer_size, F.lit(0)).alias("__drawn"))
+        timed = ranked.join(times, F.col("__nth") == F.col("item")).join(own, F.col(group_by).eqNullSafe(F.col("__g"))).drop("__g")
+        early = F.coalesce(F.col("leaves") < F.col("__drawn"), F.lit(False))
+        left = timed.where(~early).join(ends.select(F.col(group_by).alias("__g"), F.col("slot").alias("__slot"), "place"), F.col(group_by).eqNullSafe(F.col("__g")) & (F.col("slot") == F.col("__slot")))
+        columns = [group_by, order_by]
+        placed = timed.where(early).select(*columns, F.col("leaves").alias("pos")).unionByName(left.select(*columns, (F.col("__drawn") + F.col("place")).alias("pos")))
+    placed = placed.drop("__nth")
     return placed if set(df.columns) == {group_by, order_by} else joined_back(df, placed, [group_by, order_by])
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import blocks, budget, mixture, ordering
+from millrace.operators import blocks, budget, draws, mixture, ordering
 from millrace.plans.prefix import running_sum
 
 
@@ -46,6 +46,29 @@ def test_buffer_shuffle_replays_per_group(spark):
     assert sorted(order) == list(range(1000)) and order != list(range(1000))
 
 
+@pytest.mark.parametrize("buffer_size,segment", [(2, 7), (10, 64), (37, 1000), (300, 16), (1, 5)])
+def test_buffer_shuffle_in_segments(spark, buffer_size, segment):
+    """Groups smaller and larger than the buffer, null groups, and slots that are drawn in no, one or many segments."""
+    sizes = {"a": 0, "b": 1, "c": 36, "d": 37, "e": 200, None: 411}
+    rows = [(g, i * 3) for g, n in sizes.items() for i in range(n)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "g string, d long, text string").repartition(3)
+    got = ordering.buffer_shuffle(df, 5, buffer_size, "d", "g", segment).collect()
+    assert len(got) == len(rows) and {r.text for r in got} == {"x"}
+    for g, n in sizes.items():
+        assert {r.d: r.pos for r in got if r.g == g} == {k * 3: p for p, k in enumerate(ordering.buffered_order(n, 5, buffer_size))}
+    assert ordering.buffer_shuffle(df.limit(0), 5, buffer_size, "d", "g", segment).count() == 0
+
+
+def test_draws_are_those_of_the_generator():
+    for limit in (1, 2, 3, 100, 128, 10_000, (1 << 32) - 1):
+        rng, state = random.Random(8), draws.seeded_state(8)
+        for count in (0, 1, 700, 5, 1300):
+            got, state = draws.below(state, limit, count)
+            assert got.tolist() == [rng.randrange(limit) for _ in range(count)]
+        assert draws.as_random(state).random() == rng.random()
+
+
 def test_samples(spark):
     df = spark.range(100).select(F.col("id").alias("d"), (F.col("id") % 4).alias("label"))
     assert ordering.seeded_sample(df, None, 1, "d").count() == 100

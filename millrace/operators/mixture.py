@@ -8,8 +8,10 @@ repeats a seeded weighted draw instead; it needs lengths only.
 
 from __future__ import annotations
 
+import pickle
 import random
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators.ordering import global_rank
 from millrace.plans.prefix import joined_back, running_sum, running_sums
+from millrace.plans.scratch import fresh_path, materialize
 
+#: Lengths that a part of a replay holds at most.
+HELD = 1 << 21
 UNITS = {"chars": F.length, "bytes": F.octet_length}
 
 
@@ -60,55 +65,101 @@ def stride(df: DataFrame, weights: Mapping[str, float], source: str = "source",
     return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed.drop("len"), [source, order_by])
 
 
-def replay_draws(lengths: Mapping[str, list[int]], weights: Mapping[str, float], seed: int, weighting: str = "token") -> list[tuple[str, int]]:
-    """(source, ordinal) in the order of a seeded weighted draw.
+@dataclass
+class Draws:
+    """A seeded weighted draw between sources, as far as it has come: all that the next part needs.
 
     By ``token``, a source's chance is its weight over the mean length of what it
     has sent, 1.0 before the first; by ``document`` its weight.  A draw from an
     empty source takes it out and counts for nothing else.
     """
-    if weighting not in ("token", "document"):
-        raise ValueError(f"weighting is token or document, not {weighting!r}")
-    share = normalised({k: weights[k] for k in lengths})
-    rng = random.Random(seed)
-    names = list(lengths)
-    sent = dict.fromkeys(names, 0)
-    total = dict.fromkeys(names, 0)
-    out: list[tuple[str, int]] = []
-    while names:
-        if weighting == "token":
-            chance = [share[s] / (total[s] / sent[s] if sent[s] else 1.0) for s in names]
-        else:
-            chance = [share[s] for s in names]
-        s = rng.choices(names, weights=chance)[0]
-        if sent[s] == len(lengths[s]):
-            names.remove(s)
-            continue
-        out.append((s, sent[s]))
-        total[s] += lengths[s][sent[s]]
-        sent[s] += 1
-    return out
-
-
-def replay(df: DataFrame, weights: Mapping[str, float], seed: int, weighting: str = "token", source: str = "source", order_by: str = "ord") -> DataFrame:
+
+    share: dict[str, float]
+    sizes: dict[str, int]
+    weighting: str
+    state: tuple
+    names: list[str]
+    sent: dict[str, int]
+    total: dict[str, int]
+
+    @classmethod
+    def begin(cls, sizes: Mapping[str, int], weights: Mapping[str, float], seed: int, weighting: str = "token") -> Draws:
+        if weighting not in ("token", "document"):
+            raise ValueError(f"weighting is token or document, not {weighting!r}")
+        share = normalised({k: weights[k] for k in sizes})
+        return cls(share, dict(sizes), weighting, random.Random(seed).getstate(), list(sizes), dict.fromkeys(sizes, 0), dict.fromkeys(sizes, 0))
+
+    def part(self, lengths: Mapping[str, Sequence[int]], most: int | None = None) -> list[tuple[str, int]]:
+        """(source, ordinal) of the next ``most`` documents; ``lengths`` are those of each source's next ones, as many at least or all."""
+        rng = random.Random()
+        rng.setstate(self.state)
+        share, sent, total, names = self.share, self.sent, self.total, self.names
+        first = dict(sent)
+        out: list[tuple[str, int]] = []
+        while names and (most is None or len(out) < most):
+            if self.weighting == "token":
+                chance = [share[s] / (total[s] / sent[s] if sent[s] else 1.0) for s in names]
+            else:
+                chance = [share[s] for s in names]
+            s = rng.choices(names, weights=chance)[0]
+            if sent[s] == self.sizes[s]:
+                names.remove(s)
+                continue
+            out.append((s, sent[s]))
+            total[s] += lengths[s][sent[s] - first[s]]
+            sent[s] += 1
+        self.state = rng.getstate()
+        return out
+
+
+def replay_draws(lengths: Mapping[str, list[int]], weights: Mapping[str, float], seed: int, weighting: str = "token") -> list[tuple[str, int]]:
+    """(source, ordinal) in the order of a seeded weighted draw; see ``Draws``."""
+    return Draws.begin({s: len(x) for s, x in lengths.items()}, weights, seed, weighting).part(lengths)
+
+
+def replay(df: DataFrame, weights: Mapping[str, float], seed: int, weighting: str = "token", source: str = "source", order_by: str = "ord", held: int = HELD) -> DataFrame:
     """Adds ``pos`` by the seeded draw.
 
-    The draw is one sequence by definition, so one task replays it, on (source,
-    ordinal, length) alone; texts are joined back by a shuffle.
+    The draw is one sequence by definition.  It is replayed in parts, one task after the
+    other: a part sees ``held`` lengths at most, those of the next documents of each
+    source, and hands on the generator's state and what each source has sent.  Texts are
+    joined back by a shuffle.
     """
+    spark = df.sparkSession
     own = df.where(F.col(source).isin(*weights))
-    ranked = global_rank(own.select(source, order_by, "len"), [order_by], "nth", [source])
+    ranked = materialize(global_rank(own.select(source, order_by, "len"), [order_by], "nth", [source]), "replay-ranks")
+    sizes = {r[0]: r[1] for r in ranked.groupBy(source).count().collect()}  # a row a source that has a weight
+    draws = Draws.begin({s: sizes.get(s, 0) for s in weights}, weights, seed, weighting)
+    step = max(1, held // len(weights))
+    folder, done, k = fresh_path(spark, "replay-order"), 0, 0
+    schema = "source string, nth long, pos long, state binary"
+    while draws.names:
+        near = F.lit(False)
+        for s in draws.names:
+            near = near | ((F.col(source) == s) & F.col("nth").between(draws.sent[s], draws.sent[s] + step - 1))
+        after = _replay_part(ranked.where(near).select(F.col(source).cast("string").alias("source"), "nth", F.col("len").cast("long").alias("len")), draws, step, done)
+        path = f"{folder}/part={k}"
+        after.write.parquet(path)
+        draws = pickle.loads(spark.read.schema(schema).parquet(path).where("state is not null").first().state)
+        done, k = sum(draws.sent.values()), k + 1
+    order = spark.read.schema(schema + ", part int").parquet(folder).where("state is null").select(F.col("source").alias("__s"), F.col("nth").alias("__n"), "pos") if k else spark.createDataFrame([], "__s string, __n long, pos long")
+    placed = ranked.join(order, (F.col(source) == F.col("__s")) & (F.col("nth") == F.col("__n"))).drop("__s", "__n", "nth")
+    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed.drop("len"), [source, order_by])
+
+
+def _replay_part(rows: DataFrame, draws: Draws, most: int, done: int) -> DataFrame:
+    """source, nth, pos of the next part; and one row with the state after it."""
+    spark = rows.sparkSession
+    begin = spark.createDataFrame([(None, None, None)], "source string, nth long, len long")  # so that an empty part has a task too
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([source, "nth"])
-        lengths = {s: pdf.loc[pdf[source] == s, "len"].tolist() for s in weights}
-        order = replay_draws(lengths, weights, seed, weighting)
-        return pd.DataFrame({"__s": [s for s, _ in order], "__n": [n for _, n in order], "pos": range(len(order))})
+        pdf = pdf[pdf["source"].notna()].sort_values("nth")
+        lengths = {s: x["len"].astype("int64").tolist() for s, x in pdf.groupby("source")}
+        order = draws.part(lengths, most)
+        out = pd.DataFrame({"source": [s for s, _ in order], "nth": [n for _, n in order], "pos": range(done, done + len(order)), "state": None})
+        return pd.concat([out.astype(object), pd.DataFrame([{"source": None, "nth": None, "pos": None, "state": pickle.dumps(draws)}])])
 
-    numbers = ranked.select(source, "nth", "len", F.lit(0).alias("__all"))
-    order = numbers.groupBy("__all").applyInPandas(draw, "__s string, __n long, pos long")
-    placed = ranked.join(order, (F.col(source) == F.col("__s")) & (F.col("nth") == F.col("__n"))).drop("__s", "__n", "nth")
-    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed.drop("len"), [source, order_by])
+    return rows.unionByName(begin).groupBy(F.lit(0).alias("all")).applyInPandas(draw, "source string, nth long, pos long, state binary")
 
 
 def realised_shares(mixed: DataFrame, source: str = "source") -> DataFrame:

@@ -93,12 +93,14 @@ def test_stride_holds_token_shares(spark):
     assert ends == {"a": True, "b": False}
 
 
-def test_replay_equals_a_plain_simulation(spark):
+@pytest.mark.parametrize("held", [1 << 20, 150])
+def test_replay_equals_a_plain_simulation(spark, held):
+    """In one part, and handed on from part to part."""
     r = random.Random(2)
     data = [(i, r.choice("xy"), r.randint(1, 50)) for i in range(300)]
     df = spark.createDataFrame(data, "ord long, source string, len long")
     weights = {"x": 3.0, "y": 1.0}
-    got = {x.ord: x.pos for x in mixture.replay(df, weights, 9).collect()}
+    got = {x.ord: x.pos for x in mixture.replay(df, weights, 9, held=held).collect()}
     queues = {s: [(i, n) for i, t, n in data if t == s] for s in weights}
     rng, active, sent, order = random.Random(9), list(weights), {s: [] for s in weights}, []
     while active:
@@ -113,6 +115,13 @@ def test_replay_equals_a_plain_simulation(spark):
     assert got == {i: p for p, i in enumerate(order)}
 
 
+def test_replay_of_little(spark):
+    df = spark.createDataFrame([(1, "x", 5), (2, "z", 5)], "ord long, source string, len long")
+    weights = {"x": 1.0, "y": 1.0}
+    assert [(r.ord, r.pos) for r in mixture.replay(df, weights, 1, "document", held=2).collect()] == [(1, 0)]
+    assert mixture.replay(df.limit(0), weights, 1).count() == 0
+
+
 def test_mixture_rejects_bad_weights():
     for bad in ({}, {"a": -1.0}, {"a": 0.0}):
         with pytest.raises(ValueError):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: the characters that count as white space in Unicode text stripping.
-WHITE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0  -     　"
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "".join(f"\\x{{{ord(c):X}}}" for c in WHITE_CHARS)
 #: Control characters but tab, line feed and carriage return.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
@@ -27,13 +28,12 @@ def strip_controls(text: Column) -> Column:
 
 
 def unicode_strip(text: Column) -> Column:
-    """Texts without white space at either end, nearly all, are not searched."""
-    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
-    return F.when(ends.rlike(f"[{WHITE}]"), F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")).otherwise(text)
+    """In one pass from either end, however many blanks there are."""
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def unicode_rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{WHITE}]+$", "")
+    return F.rtrim(text, F.lit(WHITE_CHARS))
 
 
 def words(text: Column) -> Column:

@@ -12,7 +12,7 @@ def pack_blocks(docs: DataFrame, block: int, order_by: str = "ord", tokens: str
     """block_id, tokens: the stream cut every ``block`` tokens; a last, shorter part is dropped unless ``whole`` is false.
 
     A document's place in the stream is a two-pass running sum of lengths, which sees
-    no tokens.  Each document is cut into the parts that fall in different blocks, so
+    no tokens; documents of one place come in some order.  Each document is cut into the parts that fall in different blocks, so
     what is shuffled are slices, not single tokens.  ``docs`` is read more than once, so
     it should be a table.
     """

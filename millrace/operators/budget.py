@@ -15,7 +15,8 @@ def cut_to_budget(df: DataFrame, order_by: Sequence[str], budgets: dict[str, int
     """Rows up to and with the one at which the first budget is reached.
 
     ``budgets`` maps columns to their limits.  The first row always stays.  One pass
-    over the order and the budgeted columns makes all sums.
+    over the order and the budgeted columns makes all sums.  Rows that ``order_by`` does
+    not tell apart come in some order, each once.
     """
     slim = df.select(*order_by, *[c for c in budgets if c not in order_by], F.lit(1).alias("__one"))
     sums = running_sums(slim, {"__pos": "__one", **{f"__b{k}": c for k, c in enumerate(budgets)}}, order_by)
@@ -23,7 +24,7 @@ def cut_to_budget(df: DataFrame, order_by: Sequence[str], budgets: dict[str, int
     for k, limit in enumerate(budgets.values()):
         keep = keep & (F.col(f"__b{k}") < limit)
     kept = sums.where((F.col("__pos") == 0) | keep)
-    return kept.select(*df.columns) if set(df.columns) <= set(slim.columns) else joined_back(df, kept.select(*order_by), order_by)
+    return kept.select(*df.columns) if set(df.columns) <= set(slim.columns) else joined_back(df, kept.select(*slim.drop("__one").columns), order_by)
 
 
 def assign_shards(df: DataFrame, order_by: Sequence[str], per_shard: int) -> DataFrame:

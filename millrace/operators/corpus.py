@@ -71,7 +71,7 @@ def prepare_corpus(spark: SparkSession, sources: list[Source], folder: str, spec
         raise ValueError("a token budget needs a tokenizer")
     docs = materialize(read_sources(spark, sources, spec.rules, spec.seed, spec.shuffle_buffer, spec.shuffle), "corpus-texts", "zstd")
     chosen = materialize(select_corpus(docs, {s.name: s.weight for s in sources}, spec), "corpus")
-    files = write_shards(joined_back(docs, chosen.select("source", "ord", "pos"), ["source", "ord"]), folder, ["pos"], spec.per_shard)
+    files = write_shards(joined_back(docs, chosen.select("source", "ord", "pos"), ["source", "ord"], unique=True), folder, ["pos"], spec.per_shard)
     sums = [F.count(F.lit(1)).alias("docs"), *[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(k) for k in ("bytes", "chars", *(["tokens"] if spec.tokenizer else []))]]
     total = chosen.agg(*sums).first().asDict()
     info = {

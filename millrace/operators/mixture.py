@@ -62,7 +62,7 @@ def stride(df: DataFrame, weights: Mapping[str, float], source: str = "source",
     sent = running_sum(own.select(source, order_by, "len"), "len", [order_by], [source], "sent")
     timed = sent.withColumn("vt", F.col("sent").cast("double") / weight_of(w, F.col(source)))
     placed = global_rank(timed, ["vt", source, order_by], "pos").drop("sent")
-    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed.drop("len"), [source, order_by])
+    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed, [source, order_by])
 
 
 @dataclass
@@ -144,7 +144,7 @@ def replay(df: DataFrame, weights: Mapping[str, float], seed: int, weighting: st
         done, k = sum(draws.sent.values()), k + 1
     order = spark.read.schema(schema + ", part int").parquet(folder).where("state is null").select(F.col("source").alias("__s"), F.col("nth").alias("__n"), "pos") if k else spark.createDataFrame([], "__s string, __n long, pos long")
     placed = ranked.join(order, (F.col(source) == F.col("__s")) & (F.col("nth") == F.col("__n"))).drop("__s", "__n", "nth")
-    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed.drop("len"), [source, order_by])
+    return placed if set(df.columns) == {source, order_by, "len"} else joined_back(own, placed, [source, order_by])
 
 
 def _replay_part(rows: DataFrame, draws: Draws, most: int, done: int) -> DataFrame:

@@ -29,8 +29,8 @@ def running_sums(
 ) -> DataFrame:
     """Adds, for each (into, value) of ``sums``, the sum of ``value`` over earlier rows of the same group.
 
-    ``order_by`` must order rows of a group uniquely.  Nulls in a value count as
-    0; null group keys form a group of their own.
+    Rows of a group that ``order_by`` does not tell apart come in some order.  Nulls in
+    a value count as 0; null group keys form a group of their own.
     """
     keys = [*group_by, *order_by]
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *keys) if keys else df
@@ -60,10 +60,21 @@ def running_sum(
     return running_sums(df, {into: value}, order_by, group_by, partitions)
 
 
-def joined_back(df: DataFrame, slim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` that ``slim`` has, with its other columns; ``keys``, which may be null, name a row in both."""
-    right = slim.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], *[c for c in slim.columns if c not in df.columns])
+def joined_back(df: DataFrame, slim: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
+    """Rows of ``df`` that ``slim`` has, with its other columns; ``keys``, which may be null, name a row in both.
+
+    Where keys repeat, which is looked for in ``slim`` unless they are known to be ``unique``, each row
+    still comes once: rows are paired by all columns that both have, and one by one where these repeat too.
+    """
+    more = [c for c in slim.columns if c not in df.columns]
+    common = list(keys)
+    if not unique and not slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+        common += [c for c in slim.columns if c in df.columns and c not in keys]
+        nth = F.row_number().over(Window.partitionBy(*common).orderBy(F.lit(0))).alias("__nth")
+        df, slim = df.select("*", nth), slim.select("*", nth)
+        common.append("__nth")
+    right = slim.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(common)], *more)
     on = F.lit(True)
-    for i, k in enumerate(keys):
+    for i, k in enumerate(common):
         on = on & df[k].eqNullSafe(right[f"__key{i}"])
-    return df.join(right, on).drop(*[f"__key{i}" for i in range(len(keys))])
+    return df.join(right, on).drop("__nth", *[f"__key{i}" for i in range(len(common))])

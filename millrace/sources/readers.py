@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import CleanRules, clean, unicode_strip
 from millrace.operators.ordering import buffer_shuffle, shuffled_files
+from millrace.plans.scratch import materialize
 
-#: An escaped UTF-16 half without its other half; such a line's text is not valid.
+#: An escaped UTF-16 half without its other half, where each escaped backslash is written as a number.
 LONE_HALF = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+#: Splits of text files whose first rows are broadcast at most; above it, rows are shuffled by split.
+BROADCAST_SPLITS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -47,19 +53,35 @@ def _place():
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("ord")
 
 
+def _json_text(line: Column, text_key: str) -> Column:
+    """The text of a line that is one JSON object and nothing else, null for any other.
+
+    The line is read as the first of two elements, the second being a mark that no line can
+    hold: what follows the object, or closes the list, moves the mark.  A lone half of a
+    UTF-16 pair is replaced by another mark, as it spoils the line only in its text.
+    """
+    mark = uuid.uuid4().hex
+    plain = F.regexp_replace(F.regexp_replace(line, r"\\\\", r"\\u005c"), LONE_HALF, mark)
+    safe = F.when(line.rlike(r"\\u[dD][89a-fA-F]"), plain).otherwise(line)
+    schema = T.ArrayType(T.StructType([T.StructField(text_key, T.StringType()), T.StructField(mark, T.IntegerType())]))
+    pair = F.from_json(F.concat(F.lit("["), safe, F.lit(f',{{"{mark}":1}}]')), schema, {"allowSingleQuotes": "false"})
+    text = F.get(pair, F.lit(0))[text_key]
+    return F.when((F.size(pair) == 2) & (F.get(pair, F.lit(1))[mark] == 1) & ~text.contains(mark), text)
+
+
 def _jsonl(spark: SparkSession, files: list[str] | str, text_key: str) -> DataFrame:
-    lines = spark.read.text(files).select(_place(), "value").where(unicode_strip(F.col("value")) != "").where(~F.col("value").rlike(LONE_HALF))
-    schema = T.StructType([T.StructField(text_key, T.StringType())])
-    return lines.select("ord", F.from_json("value", schema)[text_key].alias("text")).where("text is not null and text <> ''")
+    lines = spark.read.text(files).select(_place(), "value").where(unicode_strip(F.col("value")) != "")
+    return lines.select("ord", _json_text(F.col("value"), text_key).alias("text")).where("text is not null and text <> ''")
 
 
 def _parquet(spark: SparkSession, files: list[str] | str, text_key: str) -> DataFrame:
     rows = spark.read.parquet(*([files] if isinstance(files, str) else files))
-    return rows.select(_place(), F.col(text_key).alias("text")).where("text is not null and text <> ''")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("start"), F.col("_metadata.row_index").alias("row")).alias("ord")
+    return rows.select(place, F.col(text_key).alias("text")).where("text is not null and text <> ''")
 
 
 def read_jsonl(spark: SparkSession, files: list[str] | str, text_key: str = "text") -> DataFrame:
-    """text of every line that is an object with a non-empty text; other lines are skipped."""
+    """text of every line that is one object with a non-empty text; other lines are skipped."""
     return _jsonl(spark, files, text_key).select("text")
 
 
@@ -93,10 +115,32 @@ def _in_file_order(rows: DataFrame, files: list[str]) -> DataFrame:
     return joined.select("source", F.struct(F.col("__place").alias("file"), F.col("ord.start").alias("start"), F.col("ord.row").alias("row")).alias("ord"), "text")
 
 
+def _row_in_file(spark: SparkSession, rows: DataFrame, files: list[str]) -> DataFrame:
+    """Adds ``name``, the file's path below the folder that all files are in, and ``line``, the row's number in it.
+
+    Neither depends on how files are split or where they lie.  Parquet knows its row
+    numbers; lines of text are counted once, by split, before they are read.
+    """
+    uri = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).toUri().toString()
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    common = re.sub("^file:/+", "file:/", uri(os.path.commonpath([f.rsplit("/", 1)[0] for f in files])))
+    name = F.substr(plain(F.col("ord.file")), F.lit(len(common) + 2)).alias("name")
+    if files[0].endswith(".parquet"):
+        return rows.select("*", name, F.col("ord.row").alias("line"))
+    split = spark.read.text(files).select(_place()).groupBy(F.col("ord.file").alias("f"), F.col("ord.start").alias("s")).agg(F.min("ord.row").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    split = materialize(split.select("f", "s", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")), "file-splits")
+    here = F.broadcast(split) if split.count() <= BROADCAST_SPLITS else split
+    joined = rows.join(here, (F.col("ord.file") == F.col("f")) & (F.col("ord.start") == F.col("s")), "left")
+    line = F.when(F.col("shift").isNotNull(), F.col("ord.row") + F.col("shift")).otherwise(F.raise_error(F.lit("the files were split in another way when their lines were counted")).cast("long"))
+    return joined.select(*[rows[c] for c in rows.columns], name, line.alias("line"))
+
+
 def read_source(spark: SparkSession, source: Source, rules: CleanRules | None = None, shuffle_seed: int | None = None, shuffle_buffer: int = 0, shuffle: str = "hash") -> DataFrame:
     """source, ord, text: the kind of the first file in order decides the reader; shuffled, then cleaned.
 
-    ``hash`` gives every row a seeded pseudo-random place without any shuffle of data;
+    ``hash`` gives every row a seeded pseudo-random place by its file's name and its number
+    in it, the same wherever the files lie and however they are split, without any shuffle of data;
     ``buffer`` replays a seeded order of the files and a shuffle buffer over it.
     """
     if shuffle not in ("hash", "buffer"):
@@ -106,8 +150,9 @@ def read_source(spark: SparkSession, source: Source, rules: CleanRules | None =
     rows = (_parquet if files[0].endswith(".parquet") else _jsonl)(spark, files, source.text_key)
     rows = rows.select(F.lit(source.name).alias("source"), "ord", "text")
     if shuffle_seed is not None and shuffle_buffer > 1 and shuffle == "hash":
-        mixed = F.sha2(F.concat_ws("|", F.lit(str(shuffle_seed)), "ord.file", F.col("ord.start").cast("string"), F.col("ord.row").cast("string")), 256)
-        rows = rows.select("source", F.struct(mixed.alias("file"), F.col("ord.start").alias("start"), F.col("ord.row").alias("row")).alias("ord"), "text")
+        rows = _row_in_file(spark, rows, files)
+        mixed = F.sha2(F.concat_ws("|", F.lit(str(shuffle_seed)), "name", F.col("line").cast("string")), 256)
+        rows = rows.select("source", F.struct(mixed.alias("file"), F.lit(0).cast("long").alias("start"), F.col("line").alias("row")).alias("ord"), "text")
     elif shuffle_seed is not None and shuffle_buffer > 1:
         shuffled = buffer_shuffle(_in_file_order(rows, shuffled_files(files, shuffle_seed - 1)), shuffle_seed, shuffle_buffer, "ord", "source")
         rows = shuffled.select("source", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.col("pos").alias("row")).alias("ord"), "text")

@@ -148,3 +148,25 @@ def test_blocks(spark):
     assert [r.block_id for r in blocks.shard_of(packed, 1, 4, skip=2).orderBy("block_id").collect()] == [9, 13, 17, 21]
     pairs = blocks.next_tokens(packed).collect()
     assert len(pairs) == 25 * 7 and all(r.next == r.token + 1 for r in pairs)
+
+
+def test_rows_of_one_place_come_once_each(spark):
+    """Ties in the order, with texts of equal and of different lengths, and null places."""
+    r = random.Random(3)
+    data = [(r.choice([None, 1, 1, 1, 2, 3]), "t" * r.randint(1, 3), k) for k in range(60)]
+    df = spark.createDataFrame(data, "ord long, text string, tag long").repartition(4).withColumn("n", F.length("text").cast("long"))
+    order = [o for o in [None, 1, 2, 3] for x in data if x[0] == o]
+    cut = budget.cut_to_budget(df, ["ord"], {"n": 50}).collect()
+    assert len({x.tag for x in cut}) == len(cut) and sum(x.n for x in cut) - 3 < 50 <= sum(x.n for x in cut)
+    assert sorted((x.ord is not None, x.ord) for x in cut) == [(o is not None, o) for o in order[: len(cut)]]
+    shards = budget.assign_shards(df, ["ord"], 7).collect()
+    assert sorted((x.shard, x.in_shard) for x in shards) == [(k // 7, k % 7) for k in range(60)] and len({x.tag for x in shards}) == 60
+    assert [x.ord for x in sorted(shards, key=lambda x: (x.shard, x.in_shard))] == order
+    assert sorted(x.pos for x in ordering.hash_shuffle(df, 4, "ord").collect()) == list(range(60))
+    tokens = spark.createDataFrame([(1, [1, 2, 3]), (1, [4, 5]), (1, [6, 7, 8]), (2, [9])], "ord long, tokens array<int>")
+    packed = {x.block_id: x.tokens for x in blocks.pack_blocks(tokens, 3, whole=False).collect()}
+    assert sorted(packed) == [0, 1, 2] and sorted(sum(packed.values(), [])) == list(range(1, 10)) and packed[2][-1] == 9
+    sized = df.select(F.lit("a").alias("source"), "ord", "tag", F.col("n").alias("len"))
+    for mixed in (mixture.stride(sized, {"a": 1.0}), mixture.replay(sized, {"a": 1.0}, 3), ordering.buffer_shuffle(sized, 3, 5, "ord", "source")):
+        got = mixed.collect()
+        assert sorted(x.pos for x in got) == list(range(60)) and len({x.tag for x in got}) == 60

@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,53 @@ def test_jsonl_edge_cases(spark, tmp_path):
     assert got == ["good one", "whole \U0001f600 pair"]
 
 
+def test_jsonl_is_strict(spark, tmp_path):
+    """Each line as the standard parser takes it, but that a text with half a UTF-16 pair is left out."""
+    lines = [
+        r'{"text": "C:\\udcab is a folder"}', r'{"text":"ok","other":"\ud800"}', r'{"text": "C:\\\udcab half"}', r'{"text": "\ud83d\ude00 \ud83d"}', r'{"text": "\\\\ud83d kept \u00e9"}',
+        "{'text': 'single'}", '{"text": "a"} trailing', '{"text": "a"}, {"text": "b"}', '{"text": "a"}, 1', '{"text": "a"}]', '{"text": "a"}, "z": 1', '[{"text": "in a list"}]', '"text"', "null", "{}",
+        '{"text": "twice", "text": "the last"}', '{"other": {"text": "inner"}, "text": "outer", "list": [1, {"text": 2}]}', ' \t{"text": "blanks"} \t', '{"text": "tab\there"}', '{"text": "a",}', "{text: 1}", '{"text": "open',
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+
+    def standard(line):
+        try:
+            text = json.loads(line).get("text")
+            text.encode()
+            return text
+        except (ValueError, AttributeError):
+            return None
+
+    want = [t for t in map(standard, lines) if t]
+    assert len(want) == 6 and sorted(r.text for r in readers.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["jsonl", "parquet"])
+def test_order_by_seed_does_not_depend_on_the_layout(spark, tmp_path, kind):
+    """Equal orders in two folders, with files in one split and in many."""
+    texts = {f"{d}/f{k}": [f"text {d} {k} {i} {'x' * (i % 50)}" for i in range(200)] for d in ("p", "q r") for k in range(2)}
+    orders = []
+    for folder, size in (("one", 1 << 27), ("other/deep er", 1 << 12)):
+        for name, rows in texts.items():
+            file = tmp_path / folder / f"{name}.{kind}"
+            file.parent.mkdir(parents=True, exist_ok=True)
+            if kind == "jsonl":
+                file.write_text("\n\n".join(json.dumps({"text": t}) for t in rows) + "\n")
+            else:
+                pq.write_table(pa.table({"text": rows}), file, row_group_size=32)
+        held = [spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        try:
+            found = readers.read_sources(spark, [readers.Source("s", path=f"{tmp_path}/{folder}/*/*.{kind}")], seed=5, buffer_size=40)
+            assert size > 1 << 20 or kind == "parquet" or found.rdd.getNumPartitions() > 8
+            orders.append([r.text for r in found.orderBy("ord").collect()])
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    assert orders[0] == orders[1] and sorted(orders[0]) == sorted(t for rows in texts.values() for t in rows) and orders[0] != sorted(orders[0])
+
+
 def test_dispatch_and_missing(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.read_source(spark, readers.Source("s", path=f"{tmp_path}/none/*.jsonl"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.text import WHITE_CHARS, unicode_rstrip, unicode_strip
 from millrace.functions.holdout import is_validation, take_split
 
 CASES = [None, "", "   ", "too short", "hello\x00\x07 world, long enough", "a\nb\tc and some more text", "가나다라마바사아자차카타파하거너", " padded with wide spaces　\xa0", "\x1cedge\x1f of separators 123", "​zero width is no space﻿"]
@@ -65,3 +66,21 @@ def test_holdout_is_by_content_and_about_the_rate(spark):
         take_split(df, "dev", 10)
     assert take_split(df, "all", 10).count() == 2050
     assert df.where(is_validation(F.col("text"), 10)).count() == len(val)
+
+
+def test_many_blanks_take_linear_time(spark):
+    """A megabyte of blanks inside a text that also ends in one."""
+    import time
+
+    text = "x" + " " * (1 << 20) + "y \u2003"
+    df = spark.createDataFrame([(text,)], "t string").cache()
+    df.count()
+    start = time.time()
+    assert df.select(F.length(unicode_strip(F.col("t"))), F.length(unicode_rstrip(F.concat(F.lit(" "), "t")))).first() == ((1 << 20) + 2, (1 << 20) + 3)
+    assert time.time() - start < 5
+
+
+def test_strip_is_that_of_unicode(spark):
+    rows = [c * k + "a" + c + "b" + c * k for c in WHITE_CHARS + "\u200b\u180e\x00" for k in range(3)] + ["", " \t\u3000", None]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", unicode_strip(F.col("t")).alias("s"), unicode_rstrip(F.col("t")).alias("r")).collect()
+    assert all(r.s == r.t.strip() and r.r == r.t.rstrip() for r in got if r.t is not None) and set(WHITE_CHARS) == {chr(c) for c in range(0x110000) if chr(c).isspace()}

@@ -95,18 +95,33 @@ def read_plain_lines(spark: SparkSession, files: list[str] | str) -> DataFrame:
     return spark.read.text(files).where(unicode_strip(F.col("value")) != "").select(F.col("value").alias("text"))
 
 
-#: Session setting: the folder that holds copies of remote sets.
-MIRROR = "millrace.mirror"
+#: Session settings: the folder that holds copies of remote sets, and the address of listings of them.
+MIRROR, LISTING = "millrace.mirror", "millrace.listing"
 
 
 def mirrored(spark: SparkSession, source: Source) -> Source:
     """A source without a path, found in the mirror of remote sets by name, revision, subset and split."""
     root = spark.conf.get(MIRROR, None)
     if not root:
-        raise ValueError(f"source {source.name} has no path, and {MIRROR} names no folder with copies of remote sets")
+        raise ValueError(f"source {source.name} has no path, and neither {MIRROR} names a folder with copies of remote sets nor {LISTING} a listing of them")
     return replace(source, path=f"{root.rstrip('/')}/{source.name}/{source.revision or 'main'}/{source.subset or 'default'}/{source.split}/*")
 
 
+def _remote(spark: SparkSession, source: Source, listing: str, file_seed: int | None) -> tuple[list[str], DataFrame]:
+    """Names of a set's files, and its rows in their order, or in a seeded order of them."""
+    from millrace.sources import remote
+
+    remote.register(spark)
+    options = {k: v for k, v in (("listing", listing), ("name", source.name), ("subset", source.subset), ("split", source.split), ("revision", source.revision), ("text_key", source.text_key)) if v}
+    names = [f.name for f in remote.listed_files(options)]
+    rows = spark.read.format("remote_set").options(**options).load()
+    file = F.col("file")
+    if file_seed is not None:
+        order = spark.createDataFrame([(f, f"{k:09d}") for k, f in enumerate(shuffled_files(names, file_seed))], "named string, place string")
+        rows, file = rows.join(F.broadcast(order), F.col("file") == F.col("named")), F.col("place")  # the listing, which the driver holds
+    return names, rows.select(F.struct(file.alias("file"), F.lit(0).cast("long").alias("start"), "row").alias("ord"), "text")
+
+
 def _in_file_order(rows: DataFrame, files: list[str]) -> DataFrame:
     """``ord`` with each file's place in the list instead of its name; the list came from the driver and is as long there."""
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
@@ -145,17 +160,22 @@ def read_source(spark: SparkSession, source: Source, rules: CleanRules | None =
     """
     if shuffle not in ("hash", "buffer"):
         raise ValueError(f"shuffle is hash or buffer, not {shuffle!r}")
-    source = source if source.path else mirrored(spark, source)
-    files = shard_files(spark, source.path)
-    rows = (_parquet if files[0].endswith(".parquet") else _jsonl)(spark, files, source.text_key)
+    shuffled = shuffle_seed is not None and shuffle_buffer > 1
+    listing = spark.conf.get(LISTING, None) if not source.path else None
+    if listing:
+        files, rows = _remote(spark, source, listing, shuffle_seed - 1 if shuffled and shuffle == "buffer" else None)
+    else:
+        source = source if source.path else mirrored(spark, source)
+        files = shard_files(spark, source.path)
+        rows = (_parquet if files[0].endswith(".parquet") else _jsonl)(spark, files, source.text_key)
     rows = rows.select(F.lit(source.name).alias("source"), "ord", "text")
-    if shuffle_seed is not None and shuffle_buffer > 1 and shuffle == "hash":
-        rows = _row_in_file(spark, rows, files)
+    if shuffled and shuffle == "hash":
+        rows = rows.select("*", F.col("ord.file").alias("name"), F.col("ord.row").alias("line")) if listing else _row_in_file(spark, rows, files)
         mixed = F.sha2(F.concat_ws("|", F.lit(str(shuffle_seed)), "name", F.col("line").cast("string")), 256)
         rows = rows.select("source", F.struct(mixed.alias("file"), F.lit(0).cast("long").alias("start"), F.col("line").alias("row")).alias("ord"), "text")
-    elif shuffle_seed is not None and shuffle_buffer > 1:
-        shuffled = buffer_shuffle(_in_file_order(rows, shuffled_files(files, shuffle_seed - 1)), shuffle_seed, shuffle_buffer, "ord", "source")
-        rows = shuffled.select("source", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.col("pos").alias("row")).alias("ord"), "text")
+    elif shuffled:
+        ordered = rows if listing else _in_file_order(rows, shuffled_files(files, shuffle_seed - 1))
+        rows = buffer_shuffle(ordered, shuffle_seed, shuffle_buffer, "ord", "source").select("source", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.col("pos").alias("row")).alias("ord"), "text")
     return clean(rows, rules) if rules else rows
 
 

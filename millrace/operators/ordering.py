@@ -91,12 +91,56 @@ def seeded_sample(df: DataFrame, n: int | None, seed: int, key: str) -> DataFram
     return df.withColumn("__h", seeded_key(seed, key)).orderBy("__h", key).limit(n).drop("__h")
 
 
+#: Hexadecimal digits that a histogram of keys goes by, and rows with one beginning that are ranked at most.
+DIGITS, EDGE_ROWS = 4, 100_000
+
+
+def split_smallest(keyed: DataFrame, takes: DataFrame, label: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed``, which has ``__h``, a hexadecimal hash: of each label the ``take`` smallest by (hash, key), and the others.
+
+    ``takes`` has a row (label, take) for each label.  Beginnings of hashes are counted by
+    label; that tells which rows are in and which out, but for those with the beginning at
+    which a label's number is reached.  Only these are ranked; while they are many, a
+    longer beginning is counted.  No label is sorted.
+    """
+    takes = takes.select(F.col(label).alias("__l"), F.col("take"), F.lit("").alias("__edge"))
+    digits = 0
+    while True:
+        digits += DIGITS
+        near = keyed.join(F.broadcast(takes), F.col(label).eqNullSafe(F.col("__l")) & F.col("__h").startswith(F.col("__edge")))  # a row a label
+        counts = near.groupBy("__l", "take", F.substring("__h", 1, digits).alias("__head")).agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("__l").orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # 16^DIGITS rows at most
+        reached = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where((F.col("before") < F.col("take")) & (F.col("take") < F.col("before") + F.col("n")))
+        edges = materialize(reached.select("__l", (F.col("take") - F.col("before")).alias("take"), F.col("__head").alias("__edge"), "n"), "sample-edges")
+        done = edges.where(F.col("n") > EDGE_ROWS).isEmpty() or digits >= 64
+        found = [edges.drop("n")] if done else [edges.where(F.col("n") <= EDGE_ROWS).drop("n")]
+        # labels whose numbers end between two beginnings: all up to the last one are in
+        whole = counts.join(edges.select(F.col("__l").alias("__e")), F.col("__l").eqNullSafe(F.col("__e")), "left_anti")
+        whole = whole.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < F.col("take")).groupBy("__l").agg(F.max("__head").alias("__edge"))
+        found.append(whole.select("__l", F.lit(None).cast("long").alias("take"), "__edge"))
+        cut = found[0].unionByName(found[1])
+        cuts = cut if digits == DIGITS else cuts.unionByName(cut)  # noqa: F821
+        if done:
+            break
+        takes = edges.where(F.col("n") > EDGE_ROWS).drop("n")
+    cuts = materialize(cuts, "sample-cuts")
+    own = keyed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("__l")), "left")
+    head = F.col("__h").substr(F.lit(1), F.length("__edge"))
+    own = own.withColumn("__at", F.when(F.col("__edge").isNull(), 1).when(head < F.col("__edge"), 0).when(head > F.col("__edge"), 1).when(F.col("take").isNull(), 0).otherwise(2))
+    edge = own.where("__at = 2").withColumn("__place", F.row_number().over(Window.partitionBy(label).orderBy("__h", key)))
+    columns = keyed.columns
+    inside = own.where("__at = 0").select(*columns).unionByName(edge.where(F.col("__place") <= F.col("take")).select(*columns))
+    outside = own.where("__at = 1").select(*columns).unionByName(edge.where(F.col("__place") > F.col("take")).select(*columns))
+    return inside, outside
+
+
 def stratified_sample(df: DataFrame, n: int, seed: int, key: str, label: str, strict: bool = True) -> DataFrame:
     """``n // labels`` rows of each label, topped up to ``n`` from the rest.
 
     ``picked`` tells how: ``stratum`` or ``top-up``.  With ``strict``, a label that
     has too few rows is an error.
     """
+    spark = df.sparkSession
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per label
     if not sizes:
         return df.withColumn("picked", F.lit("stratum"))
@@ -105,8 +149,9 @@ def stratified_sample(df: DataFrame, n: int, seed: int, key: str, label: str, st
     if short and strict:
         raise ValueError(f"labels with fewer than {per} rows: {', '.join(short)}")
     keyed = df.withColumn("__h", seeded_key(seed, key))
-    near = keyed.withColumn("__place", F.row_number().over(Window.partitionBy(label).orderBy("__h", key)))
-    first = near.where(F.col("__place") <= per).drop("__place").withColumn("picked", F.lit("stratum"))
-    taken = sum(min(per, c) for c in sizes.values())
-    rest = near.where(F.col("__place") > per).drop("__place").orderBy("__h", key).limit(max(0, n - taken)).withColumn("picked", F.lit("top-up"))
-    return first.unionByName(rest).drop("__h")
+    kind = df.schema[label].dataType.simpleString()
+    first, rest = split_smallest(keyed, spark.createDataFrame([(k, per) for k in sizes], f"{label} {kind}, take long"), label, key)
+    more = max(0, n - sum(min(per, c) for c in sizes.values()))
+    every = rest.withColumn("__all", F.lit(0))
+    rest = split_smallest(every, spark.createDataFrame([(0, more)], "__all int, take long"), "__all", key)[0].drop("__all")
+    return first.withColumn("picked", F.lit("stratum")).unionByName(rest.withColumn("picked", F.lit("top-up"))).drop("__h")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -81,6 +82,24 @@ def test_samples(spark):
         ordering.stratified_sample(df.where("label > 0 or d < 8"), 42, 1, "d", "label")
 
 
+@pytest.mark.parametrize("digits,edge", [(4, 100_000), (1, 3), (1, 100_000), (2, 1)])
+def test_stratified_sample_equals_ranks(spark, monkeypatch, digits, edge):
+    """The rows that ranks by hash give, whether the counts of beginnings settle all, some or none of them."""
+    monkeypatch.setattr(ordering, "DIGITS", digits)
+    monkeypatch.setattr(ordering, "EDGE_ROWS", edge)
+    r = random.Random(digits)
+    data = [(k, r.choice(["a", "b", "b", "b", None])) for k in range(400)] + [(k, "few") for k in range(400, 403)]
+    df = spark.createDataFrame(data, "d long, label string").repartition(3)
+    place = {k: hashlib.sha256(f"7|{k}".encode()).hexdigest() for k, _ in data}
+    for n in (3, 121, 1000):
+        per = n // 4
+        first = {k for x in ("a", "b", None, "few") for k in sorted((k for k, y in data if y == x), key=place.get)[:per]}
+        more = set(sorted((k for k, _ in data if k not in first), key=place.get)[: n - len(first)])
+        got = ordering.stratified_sample(df, n, 7, "d", "label", strict=False).collect()
+        assert len(got) == len(first | more)
+        assert {x.d for x in got if x.picked == "stratum"} == first and {x.d for x in got if x.picked == "top-up"} == more
+
+
 def test_stride_holds_token_shares(spark):
     df = spark.range(4000).select(F.col("id").alias("ord"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
     df = df.withColumn("len", F.when(F.col("source") == "a", 100).otherwise(400).cast("long"))

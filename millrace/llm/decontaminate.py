@@ -31,7 +31,8 @@ from millrace.plans.scratch import materialize
 # A word is a run of characters outside ASCII, digits and small letters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHINGLE = 3
+#: Words of a shingle: so many that few but those of whole windows are found, and written, before windows are joined.
+SHINGLE = 6
 BROADCAST_SHINGLES = 1_000_000
 
 
@@ -44,12 +45,17 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _shingle_hash(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(F.lit(k), *[F.get(words, at + i) for i in range(k)])
+def _shingle_hash(hashes: Column, at: Column, k: int) -> Column:
+    """Of ``k`` word hashes from a place on; fewer at the end."""
+    return F.xxhash64(F.lit(k), *[F.get(hashes, at + i) for i in range(k)])
+
+
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _hash_at(k: int):
-    return lambda _, i: _shingle_hash(F.col("w"), i, k)
+    return lambda _, i: _shingle_hash(F.col("wh"), i, k)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -61,49 +67,38 @@ def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col:
     wins = wins.select("item_id", F.struct("item", "first").alias("win"), F.slice("w", F.col("first") + 1, window).alias("w"))
     wins = wins.select("*", F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"))
     parts = wins.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("k"))).alias("j"))
-    h = reduce(lambda rest, k: F.when(F.col("k") == k, _shingle_hash(F.col("w"), F.col("j"), k)).otherwise(rest), range(1, SHINGLE + 1), F.lit(None).cast("long"))
+    parts = parts.withColumn("wh", _word_hashes(F.col("w")))
+    h = reduce(lambda rest, k: F.when(F.col("k") == k, _shingle_hash(F.col("wh"), F.col("j"), k)).otherwise(rest), range(1, SHINGLE + 1), F.lit(None).cast("long"))
     return parts.select("item_id", "win", "size", "k", "j", F.slice("w", F.col("j") + 1, F.col("k")).alias("piece"), h.alias("h"))
 
 
 def _matches(docs: DataFrame, pieces: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rid, doc_id, text_hash, n_words, pos, sid: where documents hold benchmark shingles.
 
-    Each row also comes once with pos = -1, so one pass over the texts gives the
-    counts of words too.
+    One pass over the texts looks for shingles of all lengths: of each length there is a
+    hash for every word, one length after the other.  Each row also comes once with
+    pos = -1, so the pass gives the counts of words too.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    lengths = sorted(r[0] for r in pieces.select("k").distinct().collect())  # at most SHINGLE numbers
-    if len(lengths) > 1:  # several branches read the rows: they must number them alike
-        rows = materialize(rows, "leak-texts", "zstd")
-    rows = rows.select("rid", "doc_id", "text_hash", words_of(F.col("text")).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("w"))
+    lengths = sorted(r[0] for r in pieces.select("k").distinct().collect()) or [SHINGLE]  # at most SHINGLE numbers
     mark = F.lit(0).cast("long")
-    small = pieces.count() <= BROADCAST_SHINGLES
-    out = []
-    for k in lengths or [SHINGLE]:
-        hashes = F.transform(F.col("w"), _hash_at(k))
-        if k == (lengths or [SHINGLE])[-1]:
-            hashes = F.concat(F.array(mark), hashes)
-            shift = 1
-        else:
-            shift = 0
-        # hashed in a step of its own, as an interpreted lambda inside the explode would copy the words once per word;
-        # outer, as otherwise a filter on the hashes is inferred, and pushed to where the words are not split yet
-        hashed = rows.select("rid", "doc_id", "text_hash", "w", F.size("w").alias("n_words"), hashes.alias("hashes"))
-        spread = hashed.select("rid", "doc_id", "text_hash", "w", "n_words", F.posexplode_outer("hashes").alias("at", "hh"))
-        known = pieces.where(F.col("k") == k).select("sid", "h", "piece")
-        if shift:
-            known = known.unionByName(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("sid"), mark.alias("h"), F.lit(None).cast("array<string>").alias("piece")))
-        pos = F.col("at") - shift
-        here = F.slice("w", F.greatest(pos, F.lit(0)) + 1, k)
-        if small:
-            known = F.broadcast(known)
-        else:  # what is shuffled holds a shingle, not all words
-            spread = spread.withColumn("here", here).drop("w")
-            here = F.col("here")
-        same = (F.col("hh") == F.col("h")) & F.when(F.col("sid") < 0, pos < 0).otherwise((pos >= 0) & (here == F.col("piece")))
-        out.append(spread.join(known, same).select("rid", "doc_id", "text_hash", "n_words", pos.alias("pos"), "sid"))
-    return reduce(DataFrame.unionByName, out)
+    # hashed in steps of their own, as an interpreted lambda inside the explode would copy the words once per word;
+    # outer, as otherwise a filter on the hashes is inferred, and pushed to where the words are not split yet
+    rows = rows.select("*", F.size("w").alias("n_words"), _word_hashes(F.col("w")).alias("wh"))
+    hashed = rows.select("rid", "doc_id", "text_hash", "w", "n_words", F.concat(F.array(mark), *[F.transform(F.col("w"), _hash_at(k)) for k in lengths]).alias("hashes"))
+    spread = hashed.select("rid", "doc_id", "text_hash", "w", "n_words", F.posexplode_outer("hashes").alias("at", "hh"))
+    pos = F.when(F.col("at") > 0, (F.col("at") - 1) % F.col("n_words")).otherwise(-1)
+    size = F.get(F.array(*[F.lit(k) for k in lengths]), F.when(F.col("at") > 0, F.floor((F.col("at") - 1) / F.col("n_words")).cast("int")).otherwise(0))
+    here = F.slice("w", F.greatest(pos, F.lit(0)) + 1, size)
+    known = pieces.select("sid", "k", "h", "piece").unionByName(docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("sid"), F.lit(0).alias("k"), mark.alias("h"), F.lit(None).cast("array<string>").alias("piece")))
+    if pieces.count() <= BROADCAST_SHINGLES:
+        known = F.broadcast(known)
+    else:  # what is shuffled holds a shingle, not all words
+        spread = spread.withColumn("here", here).drop("w")
+        here = F.col("here")
+    same = (F.col("hh") == F.col("h")) & F.when(F.col("sid") < 0, F.col("at") == 0).otherwise((F.col("at") > 0) & (size == F.col("k")) & (here == F.col("piece")))
+    return spread.join(known, same).select("rid", "doc_id", "text_hash", "n_words", pos.alias("pos"), "sid")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from millrace.operators.tokenizer import encode
 from millrace.plans.prefix import joined_back
 from millrace.plans.scratch import discard, materialize
 from millrace.sources.readers import Source, read_sources
-from millrace.sources.sinks import manifest, write_manifest, write_shards
+from millrace.sources.sinks import commit_shards, manifest, shard_name, write_manifest
 
 
 @dataclass(frozen=True)
@@ -71,9 +71,11 @@ def prepare_corpus(spark: SparkSession, sources: list[Source], folder: str, spec
         raise ValueError("a token budget needs a tokenizer")
     docs = materialize(read_sources(spark, sources, spec.rules, spec.seed, spec.shuffle_buffer, spec.shuffle), "corpus-texts", "zstd")
     chosen = materialize(select_corpus(docs, {s.name: s.weight for s in sources}, spec), "corpus")
-    files = write_shards(joined_back(docs, chosen.select("source", "ord", "pos"), ["source", "ord"], unique=True), folder, ["pos"], spec.per_shard)
+    shards = commit_shards(joined_back(docs, chosen.select("source", "ord", "pos"), ["source", "ord"], unique=True), folder, ["pos"], spec.per_shard)
     sums = [F.count(F.lit(1)).alias("docs"), *[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(k) for k in ("bytes", "chars", *(["tokens"] if spec.tokenizer else []))]]
     total = chosen.agg(*sums).first().asDict()
+    listed = sorted(tuple(r) for r in shards.select("shard", "sha256").collect())  # what the manifest names
+    files = [shard_name(folder, k) for k, _ in listed]
     info = {
         "sources": [{"name": s.name, "path": s.path, "text_key": s.text_key, "revision": s.revision, "subset": s.subset, "weight": s.weight, "split": s.split} for s in sources],
         "sampling_seed": spec.seed,
@@ -83,7 +85,7 @@ def prepare_corpus(spark: SparkSession, sources: list[Source], folder: str, spec
         "min_chars": spec.rules.min_chars,
         "docs_per_shard": spec.per_shard,
     }
-    content = manifest(spark, files, info, total)
+    content = manifest(spark, files, info, total, {f.rsplit("/", 1)[-1]: digest for f, (_, digest) in zip(files, listed)})
     write_manifest(spark, folder, content)
     discard(docs, chosen)
     return content

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numeric, prompts
 from millrace.functions.holdout import content_bucket, is_validation, take_split
 from millrace.functions.text import clean, cleaned, drop_reason, language_tag, nfc, source_label, strip_controls, unicode_strip, word_count, words
-from millrace.operators import blocks, budget, evalsets, leaderboard, metrics, mixture, ordering, runs, tokenizer
+from millrace.operators import blocks, budget, digests, evalsets, leaderboard, leakage, metrics, mixture, ordering, runs, tokenizer
 from millrace.operators.corpus import CorpusSpec, select_corpus
 from millrace.plans.scratch import fresh_path, materialize
 from millrace.sources.readers import read_parquet_text
@@ -668,9 +668,10 @@ def log_softmax_gather(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(numeric.log_softmax_at(v, (F.col("vec_id") % 64).cast("int")), 6).alias("lp"))
 
 
-@query("SELECT s AS step, round(3e-4 * CASE WHEN s < 100 THEN s / 100.0 WHEN s >= 1000 THEN 0.1 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 100) / 900.0)) END, 10) AS lr FROM range(0, 1011) t(s)")
+@query("SELECT s AS step, round(3e-4 * CASE WHEN s < 100 THEN s / 100.0 WHEN s >= 1000 THEN 0.1 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (s - 100) / 900.0)) END, 10) AS lr FROM (SELECT event_id AS s FROM events)")
 def lr_schedule(spark, d):
-    return spark.range(1011).select(F.col("id").alias("step"), F.round(numeric.cosine_factor(F.col("id"), 1000, 0.1, 0.1) * 3e-4, 10).alias("lr"))
+    """The rate at each event's number, as a step."""
+    return table(spark, d, "events").select(F.col("event_id").alias("step"), F.round(numeric.cosine_factor(F.col("event_id"), 1000, 0.1, 0.1) * 3e-4, 10).alias("lr"))
 
 
 @query("SELECT p AS pos, i AS pair, round(cos(p * pow(10000.0, -2.0 * i / 64)), 6) AS cos, round(sin(p * pow(10000.0, -2.0 * i / 64)), 6) AS sin FROM range(0, 128) a(p), range(0, 32) b(i)")
@@ -728,6 +729,38 @@ def bpe_pack(spark, d):
     return blocks.pack_blocks(rows, 1024).select("block_id", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
 
 
+def word_lengths(spark, d) -> DataFrame:
+    """Documents as blocks: their number, and the lengths of their words as tokens."""
+    return documents(spark, d).select(F.col("doc_id").alias("block_id"), F.transform(words(F.coalesce("text", F.lit(""))), F.length).alias("tokens"), "text")
+
+
+SQL_BLOCKS = rf"SELECT doc_id AS block_id, sha256(doc_id || ':' || array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[{RE2_WHITE}]+'), lambda x: x <> ''), lambda x: length(x)), ',')) AS digest, text FROM documents"
+SQL_LANES = " || ".join(f"printf('%08x', CAST(sum(CAST('0x' || substr(digest, {8 * k + 1}, 8) AS BIGINT)) OVER (ORDER BY block_id) % 4294967296 AS BIGINT))" for k in range(4))
+
+
+@query(f"SELECT block_id, digest, {SQL_LANES} AS prefix FROM ({SQL_BLOCKS})")
+def stream_prefix_digests(spark, d):
+    return digests.prefix_digests(digests.block_digests(word_lengths(spark, d)))
+
+
+@query(f"SELECT min(block_id) AS first_difference FROM (SELECT block_id, block_id > min(block_id) OVER (PARTITION BY text) AS copied FROM ({SQL_BLOCKS})) WHERE copied")
+def stream_divergence(spark, d):
+    """The first block in which the stream of all documents differs from that of documents that no earlier one equals."""
+    rows = word_lengths(spark, d)
+    first = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min("block_id").alias("first")).select("first")
+    once = rows.join(first, F.col("block_id") == F.col("first"), "left_semi")
+    at = digests.first_difference(*[digests.tree(digests.block_digests(x)) for x in (rows, once)])
+    return spark.createDataFrame([(at,)], "first_difference long")
+
+
+@query()
+def validation_leakage(spark, d):
+    """Each validation document's near copy among the others, if it has any."""
+    docs = documents(spark, d)
+    found = leakage.leaked_documents(docs, is_validation(F.coalesce("text", F.lit("")), MOD), keep=("lang",))
+    return found.select("doc_id", "lang", "n_words", "n_shingles", "leaked", "partner_id", F.round("similarity", 6).alias("similarity"), F.round("error", 6).alias("error"))
+
+
 @query(f"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM ({SQL_CLEAN}) WHERE {sql_bucket('text')} <> 0")
 def stream_clean_split(spark, d):
     from millrace.streaming.corpus import arriving, clean_split_stream

@@ -61,14 +61,15 @@ def test_provenance(spark, run, tmp_path):
     assert len(runs.provenance(spark, run)["data_manifests"]) == 1
 
 
-def test_checksums_of_large_files(spark, tmp_path, monkeypatch):
+def test_checksums_of_files(spark, tmp_path, monkeypatch):
     import hashlib
 
-    from millrace.sources import sinks
+    from millrace.sources import files
 
     for k in range(3):
         (tmp_path / f"f{k}").write_bytes(b"x" * (k * 100))
-    monkeypatch.setattr(sinks, "LARGE", 150)
+    monkeypatch.setattr(files, "PIECE", 7)
+    assert files.sha256_of(f"file:{tmp_path}/f2") == (200, hashlib.sha256(b"x" * 200).hexdigest())
     got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in checksums(spark, [f"{tmp_path}/f{k}" for k in range(3)]).collect()}
     assert got == {f"f{k}": (k * 100, hashlib.sha256(b"x" * (k * 100)).hexdigest()) for k in range(3)}
 

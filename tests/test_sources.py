@@ -14,7 +14,8 @@ from millrace.functions.text import CleanRules
 from millrace.operators import bpe, ordering, tokenizer
 from millrace.operators.corpus import CorpusSpec, prepare_corpus, prepare_recipe, recipe, tokenizer_recipe
 from millrace.sources import readers
-from millrace.sources.sinks import keep_newest, write_shards
+from millrace.sources.files import move_once
+from millrace.sources.sinks import commit_shards, keep_newest, read_text, write_shards, write_text
 
 
 @pytest.fixture()
@@ -121,6 +122,33 @@ def test_shards_end_empty_when_full(spark, tmp_path):
     assert len(write_shards(df.limit(0), f"file://{tmp_path}/e", ["k"])) == 1
 
 
+def test_shards_are_committed_by_tasks(spark, tmp_path):
+    """Digests come with the shards, a second run replaces them, and a rename that was done is done."""
+    df = spark.range(95).select(F.floor(F.col("id") / 2).alias("k"), F.concat(F.lit("line\u2028 "), "id").alias("text"), F.lit(1).alias("shard"))
+    for _ in range(2):
+        done = commit_shards(df.drop("shard"), f"{tmp_path}/w", ["k"], per_shard=10).collect()
+        assert sorted((r.shard, r.docs) for r in done) == [(k, 10 if k < 9 else 5) for k in range(10)]
+        for r in done:
+            body = (tmp_path / f"w/shard_{r.shard:05d}.jsonl").read_bytes()
+            assert (len(body), hashlib.sha256(body).hexdigest()) == (r.bytes, r.sha256)
+        assert sorted(p.name for p in (tmp_path / "w").iterdir()) == [f"shard_{k:05d}.jsonl" for k in range(10)]
+    texts = [json.loads(x)["text"] for k in range(10) for x in (tmp_path / f"w/shard_{k:05d}.jsonl").read_text().split("\n") if x]
+    assert len(set(texts)) == 95 and [int(t.split()[-1]) // 2 for t in texts] == sorted(k // 2 for k in range(95))
+    (tmp_path / "a").write_text("x")
+    for _ in range(2):
+        move_once(f"file:{tmp_path}/a", f"file:{tmp_path}/b")
+    assert (tmp_path / "b").read_text() == "x"
+    with pytest.raises(OSError):
+        move_once(f"file:{tmp_path}/none", f"file:{tmp_path}/nowhere")
+
+
+def test_small_files_are_replaced_whole(spark, tmp_path):
+    for text in ("one", "two é"):
+        write_text(spark, f"{tmp_path}/x.json", text)
+        assert read_text(spark, f"{tmp_path}/x.json") == text
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+
+
 def test_rotation(spark):
     names = spark.createDataFrame([(f"s{k}",) for k in range(5)], "name string")
     assert sorted(r.name for r in keep_newest(names, 2).collect()) == ["s0", "s1", "s2"]

@@ -108,18 +108,35 @@ QUERIES = {
     "op13_filter_audit": op13_filter_audit,
 }
 
+#: Two marks between which numbers are strings, as in the operator, and a number in JSON.
+_A, _B, _NUMBER = "beginofnumber", "endofnumber", r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+
+
+def _marked(text: str) -> str:
+    both = rf"""regexp_replace({text}, '("(?:[^"\\]|\\.)*")|({_NUMBER})', '\1{_A}\2{_B}', 'g')"""
+    return rf"""regexp_replace(replace({both}, '{_A}{_B}', ''), '{_A}({_NUMBER}){_B}', '"{_A}\1{_B}"', 'g')"""
+
+
+def _plain(value: str) -> str:
+    return rf"regexp_replace({value}, '^{_A}({_NUMBER}){_B}$', '\1')"
+
+
 _CHAT = f"""
     WITH t(tool, parameter, kind, required) AS (VALUES {_values(TOOLS)}),
     m AS (SELECT row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rid, conv_id, turn, role, text,
-          CASE WHEN ltrim(text) LIKE '{{%' AND json_valid(text) THEN CAST(text AS JSON) END AS v FROM conversations),
+          CASE WHEN ltrim(text) LIKE '{{%' AND json_valid(text) THEN CAST({_marked("text")} AS JSON) END AS raw FROM conversations),
+    k AS (SELECT *, len(json_keys(raw)) <> list_unique(json_keys(raw)) OR (role = 'assistant' AND json_type(raw, '$.tool_calls') = 'ARRAY'
+                    AND len(list_filter(CAST(raw->'$.tool_calls' AS JSON[]), lambda c: {" OR ".join(f"(json_type(c, '{x}') = 'OBJECT' AND len(json_keys(c, '{x}')) <> list_unique(json_keys(c, '{x}')))" for x in ("$", "$.arguments", "$.function", "$.function.arguments"))})) > 0) AS twice FROM m),
+    p0 AS (SELECT rid, conv_id, turn, role, text, coalesce(twice, false) AND role IN ('assistant', 'tool') AS twice, CASE WHEN NOT twice THEN raw END AS v FROM k),
     p AS (SELECT *, CASE WHEN role = 'assistant' AND json_type(v, '$.tool_calls') = 'ARRAY' THEN CAST(v->'$.tool_calls' AS JSON[]) END AS calls,
-          CASE WHEN role = 'tool' THEN v->>'$.tool_call_id' END AS answers FROM m),
+          CASE WHEN role = 'tool' THEN {_plain("v->>'$.tool_call_id'")} END AS answers FROM p0),
     e AS (SELECT rid, conv_id, turn, unnest(calls) AS c, generate_subscripts(calls, 1) - 1 AS place FROM p WHERE calls IS NOT NULL),
-    c AS (SELECT rid, conv_id, turn, place, c->>'$.id' AS call_id, c->>'$.name' AS name,
-          CASE WHEN json_type(c, '$.arguments') = 'VARCHAR' AND json_valid(c->>'$.arguments') THEN CAST(c->>'$.arguments' AS JSON) ELSE c->'$.arguments' END AS args FROM e),
+    e2 AS (SELECT *, CASE WHEN json_type(c, '$.arguments') IS NULL THEN c->'$.function.arguments' ELSE c->'$.arguments' END AS given FROM e),
+    c AS (SELECT rid, conv_id, turn, place, {_plain("c->>'$.id'")} AS call_id, {_plain("coalesce(c->>'$.name', c->>'$.function.name')")} AS name,
+          CASE WHEN json_type(given) = 'VARCHAR' AND json_valid(given->>'$') THEN CAST({_marked("given->>'$'")} AS JSON) ELSE given END AS args FROM e2),
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS FIRST, rid, place) AS nth FROM c WHERE call_id IS NOT NULL) WHERE nth = 1),
     l AS (SELECT p.rid, f.turn AS call_turn, f.rid AS call_rid, f.place AS call_place FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.answers = f.call_id),
-    g AS (SELECT rid, place, name, key, json_type(args, '$."' || key || '"') AS seen FROM (SELECT *, unnest(json_keys(args)) AS key FROM c WHERE json_type(args) = 'OBJECT')),
+    g AS (SELECT rid, place, name, key, CASE WHEN json_extract_string(args, '$."' || key || '"') SIMILAR TO '{_A}-?[0-9]+{_B}' THEN 'BIGINT' WHEN json_extract_string(args, '$."' || key || '"') LIKE '{_A}%' THEN 'DOUBLE' ELSE json_type(args, '$."' || key || '"') END AS seen FROM (SELECT *, unnest(json_keys(args)) AS key FROM c WHERE json_type(args) = 'OBJECT')),
     bad AS (
         SELECT rid, place, 'unknown tool' AS error FROM c WHERE name IS NULL OR name NOT IN (SELECT tool FROM t)
         UNION SELECT rid, place, 'arguments are no object' FROM c WHERE coalesce(json_type(args), '') <> 'OBJECT'
@@ -128,16 +145,16 @@ _CHAT = f"""
         UNION SELECT rid, place, 'unexpected ' || key FROM g WHERE name IN (SELECT tool FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE tool = name AND parameter = key)
         UNION SELECT rid, place, 'missing ' || parameter FROM c JOIN t ON name = tool WHERE required AND NOT EXISTS (SELECT 1 FROM g WHERE g.rid = c.rid AND g.place = c.place AND g.key = parameter)),
     per AS (SELECT rid, count(*) AS n_calls, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.call_rid = c.rid AND l.call_place = c.place) THEN 0 ELSE 1 END) AS BIGINT) AS n_open,
-            string_agg('{{"arguments":' || CASE WHEN json_type(args) = 'OBJECT' THEN '{{' || coalesce((SELECT string_agg(CAST(to_json(k) AS VARCHAR) || ':' || CAST(json_extract(args, '$."' || k || '"') AS VARCHAR), ',' ORDER BY k) FROM (SELECT unnest(json_keys(args)) AS k)), '') || '}}' ELSE coalesce(CAST(args AS VARCHAR), 'null') END
-                       || ',"id":' || coalesce(CAST(to_json(call_id) AS VARCHAR), 'null') || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || '}}', ',' ORDER BY place) AS made FROM c GROUP BY rid),
+            string_agg(regexp_replace('{{"arguments":' || CASE WHEN json_type(args) = 'OBJECT' THEN '{{' || coalesce((SELECT string_agg(CAST(to_json(k) AS VARCHAR) || ':' || CAST(json_extract(args, '$."' || k || '"') AS VARCHAR), ',' ORDER BY k) FROM (SELECT unnest(json_keys(args)) AS k)), '') || '}}' ELSE coalesce(CAST(args AS VARCHAR), 'null') END
+                       || ',"id":' || coalesce(CAST(to_json(call_id) AS VARCHAR), 'null') || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || '}}', '"{_A}({_NUMBER}){_B}"', '\\1', 'g'), ',' ORDER BY place) AS made FROM c GROUP BY rid),
     wrong AS (SELECT rid, string_agg(error, '; ' ORDER BY error) AS errors FROM bad GROUP BY rid),
     a AS (SELECT p.*, n_calls, n_open, made, errors AS said_wrong, call_turn, call_rid, call_place,
-          CAST(to_json(struct_pack(content := CASE WHEN calls IS NOT NULL OR answers IS NOT NULL THEN v->>'$.content' ELSE text END, role := role)) AS VARCHAR) AS plain
+          CAST(to_json(struct_pack(content := CASE WHEN calls IS NOT NULL OR answers IS NOT NULL THEN {_plain("v->>'$.content'")} ELSE text END, role := role)) AS VARCHAR) AS plain
           FROM p LEFT JOIN per ON p.rid = per.rid LEFT JOIN wrong ON p.rid = wrong.rid LEFT JOIN l ON p.rid = l.rid)
     SELECT conv_id, turn, role,
            row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN call_rid IS NOT NULL THEN call_turn ELSE turn END NULLS FIRST, coalesce(call_place, -1), turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, rid) - 1 AS position,
            coalesce(n_calls, 0) AS n_calls, coalesce(n_open, 0) AS n_open, call_turn,
-           CASE WHEN call_rid IS NOT NULL THEN 'linked' WHEN answers IS NOT NULL THEN 'orphan' WHEN said_wrong IS NOT NULL THEN 'invalid' WHEN calls IS NOT NULL THEN 'call' ELSE 'message' END AS status,
+           CASE WHEN call_rid IS NOT NULL THEN 'linked' WHEN answers IS NOT NULL THEN 'orphan' WHEN said_wrong IS NOT NULL THEN 'invalid' WHEN calls IS NOT NULL THEN 'call' WHEN twice THEN 'ambiguous' ELSE 'message' END AS status,
            coalesce(said_wrong, '') AS errors,
            CASE WHEN calls IS NOT NULL THEN plain[:-2] || ',"tool_calls":[' || coalesce(made, '') || ']}}' WHEN answers IS NOT NULL THEN plain[:-2] || ',"tool_call_id":' || CAST(to_json(answers) AS VARCHAR) || '}}' ELSE plain END AS line
     FROM a"""

@@ -352,13 +352,17 @@ def test_chat_query_equals_sql_where_there_are_calls(spark, tmp_path):
     good = [("search", {"query": "tea \u00e9", "limit": 3}), ("search", {"query": "x"}), ("calculate", {"expression": "1+1", "digits": 2.5}), ("clock", {}), ("calculate", '{"expression": "2", "digits": 4}')]
     bad = [("search", {}), ("search", {"query": 5, "page": [1, 2]}), ("paint", {"colour": "red"}), ("calculate", [1]), ("calculate", {"expression": None, "digits": "x"}), ("search", None), (None, {"query": "q"}), ("search", "no json")]
     rows = []
-    for conv in [*range(40), None]:
+    spelled = ['{"id": "c0", "name": "calculate", "arguments": {"expression": "1.10 \\\\ \\"2\\"", "digits": 1.10}}', '{"id": "c1", "name": "calculate", "arguments": {"digits": 1e2, "expression": "x"}}', '{"id": 12345678901234567890123456789, "name": "search", "arguments": {"query": "q", "limit": -0}}']
+    spelled += ['{"id": "c2", "type": "function", "function": {"name": "search", "arguments": "{\\"query\\": \\"t\\", \\"limit\\": 10000000000000000000000}"}}', '{"id": "c3", "function": {"name": "clock", "arguments": {}}}', '{"id": "c4", "name": "clock", "name": "search", "arguments": {}}', '{"id": "c5", "name": "clock", "arguments": {"a": 1, "a": 2}}']
+    for conv in [*range(90), None]:
         names = [f"c{k}" for k in range(6)]
         for turn in range(r.randint(1, 12)):
             form = r.random()
             if form < 0.35:
                 calls = [{k: v for k, v in zip(("id", "name", "arguments"), (r.choice([*names, None]), *r.choice(good + bad))) if v is not None} for _ in range(r.randint(0, 3))]
                 rows.append((conv, turn, "assistant", json.dumps({"content": r.choice(["so", None]), "tool_calls": calls}, ensure_ascii=r.random() < 0.5)))
+            elif form < 0.5:
+                rows.append((conv, turn, "assistant", f'{{"content": 1.50, "tool_calls": [{", ".join(r.sample(spelled, r.randint(1, 2)))}]}}'))
             elif form < 0.65:
                 rows.append((conv, turn, "tool", json.dumps({"tool_call_id": r.choice(names), "content": f"r{turn}"})))
             else:
@@ -372,4 +376,26 @@ def test_chat_query_equals_sql_where_there_are_calls(spark, tmp_path):
     names = [d[0] for d in want.description]
     got = queries.op10_chat_lines(spark, str(tmp_path)).select(*names).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
-    assert {x.status for x in got} == {"message", "call", "invalid", "linked", "orphan"} and sum(x.status == "linked" for x in got) > 20
+    assert {x.status for x in got} == {"message", "call", "invalid", "linked", "orphan", "ambiguous"} and sum(x.status == "linked" for x in got) > 20
+
+
+def test_chat_keeps_what_it_is_given(spark):
+    """Spelling of numbers, calls in the nested form, repeated keys at any depth, and very long texts."""
+    args = '{"d":12345678901234567890123456789012345678901,"a":1.10,"c":1.0,"b":1e2,"s":"1.10 \\"x\\" 5","l":[1,-0.50,{"z":1E+2}]}'
+    want = '{"a":1.10,"b":1e2,"c":1.0,"d":12345678901234567890123456789012345678901,"l":[1,-0.50,{"z":1E+2}],"s":"1.10 \\"x\\" 5"}'
+    long = "word 12 \\\\ " * 200_000
+    texts = [
+        f'{{"content": 1.0, "tool_calls": [{{"id": 7.50, "name": "f", "arguments": {args}}}]}}',
+        f'{{"tool_calls": [{{"id": "a", "type": "function", "function": {{"name": "f", "arguments": {json.dumps(args)}}}}}]}}',
+        '{"tool_calls": [{"id": "b", "name": "f", "arguments": {"x": {"y": 1, "y": 1}}}]}', '{"tool_calls": [], "tool_calls": []}', '{"tool_calls": [01]}', f'{{"tool_calls": [{{"id": "c", "name": "f", "arguments": {{"t": "{long}"}}}}]}}',
+    ]
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)] + [(1, 10, "tool", '{"tool_call_id": 7.50, "content": "r"}'), (1, 11, "user", '{"a": 1, "a": 2}'), (1, 12, "user", long), (1, 13, "tool", '{"a": 1, "a": 2}')]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tools = spark.createDataFrame([("f", "d", "integer", False), ("f", "a", "integer", False), ("f", "b", "number", False), ("f", "c", "string", False), ("f", "s", "string", True), ("f", "l", "array", False)], "name string, parameter string, type string, required boolean")
+    got = {x.turn: x for x in chat.chat_lines(df, tools).collect()}
+    assert got[0].line == f'{{"content":"1.0","role":"assistant","tool_calls":[{{"arguments":{want},"id":"7.50","name":"f"}}]}}'
+    assert got[1].line == f'{{"content":null,"role":"assistant","tool_calls":[{{"arguments":{want},"id":"a","name":"f"}}]}}'
+    assert got[0].errors == got[1].errors == "type of a; type of c" and got[10].status == "linked" and got[10].call_turn == 0
+    assert [got[k].status for k in (2, 3, 4, 11, 12, 13)] == ["ambiguous", "ambiguous", "message", "message", "message", "ambiguous"] and got[2].n_calls == 0
+    assert json.loads(got[2].line)["content"] == texts[2] and json.loads(got[12].line)["content"] == long
+    assert json.loads(got[5].line)["tool_calls"][0]["arguments"]["t"] == json.loads(f'"{long}"') and got[5].n_calls == 1

@@ -773,9 +773,25 @@ def stream_clean_split(spark, d):
 
 @query("SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
 def stream_source_statistics(spark, d):
-    from millrace.streaming.corpus import arriving, source_statistics_stream
+    from millrace.streaming.corpus import arriving, read_statistics, source_statistics_stream
 
     out = fresh_path(spark, "stream-stats")
     rows = arriving(spark, f"{d}/documents.parquet*", "doc_id long, text string, lang string, source string, n_chars long")
     source_statistics_stream(rows, out).awaitTermination()
-    return spark.read.parquet(out)
+    return read_statistics(spark, out)
+
+
+@query(f"SELECT doc_id, lang, pos FROM ({sql_stride('length(text)', 'documents')})")
+def stream_mixture(spark, d):
+    """The mixture of documents that arrive part after part, by range of their ids."""
+    from millrace.streaming.corpus import MixtureStream, arriving
+
+    out, parts = fresh_path(spark, "stream-mixture"), fresh_path(spark, "stream-parts")
+    docs, at = documents(spark, d).select("doc_id", "text", "lang"), F.coalesce("doc_id", F.lit(-(1 << 62)))
+    edges = [-(1 << 63), *[int(x) for x in docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)], (1 << 63) - 1]
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):  # part after part arrives, and a stream that is started anew takes it
+        docs.where((at > low) & (at <= high)).write.parquet(f"{parts}/part={k}")
+        stream = MixtureStream(arriving(spark, f"{parts}/*", "doc_id long, text string, lang string", files_per_trigger=1 << 20), out, WEIGHTS, "lang", "doc_id")
+        stream.wait()
+    stream.finish()
+    return spark.read.parquet(out).select("doc_id", "lang", "pos")

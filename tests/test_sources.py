@@ -347,7 +347,7 @@ FED = "ord long, text string, source string, tokens array<int>"
 
 
 def test_streams_go_on_after_a_restart(spark, tmp_path):
-    from millrace.streaming.corpus import BlockStream, ShuffleStream, arriving, clean_split_stream, source_statistics_stream
+    from millrace.streaming.corpus import BlockStream, ShuffleStream, arriving, clean_split_stream, read_statistics, source_statistics_stream
 
     source = f"{tmp_path}/in"
     want = 0
@@ -359,7 +359,7 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
         clean_split_stream(rows(), f"{tmp_path}/clean", split="all").awaitTermination()
         assert sorted(r.ord for r in spark.read.parquet(f"{tmp_path}/clean").collect()) == list(range(want))
         source_statistics_stream(rows(), f"{tmp_path}/stats").awaitTermination()
-        assert {r.source: r.docs for r in spark.read.parquet(f"{tmp_path}/stats").collect()} == {"s0": want // 2, "s1": want // 2}
+        assert {r.source: r.docs for r in read_statistics(spark, f"{tmp_path}/stats").collect()} == {"s0": want // 2, "s1": want // 2}
         ShuffleStream(rows(), f"{tmp_path}/mixed", 3, "ord").wait()
         mixed = spark.read.parquet(f"{tmp_path}/mixed").collect()
         assert sorted(r.ord for r in mixed) == list(range(want))
@@ -387,5 +387,34 @@ def test_a_stream_budget_outlives_restarts(spark, tmp_path):
     for _ in range(2):  # the budget is reached in the third file; a further start adds nothing
         BudgetStream(arriving(spark, source, FED), out, 25 * one, "ord").wait()
         assert sorted(r.ord for r in spark.read.parquet(out).collect()) == list(range(25))
-    BudgetStream(arriving(spark, source, FED), out, 45 * one, "ord").wait()  # more budget: later files were not lost
-    assert sorted(r.ord for r in spark.read.parquet(out).collect()) == [*range(25), *range(30, 50)]
+    BudgetStream(arriving(spark, source, FED), out, 27 * one, "ord").wait()  # a little more: it ends in the same file
+    assert sorted(r.ord for r in spark.read.parquet(out).collect()) == list(range(27))
+    for _ in range(2):  # more: neither the rest of that file nor later files were lost
+        BudgetStream(arriving(spark, source, FED), out, 45 * one, "ord").wait()
+        assert sorted(r.ord for r in spark.read.parquet(out).collect()) == list(range(45))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_mixture_of_arriving_documents_is_that_of_the_table(spark, tmp_path, seed):
+    """Any parts, any number of restarts, documents without length, a source that comes late, one without weight."""
+    from millrace.operators import mixture
+    from millrace.streaming.corpus import MixtureStream, arriving
+
+    r = random.Random(seed)
+    weights = {"a": 3.0, "b": 1.0, "c": 0.7}
+    rows = [(k, r.choice("aab") if k < 60 else r.choice("abcx"), "t" * r.choice([0, 1, 1, 5, 40])) for k in range(150)]
+    schema = "doc long, source string, text string"
+    cuts = sorted(r.sample(range(1, 150), 4))
+    stream = None
+    for k, (i, j) in enumerate(zip([0, *cuts], [*cuts, 150])):
+        spark.createDataFrame(rows[i:j], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={k:03d}")
+        if k % 2 or j == 150:
+            stream = MixtureStream(arriving(spark, f"{tmp_path}/in/*", schema), f"{tmp_path}/out", weights, "source", "doc")
+            stream.wait()
+    out = lambda: {x.doc: x.pos for x in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {x.doc: x.pos for x in mixture.stride(mixture.with_length(spark.createDataFrame(rows, schema)), weights, "source", "doc").collect()}
+    early = out()
+    assert early and early.items() <= want.items()
+    stream.finish()
+    stream.finish()
+    assert out() == want

@@ -35,13 +35,18 @@ def kv_cache_bytes(layers: Column, kv_heads: Column, head_dim: Column, tokens: C
     return layers * kv_heads * head_dim * tokens * batch * (2 * bytes_each)
 
 
-def rotary_table(spark: SparkSession, positions: int, dim: int, base: float = 10000.0) -> DataFrame:
-    """pos, pair, cos, sin for each position and pair of dimensions."""
+def rotary_angles(rows: DataFrame, position: str, dim: int, base: float = 10000.0) -> DataFrame:
+    """pos, pair, cos, sin for each row's position and each pair of dimensions."""
     angle = F.col("pos") * F.pow(F.lit(base), -2.0 * F.col("pair") / dim)
-    grid = spark.range(positions).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dim // 2 - 1).cast("long"))).alias("pair"))
+    grid = rows.select(F.col(position).alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dim // 2 - 1).cast("long"))).alias("pair"))
     return grid.select("pos", "pair", F.cos(angle).alias("cos"), F.sin(angle).alias("sin"))
 
 
+def rotary_table(spark: SparkSession, positions: int, dim: int, base: float = 10000.0) -> DataFrame:
+    """``rotary_angles`` of the positions from 0 on."""
+    return rotary_angles(spark.range(positions), "id", dim, base)
+
+
 def log_softmax_at(logits: Column, index: Column) -> Column:
     """Log probability of one entry of an array of logits, shifted by the maximum."""
     top = F.array_max(logits)

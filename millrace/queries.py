@@ -674,9 +674,10 @@ def lr_schedule(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("step"), F.round(numeric.cosine_factor(F.col("event_id"), 1000, 0.1, 0.1) * 3e-4, 10).alias("lr"))
 
 
-@query("SELECT p AS pos, i AS pair, round(cos(p * pow(10000.0, -2.0 * i / 64)), 6) AS cos, round(sin(p * pow(10000.0, -2.0 * i / 64)), 6) AS sin FROM range(0, 128) a(p), range(0, 32) b(i)")
+@query("SELECT p AS pos, i AS pair, round(cos(p * pow(10000.0, -2.0 * i / 64)), 6) AS cos, round(sin(p * pow(10000.0, -2.0 * i / 64)), 6) AS sin FROM (SELECT vec_id AS p FROM embeddings), range(0, 32) b(i)")
 def rotary_table(spark, d):
-    return rounded(numeric.rotary_table(spark, 128, 64))
+    """Angles of each vector's number, as a position."""
+    return rounded(numeric.rotary_angles(table(spark, d, "embeddings"), "vec_id", 64))
 
 
 @query("SELECT p_partkey, CAST(ceil(CASE WHEN p_size % 2 = 0 THEN p_size * 64 * 4 ELSE floor(p_size * 64 * 8 / 3) END / 128) * 128 AS BIGINT) AS ffn, CAST(p_size AS BIGINT) * 16 * 64 * 1024 * 4 AS kv_bytes, CAST(p_partkey * 6 AS BIGINT) AS flops, CAST(greatest(1, p_partkey * 100 // (p_size * 64 * 8)) AS BIGINT) AS accumulation FROM part")

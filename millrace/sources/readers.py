@@ -17,7 +17,7 @@ from millrace.plans.scratch import materialize
 
 #: An escaped UTF-16 half without its other half, where each escaped backslash is written as a number.
 LONE_HALF = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
-#: Splits of text files whose first rows are broadcast at most; above it, rows are shuffled by split.
+#: Files, or splits of text files, that are broadcast with a number each at most; above it, rows are shuffled.
 BROADCAST_SPLITS = 1_000_000
 
 
@@ -118,7 +118,7 @@ def _remote(spark: SparkSession, source: Source, listing: str, file_seed: int |
     file = F.col("file")
     if file_seed is not None:
         order = spark.createDataFrame([(f, f"{k:09d}") for k, f in enumerate(shuffled_files(names, file_seed))], "named string, place string")
-        rows, file = rows.join(F.broadcast(order), F.col("file") == F.col("named")), F.col("place")  # the listing, which the driver holds
+        rows, file = rows.join(F.broadcast(order) if len(names) <= BROADCAST_SPLITS else order, F.col("file") == F.col("named")), F.col("place")
     return names, rows.select(F.struct(file.alias("file"), F.lit(0).cast("long").alias("start"), "row").alias("ord"), "text")
 
 
@@ -126,7 +126,7 @@ def _in_file_order(rows: DataFrame, files: list[str]) -> DataFrame:
     """``ord`` with each file's place in the list instead of its name; the list came from the driver and is as long there."""
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     places = rows.sparkSession.createDataFrame([(f, f"{k:09d}") for k, f in enumerate(files)], "__file string, __place string").withColumn("__file", plain(F.col("__file")))
-    joined = rows.join(F.broadcast(places), plain(F.col("ord.file")) == F.col("__file"))
+    joined = rows.join(F.broadcast(places) if len(files) <= BROADCAST_SPLITS else places, plain(F.col("ord.file")) == F.col("__file"))
     return joined.select("source", F.struct(F.col("__place").alias("file"), F.col("ord.start").alias("start"), F.col("ord.row").alias("row")).alias("ord"), "text")
 
 

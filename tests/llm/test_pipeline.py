@@ -20,7 +20,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.QUERIES) <= set(entry.queries())
 
 
@@ -136,7 +136,7 @@ def test_stages_on_an_empty_table_and_clashing_columns(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got = queries.QUERIES[name](spark, DATA)
     want = con.execute(queries.ORACLES[name])

@@ -28,9 +28,14 @@ similar; those that share one are candidates and are compared in full.
 * **Verification.**  Texts of equal words (by a 128-bit digest) are joined
   beforehand, and only one of each class goes on.  Sets that share a content are
   compared with the smallest of them, the hub, so a group costs its size, not its
-  square.  While a content's sets lie in different components, other hubs of it are
+  square.  Sets of a content that lies in different components then are open, and
+  common passages chain most of these together.  Similar sets share one of the first
+  n - ceil(n * num / den) + 1 shingles in any order of all shingles; in one by how
+  often they come in a sample, passages come last.  Open sets that share such a
+  shingle are compared as pairs where up to ``PAIRED`` sets have it.  Of a shingle
+  that more sets have, other hubs are
   drawn, a few comparisons for each open set a round, as long as rounds link enough.
-  What is left is looked at in clusters, in blocks of bounded bytes and rows: first
+  What is left of these is looked at in clusters, in blocks of bounded bytes and rows: first
   by bitmaps that bound the intersection from above, which breaks up the chains that
   common passages make, then in full, and only between components.  A component
   larger than a block has blocks of its own, which never meet each other.
@@ -74,6 +79,8 @@ INCOMPLETE = 0.02
 COMMON, SPREAD, COMPARISON = 0.1, 1e-5, 4.0
 #: Bytes of bitmaps, and of texts, in one block of a cluster, and rows in it.
 BITMAP_BLOCK, TEXT_BLOCK, BLOCK_ROWS = 4 << 20, 8 << 20, 1024
+#: Sets of one first shingle that are compared as pairs at most, open sets that are looked at for an order of shingles, and shingles it ranks.
+PAIRED, LOOKED, RANKED = 64, 1 << 15, 1 << 20
 #: Rounds of other hubs at most, hubs drawn in one, and the share of comparisons that must link for one more.
 ROUNDS, DRAWS, WORTH = 3, 3, 0.1
 #: Rows of two or three numbers that are broadcast at most; above it, both sides are shuffled.
@@ -358,7 +365,15 @@ def similar_components(
     roots = connected_components(links)
     contents = materialize(shared.select("sig", "rid").distinct(), "jaccard-contents")
     discard(shared)
-    for turn in range(ROUNDS):
+    pairs, contents = _first_shared(contents, roots, base, size, num, den)
+    close = _similar(pairs, index, base, size, num, den)
+    discard(pairs)
+    if not close.isEmpty():
+        links = links.unionByName(close)
+        discard(roots)
+        roots = connected_components(links)
+    many = not contents.isEmpty()
+    for turn in range(ROUNDS if many else 0):
         asked = materialize(_other_hubs(contents, roots, turn), "jaccard-turn")
         compared = asked.count()
         found = _similar(asked, index, base, size, num, den) if compared else asked
@@ -370,7 +385,7 @@ def similar_components(
             roots = connected_components(links)
         if new < max(1, WORTH * compared):
             break
-    late = _within_clusters(contents, roots, index, base, size, num, den)
+    late = _within_clusters(contents, roots, index, base, size, num, den) if many else None
     if late is not None and not late.isEmpty():
         discard(roots)
         roots = connected_components(links.unionByName(late))
@@ -391,6 +406,65 @@ def similar_components(
     )
 
 
+def _ranking(opened: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come most often in a bounded sample of (rid, comp, text), sorted, and how often; at most ``RANKED``."""
+    every = max(1, opened.count() // LOOKED)
+
+    def run(batches):
+        for b in batches:
+            found = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_sets(b.column(0).to_pylist(), size)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["shingle", "n"])
+
+    looked = opened.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long, n long")
+    often = looked.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n")).limit(RANKED).toArrow()
+    shingles, n = often.column("shingle").to_numpy().astype(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def first_shingles(s: np.ndarray, shingles: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first of a sorted set, in the order of (n or 0, hash), of which any similar set has one among its own first."""
+    often = np.zeros(len(s), dtype=np.int64)
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
+        often = np.where(shingles[at] == s, n[at], 0)
+    return s[np.argsort(often, kind="stable")[: len(s) - -(-len(s) * num // den) + 1]]
+
+
+def _first_shared(contents: DataFrame, roots: DataFrame, base: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of the sets of a content that lies in several components: pairs (a, b) that share a first shingle, and (sig, rid) of such shingles that many sets have."""
+    spark = base.sparkSession
+    rows = _relabel(contents, roots, "rid", "comp")
+    parted = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("sig").alias("s"))
+    own = materialize(rows.join(parted, F.col("sig") == F.col("s")).select("rid", "comp").distinct(), "jaccard-open")
+    texts = base.select(F.col("rid").alias("r"), "text")
+    opened = texts.join(_bounded(own), F.col("r") == F.col("rid")).select("rid", "comp", "text")
+    order = spark.sparkContext.broadcast(_ranking(opened, size))  # RANKED numbers
+
+    def run(batches):
+        for b in batches:
+            sets = list(shingle_sets(b.column(2).to_pylist(), size))
+            firsts = [first_shingles(s, *order.value, num, den) for s in sets]
+            held = [len(x) for x in firsts]
+            columns = [np.repeat(x, held) for x in (b.column(0).to_numpy(), b.column(1).to_numpy(), np.array([len(s) for s in sets], dtype=np.int64))]
+            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *firsts]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat, *columns)], names=["sig", "rid", "comp", "n"])
+
+    firsts = materialize(opened.mapInArrow(run, "sig long, rid long, comp long, n long"), "jaccard-firsts")
+    held = firsts.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    held = materialize(held.select(F.col("sig").alias("s"), "held"), "jaccard-held")
+    met = materialize(firsts.join(_bounded(held), F.col("sig") == F.col("s")).drop("s"), "jaccard-met")
+    discard(own, firsts, held)
+    few = met.where(F.col("held") <= PAIRED)
+    other = few.select(F.col("sig").alias("s"), F.col("rid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    near = F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num
+    pairs = few.join(other, (F.col("sig") == F.col("s")) & (F.col("rid") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & near)
+    pairs = materialize(pairs.select(F.col("rid").alias("a"), "b").distinct(), "jaccard-pairs")
+    many = materialize(met.where(F.col("held") > PAIRED).select("sig", "rid"), "jaccard-many-sets")
+    discard(met, contents)
+    return pairs, many
+
+
 def _parted(contents: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(sig, rid, comp) with components so far, and of each content that is in several: s, and the hubs drawn this turn with their components."""
     rows = _relabel(contents, roots, "rid", "comp")

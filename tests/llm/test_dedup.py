@@ -159,6 +159,40 @@ def test_blocks_of_clusters(spark, monkeypatch, rounds):
     assert sorted(tuple(x) for x in ngram_join.ngram_join(df, 4, 85, 100).collect()) == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("paired", [1])
+def test_shingles_of_many_sets(spark, monkeypatch, paired):
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    rows = list(enumerate(near_copies(random.Random(9), 12, 20)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in ngram_join.ngram_join(df, 5, 8, 10).collect()) == brute_components(rows, 5, 8, 10)
+
+
+def test_common_passages_do_not_chain_strangers(spark, monkeypatch):
+    """Texts that share only passages are in no cluster, whose pairs are all compared."""
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    passages = [" ".join(word() for _ in range(30)) for _ in range(8)]
+    texts = [" ".join([*(word() for _ in range(40)), *r.sample(passages, 2)]) for _ in range(200)]
+    rows = list(enumerate(texts + [t + " " + word() for t in texts[:20]]))
+    compared, compare = [], ngram_join._compare
+    monkeypatch.setattr(ngram_join, "_compare", lambda own, *a: compared.append(own.count()) or compare(own, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in ngram_join.ngram_join(df, 5, 8, 10).collect()) == brute_components(rows, 5, 8, 10)
+    assert sum(compared) == 0
+
+
+def test_similar_sets_share_a_first_shingle():
+    r = np.random.default_rng(11)
+    for _ in range(300):
+        base = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 200)), dtype=np.uint64))
+        x, y = base[int(r.integers(0, len(base) // 5 + 1)) :], np.unique(np.concatenate((base, r.integers(0, 1 << 63, int(r.integers(0, len(base) // 4 + 1)), dtype=np.uint64))))
+        common = len(np.intersect1d(x, y))
+        if common * 10 >= (len(x) + len(y) - common) * 8:
+            known = np.unique(r.choice(base, len(base) // 2 + 1))
+            n = r.integers(3, 9, len(known))
+            assert len(np.intersect1d(*(ngram_join.first_shingles(s, known, n, 8, 10) for s in (x, y))))
+
+
 def thue_morse(n):
     s = "a"
     while len(s) < n:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
@@ -23,6 +24,12 @@ SPECIALS = ["<|bos|>", "<|eos|>", "<|pad|>", "<|system|>", "<|user|>", "<|assist
 RESERVED = 16
 #: Texts that the library encodes at once: what it keeps beside the ids is many times a text.
 ENCODE_ROWS = 64
+#: The rule with the Unicode letters, numbers and white space below U+0250 spelled out, and what it does not cover.
+LOW_LETTERS, LOW_NUMBERS, LOW_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \u0085\u00a0"
+LOW_RULE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LOW_LETTERS}]+| ?[{LOW_NUMBERS}]+| ?[^{LOW_SPACES}{LOW_LETTERS}{LOW_NUMBERS}]+|[{LOW_SPACES}]+(?![^{LOW_SPACES}])|[{LOW_SPACES}]+")
+NOT_LOW = re.compile("[^\x00-ɏ]")
+#: Pre-tokens in each of a worker's two generations; a memory bound, not a limit of the result.
+REMEMBERED = 300_000
 
 
 def special_tokens() -> list[str]:
@@ -106,6 +113,50 @@ def _loaded(spec: str, plain_specials: bool):
     return tok
 
 
+def _by_piece(spec: dict) -> bool:
+    """Whether ids of a text are those of its pre-tokens in a row: byte-level BPE without another step, all added tokens special."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not any(spec.get(x) for x in ("normalizer", "truncation", "padding")) and all(x["special"] for x in spec.get("added_tokens", []))
+    bytewise = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return plain and bytewise and model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+
+
+class PieceIds:
+    """Packed ids of texts whose special strings are ordinary text; the library encodes each distinct pre-token once.
+
+    Texts with characters from U+0250 on, and all texts of a tokenizer of another
+    build, go through the library whole.
+    """
+
+    def __init__(self, spec: str):
+        self.spec = spec
+        self.by_piece = _by_piece(json.loads(_loaded(spec, True).to_str()))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        tok = _loaded(self.spec, True)
+        return [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        cut = [LOW_RULE.findall(t) if self.by_piece and not NOT_LOW.search(t) else None for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = set().union(*[p for p in cut if p]).difference(known)
+        known.update((p, older[p]) for p in new if p in older)
+        fresh = list(new.difference(older))
+        known.update(zip(fresh, self.by_library(fresh)))
+        whole = iter(self.by_library([t for t, p in zip(texts, cut) if p is None]))
+        return [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in cut]
+
+
+@lru_cache(maxsize=2)
+def _piece_ids(spec: str) -> PieceIds:
+    """One per worker process and tokenizer."""
+    return PieceIds(spec)
+
+
 def encode(text: Column, spec: str, allow_special: bool = False) -> Column:
     """Ids of a text; strings of special tokens in it are ordinary text unless allowed.
 
@@ -114,10 +165,12 @@ def encode(text: Column, spec: str, allow_special: bool = False) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        tok = _loaded(spec, not allow_special)
         rows = texts.fillna("").tolist()
-        parts = (tok.encode_batch_fast(rows[i : i + ENCODE_ROWS], add_special_tokens=False) for i in range(0, len(rows), ENCODE_ROWS))
-        return pd.Series([np.array(e.ids, "int32") for part in parts for e in part], dtype=object)
+        groups = (rows[i : i + ENCODE_ROWS] for i in range(0, len(rows), ENCODE_ROWS))
+        if not allow_special:
+            return pd.Series([np.frombuffer(x, "<i4") for g in groups for x in _piece_ids(spec).packed(g)], dtype=object)
+        tok = _loaded(spec, False)
+        return pd.Series([np.array(e.ids, "int32") for g in groups for e in tok.encode_batch_fast(g, add_special_tokens=False)], dtype=object)
 
     return run(text)
 

@@ -418,3 +418,21 @@ def test_a_mixture_of_arriving_documents_is_that_of_the_table(spark, tmp_path, s
     stream.finish()
     stream.finish()
     assert out() == want
+
+
+def test_pieces_are_encoded_once_and_as_the_library_does(spark):
+    r = random.Random(12)
+    docs = spark.createDataFrame([("don't stop, the 12 words  of\n\na text " * 3,)], "text string")
+    spec = tokenizer.train_bpe(docs, 300, 1)
+    texts = ["".join(r.choice("ab'sdtrevlm 0²½\n\t\r\x1c\x1f\x85\xa0\xad×Àɏɐßé.!<|>\x00") for _ in range(r.randrange(40))) for _ in range(400)]
+    texts += [*tokenizer.special_tokens(), "<|bos|>a <|eos|>", "", "  a  ", "''s 's", "漢字 x", *[f" {chr(c)}a" for c in range(0x250)]]
+    own = tokenizer.PieceIds(spec)
+    assert own.packed(texts) == own.by_library(texts)
+    got = {x.text: x.ids for x in spark.createDataFrame([(x,) for x in texts], "text string").select("text", tokenizer.encode(F.col("text"), spec).alias("ids")).collect()}
+    assert got == {t: np.frombuffer(x, "<i4").tolist() for t, x in zip(texts, own.by_library(texts))}
+    own, asked = tokenizer.PieceIds(spec), []
+    library = own.by_library
+    own.by_library = lambda t: asked.extend(t) or library(t)
+    for _ in range(3):
+        own.packed(["one two one two", "two one two"] * 4)
+    assert sorted(asked) == [" one", " two", "one", "two"]

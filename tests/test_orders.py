@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,16 @@ def test_rows_of_one_place_come_once_each(spark):
     for mixed in (mixture.stride(sized, {"a": 1.0}), mixture.replay(sized, {"a": 1.0}, 3), ordering.buffer_shuffle(sized, 3, 5, "ord", "source")):
         got = mixed.collect()
         assert sorted(x.pos for x in got) == list(range(60)) and len({x.tag for x in got}) == 60
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 1000])
+def test_counts_of_next_tokens_are_those_of_blocks(spark, block):
+    r = random.Random(block)
+    docs = [(k // 2 if k < 6 else k, r.choices("abc", k=r.choice([0, 0, 1, 1, 2, 7, 20]))) for k in range(40)]
+    docs = [(k, [] if i % 2 and k < 3 else t) for i, (k, t) in enumerate(docs)] + [(90, None)]
+    df = spark.createDataFrame(docs, "ord long, tokens array<string>").repartition(3)
+    stream = [t for _, tokens in docs for t in tokens or []]
+    whole = len(stream) // block * block
+    want = Counter((stream[k - 1], stream[k]) for k in range(1, whole) if k % block)
+    got = {(x.token, x.next): x.n for x in blocks.next_token_counts(df, block).collect()}
+    assert got == want
